@@ -59,29 +59,31 @@ def spell(token: bytes) -> str:
 _STAND_IN = {b: chr(FIRST_CHAR + b) for b in range(256)}
 
 
-def sentencepiece_model(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
-    """Serialised model, and the rank of each of its piece ids.
+def serialised(pieces: list[tuple[str, float]]) -> bytes:
+    """A sentencepiece BPE model of these pieces and scores, and an unknown piece after them.
 
     Field numbers are those of the public sentencepiece_model.proto.
     """
-    order = sorted(ranks, key=ranks.__getitem__)
-    pieces = [
-        _field(1, _field(1, spell(t).encode()) + _varint(2 << 3 | 5) + struct.pack("<f", -float(ranks[t])))
-        for t in order
-    ]
-    unknown = _field(1, _field(1, b"<unk>") + _varint(2 << 3 | 5) + struct.pack("<f", 0.0) + _field(3, 2))
+    score = lambda x: _varint(2 << 3 | 5) + struct.pack("<f", x)
+    body = [_field(1, _field(1, piece.encode()) + score(s)) for piece, s in pieces]
+    unknown = _field(1, _field(1, b"<unk>") + score(0.0) + _field(3, 2))
     none = (1 << 64) - 1  # -1: no such piece
     trainer = (
         _field(3, 2)
-        + _field(4, len(order) + 1)
-        + _field(40, len(order))
+        + _field(4, len(pieces) + 1)
+        + _field(40, len(pieces))
         + _field(41, none)
         + _field(42, none)
         + _field(43, none)
     )
     normalizer = _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
-    model = b"".join(pieces) + unknown + _field(2, trainer) + _field(3, normalizer)
-    return model, np.array([ranks[t] for t in order] + [-1], dtype=np.int64)
+    return b"".join(body) + unknown + _field(2, trainer) + _field(3, normalizer)
+
+
+def sentencepiece_model(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
+    """Serialised model, and the rank of each of its piece ids."""
+    order = sorted(ranks, key=ranks.__getitem__)
+    return serialised([(spell(t), -float(ranks[t])) for t in order]), np.array([ranks[t] for t in order] + [-1], dtype=np.int64)
 
 
 class Codec:

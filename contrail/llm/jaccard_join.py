@@ -44,8 +44,11 @@ NUM, DEN = 4, 5
 BUCKET_BITS = 26
 #: A shingle is common when its bucket holds so many, plus twice the mean.
 COMMON = 32
-#: Rounds that measure distances to one pivot of each region before the rest is compared exhaustively.
-PIVOT_ROUNDS = 3
+#: Regions with more members take further pivots, as long as that shrinks them, before members are compared in pairs.
+LARGE_REGION = 64
+PIVOT_ROUNDS = 6
+#: Classes that a task remembers having sent, so that copies are sent once; the store is emptied when full.
+REMEMBERED = 500_000
 _U64 = np.uint64
 
 
@@ -129,7 +132,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                     ],
                     names=names,
                 )
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 1_000_000:
                     yield counted()
         if held:
             yield counted()
@@ -181,14 +184,18 @@ def _regions(docs: DataFrame, common: Broadcast) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = common.value
+        sent: set[int] = {0}
         for batch in batches:
             for block in blocks(batch.column(1)):
                 grams, off = shingle_sets(block)
                 keys, sizes = _class_keys(grams, off), np.diff(off)
+                new = [k not in sent and not sent.add(k) for k in keys.tolist()]
+                if len(sent) > REMEMBERED:
+                    sent = {0}
                 shared = _has_bit(bitmap, grams & _U64((1 << BUCKET_BITS) - 1))
                 owner = np.repeat(np.arange(block.n), sizes)
                 grams = grams[np.lexsort((grams, shared, owner))]
-                window = _prefix_sizes(sizes, NUM, DEN)
+                window = np.where(new, _prefix_sizes(sizes, NUM, DEN), 0)
                 at = _ragged(off[:-1], window)
                 own = np.repeat(np.arange(block.n), window)
                 yield pa.RecordBatch.from_arrays(
@@ -201,7 +208,7 @@ def _regions(docs: DataFrame, common: Broadcast) -> DataFrame:
                     names=["pivot", "cls", "n", "pos"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pivot long, cls long, n int, pos int").distinct()
+    return docs.select("doc_id", "text").mapInArrow(run, "pivot long, cls long, n int, pos int")
 
 
 def _reach(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
@@ -218,12 +225,24 @@ def _meetings(regions: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, while it is not known whether others follow
         lead: tuple | None = None
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
             pivot = whole.column(0).to_numpy()
             cls, n, pos = (whole.column(k).to_numpy() for k in (1, 2, 3))
+            new = np.ones(len(pivot), dtype=bool)
+            new[1:] = (pivot[1:] != pivot[:-1]) | (cls[1:] != cls[:-1])
+            new[0] = last != (pivot[0], cls[0])
+            if held is not None:
+                new[0] = True
+            last = (pivot[-1], cls[-1])
+            if not new.all():  # copies that came from different tasks
+                whole = whole.filter(pa.array(new))
+                pivot, cls, n, pos = pivot[new], cls[new], n[new], pos[new]
+                if not len(pivot):
+                    continue
             first = np.ones(len(pivot), dtype=bool)
             first[1:] = pivot[1:] != pivot[:-1]
             if lead is not None and pivot[0] == lead[0]:
@@ -259,6 +278,7 @@ def _sets(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
     A fixed-size bitmap of hashed ids spares the shingles of other documents; the join makes it exact.
     """
     first = rows.filter("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(needed, "cls", "left_semi")
+    first = stored(first, "needed")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << BUCKET_BITS)).cast("int")
     words = first.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("v")
@@ -293,8 +313,10 @@ def _sets(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
     return stored(made.join(first, ["doc_id", "cls"], "left_semi").drop("doc_id").dropDuplicates(["cls"]), "sets")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _distances(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, d, linked) of the distinct pairs (a, b), exactly."""
+    pairs = stored(pairs, "pairs")
+    sets = _sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
@@ -320,46 +342,62 @@ def class_links(docs: DataFrame, rows: DataFrame, common: np.ndarray) -> DataFra
     """Links (a, b) between classes that connect exactly the classes connected by similarity."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     meet = stored(_meetings(_regions(docs, shared)), "meet")
-    sets = _sets(docs, rows, meet.select("cls").distinct())
     reach = _reach(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"))
     done = _distances(
-        meet.filter("cls != lead").filter(reach).select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct(), sets
+        meet.filter("cls != lead").filter(reach).select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b")).distinct(),
+        docs,
+        rows,
     )
     # distance of each member to its region's pivot, for the triangle windows; the pivot itself is finished
-    outside = (
+    member = stored(
         meet.filter("cls != lead")
-        .join(done.select(F.col("a").alias("cls"), F.col("b").alias("lead"), F.col("d").alias("d")), ["cls", "lead"], "left")
-        .select("pivot", "cls", "n", "pos", "d")
+        .withColumns({"a": F.greatest("cls", "lead"), "b": F.least("cls", "lead")})
+        .join(done.select("a", "b", "d"), ["a", "b"], "left")
+        .select("pivot", "cls", "n", "pos", "d"),
+        "outside",
     )
-    member = stored(outside, "outside")
-    for _ in range(1, PIVOT_ROUNDS):
-        left = _labelled(member, components(done.filter("linked").select("a", "b")))
-        weight = left.groupBy("pivot", "comp").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n", "pos", "d")).alias("m"))
-        lead = weight.groupBy("pivot").agg(F.min(F.struct("size", "comp", "m")).alias("p")).select(
-            "pivot", F.col("p.comp").alias("lead_comp"), F.col("p.m.cls").alias("lead"), F.col("p.m.n").alias("lead_n"), F.col("p.m.pos").alias("lead_pos"), F.col("p.m.d").alias("lead_d")
-        )
+    for _ in range(PIVOT_ROUNDS):
+        left = stored(_labelled(member, components(done.filter("linked").select("a", "b"))), "open")
+        large = left.groupBy("pivot").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE_REGION).select("pivot")
+        if large.isEmpty():
+            break
+        crowded = left.join(large, "pivot", "left_semi")
+        lead = _next_pivots(crowded)
         near = _window(F.col("d"), F.col("lead_d")) & _reach(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"))
-        pairs = left.join(lead, "pivot").filter((F.col("comp") != F.col("lead_comp")) & near)
+        pairs = crowded.join(lead, "pivot").filter((F.col("comp") != F.col("lead_comp")) & near)
         pairs = pairs.select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b")).distinct()
-        new = _distances(pairs.join(done, ["a", "b"], "left_anti"), sets)
-        member = stored(left.drop("comp").join(lead.select("pivot", F.col("lead").alias("cls")), ["pivot", "cls"], "left_anti"), "outside")
-        done = done.unionByName(new)
-    left = stored(_labelled(member, components(done.filter("linked").select("a", "b"))), "open")
+        done = done.unionByName(_distances(pairs.join(done, ["a", "b"], "left_anti"), docs, rows))
+        member = stored(
+            left.drop("comp").join(lead.select("pivot", F.col("lead").alias("cls")), ["pivot", "cls"], "left_anti"), "outside"
+        )
+    else:
+        left = stored(_labelled(member, components(done.filter("linked").select("a", "b"))), "open")
+    # members of a region's main group are connected already; all others meet everyone in their window
     size = left.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
     main = size.groupBy("pivot").agg(F.max(F.struct("size", "comp")).alias("m")).select("pivot", F.col("m.comp").alias("main"))
     minor = left.join(main, "pivot").filter("comp != main").drop("main")
     x, y = minor.alias("x"), left.alias("y")
     near = _window(F.col("x.d"), F.col("y.d")) & _reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     pairs = (
-        x.join(y, F.col("x.pivot") == F.col("y.pivot"))
-        .filter((F.col("x.comp") != F.col("y.comp")) & near)
+        x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.comp") != F.col("y.comp")) & near)
         .select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b"))
         .distinct()
     )
-    new = _distances(pairs.join(done, ["a", "b"], "left_anti"), sets)
+    new = _distances(pairs.join(done, ["a", "b"], "left_anti"), docs, rows)
     return done.unionByName(new).filter("linked").select("a", "b")
 
 
+def _next_pivots(crowded: DataFrame) -> DataFrame:
+    """For each region a member of its smallest group, as lead_comp, lead, lead_n, lead_pos and lead_d."""
+    groups = crowded.groupBy("pivot", "comp").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n", "pos", "d")).alias("m"))
+    p = groups.groupBy("pivot").agg(F.min(F.struct("size", "comp", "m")).alias("p"))
+    return p.select(
+        "pivot",
+        F.col("p.comp").alias("lead_comp"),
+        *(F.col(f"p.m.{a}").alias(b) for a, b in (("cls", "lead"), ("n", "lead_n"), ("pos", "lead_pos"), ("d", "lead_d"))),
+    )
+
+
 def _window(d1: Column, d2: Column) -> Column:
     """Triangle inequality: two members can be within 1 - NUM / DEN only if so are their distances to a pivot."""
     return F.coalesce(F.abs(d1 - d2) <= (1 - NUM / DEN) + 1e-9, F.lit(True))

@@ -15,8 +15,11 @@ Equal scores fall to the earlier row. ``sequence_id`` is unique over all partiti
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import FIRST_CHAR, serialised
+from .shared import stored
+
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 21
@@ -37,7 +43,23 @@ _SCHEMA = (
 
 
 class WordIds:
-    """Token ids by space-separated part, which is exact for a vocabulary whose pre-tokens never cross white space."""
+    """Token ids by space-separated part, which is exact for a vocabulary whose pre-tokens never cross white space.
+
+    Parts of printable Latin-1, where case folding and normalisation are plain, are cut here and their pre-tokens
+    merged by a sentencepiece model with the file's merge ranks as scores (see byte_bpe); all other parts, and files
+    of another build, go through the tokenizers library.
+    """
+
+    _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
+    _PRE_TOKENS = re.compile(
+        "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
+        "|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+"
+    )
+    _BUILD = {
+        "normalizer": ["NFC", "Replace", "Lowercase"],
+        "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+        "suffix": "</w>",
+    }
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
@@ -46,6 +68,69 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.cache: dict[str, bytes] = {"": b""}
+        self.pre_tokens: dict[str, bytes] = {}
+        self.merger = self._merger(json.loads(definition))
+
+    def _merger(self, d: dict):  # noqa: ANN202
+        """A sentencepiece processor with the same merges, or None for another kind of file."""
+        splits = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        found = {
+            "normalizer": [n["type"] for n in (d.get("normalizer") or {}).get("normalizers", [])],
+            "pattern": splits[0].get("pattern", {}).get("Regex"),
+            "suffix": d["model"].get("end_of_word_suffix"),
+        }
+        if found != self._BUILD:
+            return None
+        import sentencepiece
+
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+        others = [b for b in range(256) if b not in set(plain)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+        assert set(byte) == set(ByteLevel.alphabet())
+        end = "</w>"
+
+        def spelled(token: str) -> str:
+            last = token.endswith(end)
+            raw = [byte[c] for c in token.removesuffix(end)]
+            return "".join(chr(FIRST_CHAR + b) for b in raw[: len(raw) - last]) + (chr(FIRST_CHAR + 256 + raw[-1]) if last else "")
+
+        vocab = d["model"]["vocab"]
+        special = {t["content"] for t in d["added_tokens"]}
+        rank = {"".join(m): -float(i + 1) for i, m in enumerate(x if isinstance(x, list) else x.split(" ") for x in d["model"]["merges"])}
+        pieces = [(spelled(t), rank.get(t, 0.0), i) for t, i in vocab.items() if t not in special]
+        self.ids = np.array([i for _, _, i in pieces] + [0], dtype="<u4")
+        return sentencepiece.SentencePieceProcessor(model_proto=serialised([(t, s) for t, s, _ in pieces]))
+
+    def _learn(self, parts: list[str]) -> None:
+        """Put the ids of new parts into the cache."""
+        if self.merger is None:
+            slow, quick = parts, []
+        else:
+            slow = [p for p in parts if not self._PLAIN.fullmatch(p)]
+            quick = [p for p in parts if self._PLAIN.fullmatch(p)] if slow else parts
+        for p, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+        if not quick:
+            return
+        cut = [self._PRE_TOKENS.findall(p.lower()) for p in quick]
+        known = self.pre_tokens
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        new = list({t for c in cut for t in c if t not in known})
+        if new:
+            raw = [t.encode() for t in new]
+            spelled = [(b[:-1].decode("latin-1").translate(_INNER) + chr(FIRST_CHAR + 256 + b[-1])) for b in raw]
+            found = self.merger.encode(spelled, num_threads=1)
+            sizes = [len(f) for f in found]
+            flat = self.ids[np.fromiter(chain.from_iterable(found), dtype=np.int64, count=sum(sizes))].tobytes()
+            at = 0
+            for t, n in zip(new, sizes, strict=True):
+                known[t] = flat[at : at + 4 * n]
+                at += 4 * n
+        self.cache.update((p, b"".join([known[t] for t in c])) for p, c in zip(quick, cut, strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text and the end id."""
@@ -57,11 +142,13 @@ class WordIds:
                 known.clear()
                 known[""] = b""
                 new = [p for p in set(parts) if p]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
+            self._learn(new)
         return np.frombuffer(b"".join([*map(known.__getitem__, parts), END_ID.to_bytes(4, "little")]), dtype="<u4")
 
 
+_INNER = {b: chr(FIRST_CHAR + b) for b in range(256)}
+
+
 _WORD_IDS: dict[str, WordIds] = {}
 
 
