@@ -105,7 +105,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             bucket, times = np.unique(np.concatenate(held), return_counts=True)
             part, cut = np.unique(bucket >> 16, return_index=True)
             low, times = (bucket & 0xFFFF).astype("<u2"), np.minimum(times, 255).astype(np.uint8)
-            ends = [*cut[1:], len(bucket)]
+            ends = [*cut[1:], len(bucket)] if len(cut) else []
             packed = [low[i:j].tobytes() + times[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]
             none = len(part)
             held.clear()

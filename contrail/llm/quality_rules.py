@@ -133,7 +133,7 @@ def verdicts(
     share: float = SHARE,
     keep_words: float = KEEP_WORDS,
 ) -> DataFrame:
-    """Every row of df without its text, with its figures, ``removed`` (array of the boilerplate line hashes in it), ``n_removed_words``, ``base_failed`` and ``kept``."""
+    """Every row of df (whose other columns must not bear the names of figures) without its text, with its figures, ``removed`` (array of the boilerplate line hashes in it), ``n_removed_words``, ``base_failed`` and ``kept``."""
     figures = stored(
         features(
             df.select("*", F.col(host_col).alias("__host"), F.monotonically_increasing_id().alias("__row")), text_col
@@ -169,11 +169,12 @@ def apply(df: DataFrame, text_col: str = "text", host_col: str = "source", **lim
     Text is matched back by a row number that is written first, so repeated rows stay apart.
     """
     numbered = stored(df.withColumn("__n", F.monotonically_increasing_id()), "rows")
-    judged = verdicts(numbered, text_col, host_col, **limits).filter("kept").select("__n", "removed")
+    judged = verdicts(numbered.select("__n", text_col, host_col), text_col, host_col, **limits)
+    judged = judged.filter("kept").select("__n", F.col("removed").alias("__removed"))
     clean = numbered.filter(F.col(text_col).isNotNull()).join(judged, "__n")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
     names = clean.columns
-    at, drop = names.index(text_col), names.index("removed")
+    at, drop = names.index(text_col), names.index("__removed")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +182,7 @@ def apply(df: DataFrame, text_col: str = "text", host_col: str = "source", **lim
             columns[at] = pa.array(_without(batch.column(at), batch.column(drop)), batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = clean.mapInArrow(run, schema).drop("__n", "removed")
+    out = clean.mapInArrow(run, schema).drop("__n", "__removed")
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)
