@@ -1,4 +1,9 @@
 """Registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import rollup_queries, spatial_queries
+
+_ALL = rollup_queries.QUERIES | spatial_queries.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
