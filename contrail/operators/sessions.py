@@ -9,6 +9,7 @@ without fixes before the newest event time of all aircraft times it out, with a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine  # noqa: F401  the column form of metres()
 from .paths import R
 
 ACTIVE_KT, ACTIVE_AGL, NO_ALTITUDE_KT = 25.0, 250.0, 80.0
@@ -29,8 +29,6 @@ SCHEMA = (
 
 
 def metres(a: tuple, b: tuple) -> float:
-    import math
-
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
     return 2 * R * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
@@ -146,7 +144,7 @@ def frame(aircraft: object, flights: list[dict]) -> pd.DataFrame:
 
 def fed(tracker: Tracker, pdf: pd.DataFrame) -> Iterator[dict]:
     pdf = pdf.sort_values(["received_at", "fix_id"])
-    times = pdf["received_at"].astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1}[pd.api.types.pandas_dtype(pdf["received_at"].dtype).unit]
+    times = pd.to_datetime(pdf["received_at"]).astype("datetime64[us]").astype("int64") / 1e6
     for t, row in zip(times, pdf[INPUT[1:]].itertuples(index=False), strict=True):
         yield from tracker.feed(t, *map(_value, row))
 

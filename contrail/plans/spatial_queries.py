@@ -56,8 +56,8 @@ QUERIES = {
               (SELECT fix_id, airport_id, sqrt((f.lat - la) ** 2 + (f.lon - lo) ** 2) * 111000.0 AS m FROM fixes f JOIN ends ON abs(f.lat - la) < 0.5) WHERE m <= 30000) WHERE rn <= 4"""),
     ),
     "j11_tow_candidates": (
-        lambda s, p: spatial.tow_candidates(d.fixes(s, p).filter("kind = 'purchase'"), d.fixes(s, p).filter("kind <> 'purchase'"), 300_000.0, 86400),
-        sql(f"""SELECT f.fix_id, f.aircraft_id, min(o.aircraft_id) AS towed_id FROM fixes f JOIN fixes o ON abs(epoch_us(f.received_at) - epoch_us(o.received_at)) <= 86400000000
+        lambda s, p: spatial.tow_candidates(d.fixes(s, p).filter("kind = 'purchase'"), d.fixes(s, p).filter("kind <> 'purchase'"), 300_000.0, 3600),
+        sql(f"""SELECT f.fix_id, f.aircraft_id, min(o.aircraft_id) AS towed_id FROM fixes f JOIN fixes o ON abs(epoch_us(f.received_at) - epoch_us(o.received_at)) <= 3600000000
               AND f.aircraft_id <> o.aircraft_id AND f.kind = 'purchase' AND o.kind <> 'purchase' WHERE {metres('f.lat', 'f.lon', 'o.lat', 'o.lon')} <= 300000 GROUP BY ALL HAVING count(DISTINCT o.aircraft_id) = 1"""),
     ),
     "j14_overlapping_flights": (
