@@ -1,6 +1,6 @@
 """Operator 9: lexical retrieval packing.
 
-Every task tokenises its rows and cuts them into shards of at most ``SHARD_TOKENS`` ids (a longer document is a
+Texts are tokenised once and their ids written to the shared folder. Every task cuts its rows into shards of at most ``SHARD_TOKENS`` ids (a longer document is a
 shard of its own, and its full windows leave at once). A shard holds a BM25 inverted index of its documents;
 the document frequencies and the mean length come from all documents of the corpus, counted first. A window of
 4096 is opened by the next unused document, whose strongest terms query the index; the unused neighbours that
@@ -37,6 +37,8 @@ QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 CACHE_ENTRIES = 400_000
+#: Documents whose ids are in hand at once while they are written.
+ROWS_AT_ONCE = 500
 _SCHEMA = (
     "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -162,26 +164,50 @@ def _word_ids(name: str, definition: str) -> WordIds:
     return _WORD_IDS[name]
 
 
-def document_frequencies(df: DataFrame, definition: str) -> tuple[int, float, np.ndarray]:
-    """Documents, mean length and each id's document frequency; df has (doc_id, text).
+def tokenised(df: DataFrame, definition: str) -> DataFrame:
+    """Writes (doc_id, ids, terms, counts) once, so that texts are tokenised once: a row per document with its ids as
+    little-endian numbers of ``_id_type``, and a row per task with the terms that it saw and their document counts.
 
-    A task sends one number for each vocabulary entry, so the result does not grow with the corpus.
+    Terms are numbered by the vocabulary; the next number counts documents, the one after tokens. A task sends one count for
+    each entry that it saw, so their number does not grow with the corpus.
     """
     name = hashlib.sha256(definition.encode()).hexdigest()
+    field = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _word_ids(name, definition)
-        seen = np.zeros(ids.size + 2, dtype=np.int64)  # the last two: documents, tokens
+        kind = _id_type(ids.size)
+        seen = np.zeros(ids.size + 2, dtype=np.int64)
+        terms = pa.list_(pa.int64())
+        names, none = ["doc_id", "ids", "terms", "counts"], None
         for batch in batches:
-            for t in batch.column(1):
-                own = ids.encode(t.as_py() or "")
-                seen[np.unique(own)] += 1
-                seen[-2:] += (1, len(own))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
-
-    totals = df.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(_word_ids(name, definition).size + 2, dtype=np.int64)
+            none = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                out = []
+                for t in rows.column(1):
+                    own = ids.encode(t.as_py() or "")
+                    seen[np.unique(own)] += 1
+                    seen[-2:] += (1, len(own))
+                    out.append(own.astype(kind).tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), terms), pa.nulls(len(out), terms)], names=names)
+        if none is not None:
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, none), pa.nulls(1, pa.binary()), pa.array([at], terms), pa.array([seen[at]], terms)], names=names)
+
+    return stored(df.mapInArrow(run, f"doc_id {field}, ids binary, terms array<long>, counts array<long>"), "ids")
+
+
+def _id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def document_frequencies(rows: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
+    """Documents, mean length and each id's document frequency, from the rows of tokenised()."""
+    pair = F.explode(F.arrays_zip("terms", "counts")).alias("p")
+    found = rows.filter("terms IS NOT NULL").select(pair).groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.counts").alias("n"))
+    totals = found.toPandas()  # one row per vocabulary entry at most
+    out = np.zeros(size + 2, dtype=np.int64)
     out[totals["term"].to_numpy(np.int64)] = totals["n"].to_numpy(np.int64)
     return int(out[-2]), float(out[-1] / max(1, out[-2])), out[:-2]
 
@@ -289,15 +315,15 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     with open(tokenizer_path) as f:
         text = f.read()
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    name = hashlib.sha256(text.encode()).hexdigest()
-    spark = df.sparkSession
-    n, mean, found = document_frequencies(docs, text)
+    size = _word_ids(hashlib.sha256(text.encode()).hexdigest(), text).size
+    rows = tokenised(docs, text)
+    n, mean, found = document_frequencies(rows, size)
     idf = np.log1p((n - found + 0.5) / (found + 0.5))
-    shared = spark.sparkContext.broadcast((text, idf, mean))  # bounded by the vocabulary
+    shared = df.sparkSession.sparkContext.broadcast((idf, mean))  # bounded by the vocabulary
+    id_type = _id_type(size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        definition, idf, mean = shared.value
-        ids = _word_ids(name, definition)
+        idf, mean = shared.value
         base = TaskContext.get().partitionId() << 36
         held: list[np.ndarray] = []
         names: list = []
@@ -328,7 +354,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             kind = batch.schema.field(0).type
             for doc_id, t in zip(batch.column(0), batch.column(1), strict=True):
-                own = ids.encode(t.as_py() or "")
+                own = np.frombuffer(t.as_buffer(), dtype=id_type).astype("<u4")
                 if held and size + len(own) > SHARD_TOKENS:
                     yield flush()
                 held.append(own)
@@ -337,4 +363,4 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, _SCHEMA.format(df.schema[id_col].dataType.simpleString()))
+    return rows.filter("ids IS NOT NULL").select("doc_id", "ids").mapInArrow(run, _SCHEMA.format(df.schema[id_col].dataType.simpleString()))
