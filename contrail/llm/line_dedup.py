@@ -4,10 +4,11 @@ Equal lines are merged first, so the join runs over distinct lines. Two distinct
 ``LEAST_CHARS`` code points link when their edit distance is at most ``EDITS``; shorter ones match only when equal. A line
 of length l is split into EDITS + 1 even segments; a partner must contain one of them unchanged, near its
 place. The index holds (l, segment number, segment) of every line; every line probes the lengths n - EDITS .. n
-with the substrings that the length difference and the segment number still allow. Keys that meet are
-candidates: small buckets give candidate pairs whose texts are then fetched; in buckets of more than
-``LARGE_BUCKET`` lines the texts travel with the keys and the pairs are tested inside the join, which emits links
-only. The test is the built-in banded distance with a threshold; the distance of every link is verified by a banded bit-parallel computation.
+with the substrings that the length difference and the segment number still allow. Lines that meet are compared inside
+the join by a 56-bit signature of their words, which rules out most pairs without ever ruling out a link. Texts then
+go to the remaining pairs; only with segments that more than ``LARGE_BUCKET`` lines have they travel with the keys,
+and the pairs are tested inside the join, which puts out links only. The test is the built-in distance with a
+threshold; the distance of every link is verified by a banded bit-parallel computation.
 
 Lines are split at ``\\n``; a line without a word (white space ``\\x20\\x09-\\x0D`` only) is not a line here. Null and empty
 texts have none. Rows with the same id are told apart by ``row``. A class is a group of lines connected by equality and links; its first line has the
@@ -24,7 +25,8 @@ from .shared import stored
 
 EDITS = 2
 LEAST_CHARS = 30
-LARGE_BUCKET = 64
+#: Texts travel with the keys of segments that more lines have, so that the join puts out links only.
+LARGE_BUCKET = 16
 WORDLESS = "^[\\x20\\x09-\\x0D]*$"
 
 
@@ -67,24 +69,31 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     top = 2 * most
     mask = (1 << (top + 1)) - 1
     long = lambda x: F.lit(x).cast("long")
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  evaluates x once
 
-    def step(s: Column, i: Column) -> Column:
-        at = F.get(b, i)
-        window = [
-            F.when((i + (r - most) >= 0) & (F.get(a, F.greatest(i + (r - most), F.lit(0))) == at), long(1 << r)).otherwise(long(0))
-            for r in range(top + 1)
-        ]
-        match = window[0]
-        for w in window[1:]:
-            match = match.bitwiseOR(w)
-        vp, vn = s["vp"], s["vn"]
+    def matches(at: Column, i: Column) -> Column:
+        """Bit r: whether a[i + r - most] is this character of b."""
+        out = long(0)
+        for r in range(top + 1):
+            k = i + (r - most)
+            out = out.bitwiseOR(F.when((k >= 0) & (F.get(a, F.greatest(k, F.lit(0))) == at), long(1 << r)).otherwise(long(0)))
+        return out
+
+    masks = F.transform(b, lambda at, i: F.struct(i.alias("i"), matches(at, i).alias("m"), (F.size(a) - most).alias("last")))
+
+    def step(s: Column, x: Column) -> Column:
+        match, vp, vn = x["m"], s["vp"], s["vn"]
         d0 = ((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(long(mask))
+        return bound(d0, lambda d0: moved(s, x, d0))
+
+    def moved(s: Column, x: Column, d0: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(long(mask))
         hn = d0.bitwiseAND(vp)
-        last = F.size(a) - most  # from here on along the last row
-        row = F.greatest(F.lit(0), top - 1 - (i - last)).cast("int")
-        bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(long(1))
-        dist = s["dist"] + F.when(i < last, 1 - bit(d0, F.lit(top))).otherwise(bit(hp, row) - bit(hn, row))
+        # beyond the last full diagonal the distance moves along the last row
+        row = F.greatest(F.lit(0), top - 1 - (x["i"] - x["last"])).cast("int")
+        bit = lambda v, k: F.call_function("shiftright", v, k).bitwiseAND(long(1))
+        dist = s["dist"] + F.when(x["i"] < x["last"], 1 - bit(d0, F.lit(top))).otherwise(bit(hp, row) - bit(hn, row))
         right = F.shiftright(d0, 1)
         return F.struct(
             hn.bitwiseOR(F.bitwise_not(right.bitwiseOR(hp))).bitwiseAND(long(mask)).alias("vp"),
@@ -93,7 +102,7 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
         )
 
     start = F.struct(long(mask >> most << most).alias("vp"), long(0).alias("vn"), long(most).alias("dist"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda s: s["dist"])
+    return F.aggregate(masks, start, step, lambda s: s["dist"])
 
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,49 +118,50 @@ def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+def signature(line: Column, n: Column) -> Column:
+    """A long: 56 parity bits of the hashed words (parts between single spaces), then the length modulo 256.
+
+    One edit changes at most three words, added and removed, so lines within so many edits differ in at most three
+    times as many parity bits.
+    """
+    one = F.lit(1).cast("long")
+    bit = lambda w: F.call_function("shiftleft", one, F.pmod(F.xxhash64(w), F.lit(56)).cast("int"))
+    parity = F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
+    return F.shiftleft(parity, 8).bitwiseOR((n % 256).cast("long"))
+
+
 def links(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b, distance) with a < b of the linked rows of distinct (id, line)."""
+    """(a, b, distance) with a < b of the linked rows of distinct (id, line, sig)."""
     long_enough = distinct.filter(F.char_length("line") >= least).withColumn("n", F.char_length("line"))
     line, n = F.col("line"), F.col("n")
-    index = long_enough.select("id", "n", F.explode(index_keys(line, n, edits)).alias("seg"))
-    probe = long_enough.select("id", "n", F.explode(F.array_distinct(probe_keys(line, n, edits))).alias("seg"))
-    # rows that share a key with another line; counted by map-side partial sums
-    count = index.groupBy("seg").agg(F.count("*").alias("size"))
-    large = stored(count.filter(F.col("size") > LARGE_BUCKET).select("seg"), "large")
-    ordered = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") > F.col("y.id")))
-    ordered &= F.col("x.n") - F.col("y.n") <= edits
-    pairs = stored(
-        probe.alias("x")
-        .join(index.join(large, "seg", "left_anti").alias("y"), "seg")
-        .filter(ordered)
-        .select(F.greatest("x.id", "y.id").alias("b"), F.least("x.id", "y.id").alias("a"))
-        .distinct(),
-        "pairs",
-    )
+    index = long_enough.select("id", "sig", F.explode(index_keys(line, n, edits)).alias("seg"))
+    probe = long_enough.select("id", "sig", F.explode(F.array_distinct(probe_keys(line, n, edits))).alias("seg"))
+    apart = F.bit_count(F.shiftrightunsigned(F.col("x.sig").bitwiseXOR(F.col("y.sig")), 8))
+    longer = F.pmod(F.col("x.sig").bitwiseAND(255) - F.col("y.sig").bitwiseAND(255), F.lit(256))
+    once = (longer > 0) | (F.col("x.id") > F.col("y.id"))
+    large = stored(index.groupBy("seg").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE_BUCKET).select("seg"), "large")
+    meet = (F.col("x.seg") == F.col("y.seg")) & (longer <= edits) & once & (apart <= 3 * edits)
+    ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    pairs = stored(probe.alias("x").join(index.join(large, "seg", "left_anti").alias("y"), meet).select(*ends).distinct(), "pairs")
     text = distinct.select("id", "line")
-    near = F.levenshtein(F.col("x.line"), F.col("y.line"), edits) >= 0
-    small = (
-        pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-        .join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-        .filter(F.levenshtein("la", "lb", edits) >= 0)
-        .select("a", "b", "la", "lb")
+    # the texts move once: to the ends of pairs, which then meet again
+    both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(text, "id").groupBy("a", "b").agg(
+        F.max(F.when(F.col("id") == F.col("a"), F.col("line"))).alias("la"), F.max(F.when(F.col("id") == F.col("b"), F.col("line"))).alias("lb")
     )
+    small = both.filter(F.levenshtein("la", "lb", edits) >= 0)
     crowded = index.join(large, "seg", "left_semi").join(text, "id")
     seekers = probe.join(large, "seg", "left_semi").join(text, "id")
-    big = (
-        seekers.alias("x")
-        .join(crowded.alias("y"), (F.col("x.seg") == F.col("y.seg")) & ordered & near)
-        .select(
-            F.least("x.id", "y.id").alias("a"),
-            F.greatest("x.id", "y.id").alias("b"),
-            F.when(F.col("x.id") < F.col("y.id"), F.col("x.line")).otherwise(F.col("y.line")).alias("la"),
-            F.when(F.col("x.id") < F.col("y.id"), F.col("y.line")).otherwise(F.col("x.line")).alias("lb"),
-        )
+    near = meet & (F.levenshtein(F.col("x.line"), F.col("y.line"), edits) >= 0)
+    first = F.col("x.id") < F.col("y.id")
+    big = seekers.alias("x").join(crowded.alias("y"), near).select(
+        *ends,
+        F.when(first, F.col("x.line")).otherwise(F.col("y.line")).alias("la"),
+        F.when(first, F.col("y.line")).otherwise(F.col("x.line")).alias("lb"),
+    )
+    found = stored(small.unionByName(big.select("a", "b", "la", "lb")).dropDuplicates(["a", "b"]), "near")
+    return found.select("a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")).filter(
+        F.col("distance") <= edits
     )
-    both = small.unionByName(big).dropDuplicates(["a", "b"])
-    return both.select(
-        "a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")
-    ).filter(F.col("distance") <= edits)
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -162,9 +172,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
         "places",
     )
     distinct = stored(
-        lines.groupBy("key").agg(F.min("line").alias("line")).withColumn("id", F.monotonically_increasing_id()), "distinct"
+        lines.groupBy("key")
+        .agg(F.min("line").alias("line"))
+        .select("key", "line", F.monotonically_increasing_id().alias("id"), signature(F.col("line"), F.char_length("line")).alias("sig")),
+        "distinct",
     )
-    found = stored(links(distinct.select("id", "line"), edits, least).select("a", "b"), "links")
+    found = stored(links(distinct.select("id", "line", "sig"), edits, least).select("a", "b"), "links")
     degree = (
         found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     )
