@@ -205,28 +205,30 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     )
 
 
-def apply(df: DataFrame, most_share: float = 0.1) -> DataFrame:
-    """df without the repeated lines: of each class only its first line stays.
+def apply(df: DataFrame, keep_emptied: bool = True) -> DataFrame:
+    """df without the repeated lines: of each class only its first line stays, whatever share of a document goes.
 
-    A document of which more than ``most_share`` of the words would go is a copy rather than a document with borrowed lines; it is
-    left whole for a join of documents. ``n_chars`` follows the text.
+    A document that has no word left consists of lines that all stand elsewhere; it keeps its row, with what is left of its text, only if
+    ``keep_emptied``. ``n_chars`` follows the text.
     """
     numbered = stored(df.withColumn("__n", F.monotonically_increasing_id()), "rows")
     judged = classes(numbered, "__n")
     gone = (
         judged.groupBy(F.col("doc_id").alias("__n"))
         .agg(
-            F.sum("words").alias("words"),
-            F.sum(F.when(F.col("first"), 0).otherwise(F.col("words"))).alias("lost"),
+            F.every("first").alias("whole"),
+            (~F.some("first")).alias("emptied"),
             F.collect_set(F.when(~F.col("first"), F.col("line_no"))).alias("gone"),
         )
-        .filter((F.col("lost") > 0) & (F.col("lost") <= most_share * F.col("words")))
-        .select("__n", "gone")
+        .filter(~F.col("whole"))
+        .select("__n", "gone", "emptied")
     )
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     out = numbered.join(gone, "__n", "left").withColumn(
         "text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     )
+    if not keep_emptied:
+        out = out.filter(F.col("emptied").isNull() | ~F.col("emptied"))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)

@@ -104,6 +104,25 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_line_dedup_removes_every_repeat(spark):
+    """The stage against brute force: borrowed lines go whatever their share of the document; emptied documents go as a whole."""
+    own = lambda d, n: "\n".join(" ".join(f"own{d}x{k}y{j}" for j in range(6)) for k in range(n))
+    shared = "\n".join(" ".join(f"shared{k}y{j}" for j in range(6)) for k in range(4))
+    rows = [*edited_lines(3), (30, own(30, 4) + "\n" + shared), (31, shared + "\n\n" + own(31, 1)), (32, own(32, 20) + "\n" + shared), (33, shared)]
+    want = {d: t.split("\n") for d, t in rows}
+    for d, i, _, head, at in expected_lines([(k, d, t) for k, (d, t) in enumerate(rows)]):
+        if (d, i) != (head, at):
+            want[d][i] = None
+    want = {d: "\n".join(x for x in t if x is not None) for d, t in want.items()}
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.apply(df).collect()}
+    assert got == {d: (t, len(t)) for d, t in want.items()}
+    assert got[31][0] == "\n" + own(31, 1)
+    left = {r.doc_id for r in line_dedup.apply(df, keep_emptied=False).collect()}
+    assert left == {d for d, t in want.items() if WORD.search(t)}
+    assert 33 not in left
+
+
 @pytest.mark.parametrize("name", ["op2_license_scan", "op6_sharding"])
 def test_oracle(spark, name):
     assert differences(spark, "/root/testdata/sf0.01", queries()[name], oracle_sql()[name]) == ""
