@@ -148,6 +148,12 @@ QUERIES = {
         sql(f"""SELECT strftime(takeoff, '%Y-%m-%d') AS day, sum(s)::BIGINT AS n_flights, sum(s * ({SECS}))::BIGINT AS total_seconds, sum(s * towed::INT)::BIGINT AS n_towed FROM
             (SELECT takeoff, landing, towed, -1 AS s FROM flights WHERE flight_id % 5 = 0 UNION ALL SELECT takeoff + INTERVAL 1 DAY, landing, towed, 1 FROM flights WHERE flight_id % 5 = 0) GROUP BY 1"""),
     ),
+    # all flights; x9_rollup_delta keeps the subset that its oracle SQL names
+    "x9_rollup_delta_all": (
+        lambda s, p: rollups.rollup_delta(d.flights(s, p), d.flights(s, p).withColumn("takeoff", F.expr("takeoff + INTERVAL 1 DAY"))),
+        sql(f"""SELECT strftime(takeoff, '%Y-%m-%d') AS day, sum(s)::BIGINT AS n_flights, sum(s * ({SECS}))::BIGINT AS total_seconds, sum(s * towed::INT)::BIGINT AS n_towed FROM
+            (SELECT takeoff, landing, towed, -1 AS s FROM flights UNION ALL SELECT takeoff + INTERVAL 1 DAY, landing, towed, 1 FROM flights) GROUP BY 1"""),
+    ),
     "w2_superseded": (
         lambda s, p: tracks.superseded(d.flights(s, p)),
         sql("""SELECT flight_id, aircraft_id, epoch(takeoff + INTERVAL 1 SECOND)::BIGINT AS landed FROM flights WHERE landing IS NULL
