@@ -3,9 +3,9 @@
 Texts are tokenised once and their ids written to the shared folder. Every task cuts its rows into shards of at most ``SHARD_TOKENS`` ids (a longer document is a
 shard of its own, and its full windows leave at once). A shard holds a BM25 inverted index of its documents;
 the document frequencies and the mean length come from all documents of the corpus, counted first. A window of
-4096 is opened by the next unused document, whose strongest terms query the index; the unused neighbours that
-come back fill the window greedily, best first, the last one cut to fit and its rest left as an unused
-document. Where neighbours run out the next unused document follows. So every window but the shard's last is
+4096 is opened by the next unused document, all of whose terms query the index; the unused neighbours in the shard
+fill the window greedily, best first, until it is full or none is left that shares a term, the last one cut to fit
+and its rest left as an unused document. Where neighbours run out the next unused document follows. So every window but the shard's last is
 full; the last one's ids are laid in windows whose lengths are powers of two and need no padding.
 
 Rows with null text count as empty and consist of the end id alone. Repeated ids and texts stay separate pieces.
@@ -33,8 +33,8 @@ from .shared import stored
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-QUERY_TERMS = 24
-NEIGHBOURS = 64
+#: Neighbours that are sorted at first; more follow while a window has room.
+FIRST_BLOCK = 64
 K1, B = 1.2, 0.75
 CACHE_ENTRIES = 400_000
 #: Documents whose ids are in hand at once while they are written.
@@ -223,23 +223,30 @@ class Index:
             norm = K1 * (1 - B + B * len(ids) / mean)
             terms.append(term.astype(np.int64))
             weights.append((idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
-        self.strongest = [t[np.argsort(-w, kind="stable")[:QUERY_TERMS]] for t, w in zip(terms, weights, strict=True)]
+        self.terms = terms
         owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
         self.owner, self.weight = owner[order], np.concatenate(weights)[order]
         self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
 
-    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score for the document's strongest terms; only those that share one."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.strongest[doc]]
+    def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term, by falling score for all terms of the document.
+
+        They are sorted in blocks, each four times the one before, as far as the caller asks.
+        """
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.terms[doc]]
         owners = np.concatenate([self.owner[s] for s in spans])
         scores = np.bincount(owners, np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
         scores[~unused] = 0
-        most = min(NEIGHBOURS, self.n)
-        best = np.argpartition(-scores, most - 1)[:most]
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        found = np.flatnonzero(scores)
+        block = FIRST_BLOCK
+        while len(found):
+            least = -np.partition(-scores[found], min(block, len(found)) - 1)[min(block, len(found)) - 1]
+            near = scores[found] >= least
+            best, found = found[near], found[~near]
+            yield from best[np.lexsort((best, -scores[best]))].tolist()
+            block *= 4
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:
@@ -258,7 +265,6 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[tup
     index = Index(docs, idf, mean) if unused.sum() > 1 else None
     left = int((lengths - start).sum())
     cursor, room = 0, WINDOW
-    queue: list[int] = []
     last: list[tuple[int, int, int]] = []  # of the window that stays short
 
     def place(i: int) -> None:
@@ -277,12 +283,11 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[tup
         seed = cursor
         place(seed)
         if room and index and left > room:
-            queue = index.neighbours(seed, unused).tolist()
-            for i in queue:
-                if not room:
-                    break
+            for i in index.neighbours(seed, unused):
                 if unused[i]:
                     place(i)
+                if not room:
+                    break
         while room and left:
             while not unused[cursor]:
                 cursor += 1

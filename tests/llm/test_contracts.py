@@ -436,6 +436,31 @@ def test_packing_of_small_shards(spark, sf, docs, monkeypatch):
     assert sum(len(set(m)) == 1 for m in full) >= len(full) - 5
 
 
+def test_packing_asks_on_until_the_window_is_full():
+    """Short documents: far more than a first block of neighbours fit a window. Also against plain scores over all terms."""
+    rng = np.random.default_rng(2)
+    texts_ = [rng.integers(100 * (i % 4), 100 * (i % 4) + 100, 30).astype("<u4") for i in range(2000)]
+    pieces = packing.pack_shard(texts_, np.ones(500), 30.0)
+    total, members = defaultdict(int), defaultdict(set)
+    for doc, _, n, seq, _ in pieces:
+        total[seq] += n
+        members[seq].add(doc % 4)
+    full = [m for s, m in members.items() if total[s] == 4096]
+    assert sum(len(m) == 1 for m in full) >= len(full) - 4
+
+    words = [rng.integers(0, 2000, 200).astype("<u4") for _ in range(150)]
+    idf = rng.random(2000) + 0.1
+    index = packing.Index(words, idf, 200.0)
+    counts = [Counter(w.tolist()) for w in words]
+    weight = lambda t, d: idf[t] * counts[d][t] * 2.2 / (counts[d][t] + 1.2)
+    want = {d: sum(weight(t, d) for t in counts[0].keys() & counts[d].keys()) for d in range(1, 150)}
+    unused = np.ones(150, dtype=bool)
+    unused[0] = False
+    got = list(index.neighbours(0, unused))
+    assert sorted(got) == sorted(d for d in want if want[d] > 0)
+    assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+
+
 def test_word_ids_match_tokenizer():
     from tokenizers import Tokenizer
 
