@@ -5,8 +5,9 @@ of the base rules, and the 64-bit hashes of its normalised lines (A-Z folded, wh
 number of words in each. From then on only these few numbers move:
 
 1. distinct (host, line, document) are counted by (host, line) with map-side partial sums;
-2. a line is *boilerplate of its host* when it stands in at least ``min_docs`` documents and in more than
-   ``share`` of the host's documents (a host has at most lines-per-document / share such lines);
+2. a line is *boilerplate of its host* when it stands in at least ``most_docs`` documents, however large the host is; or in
+   at least ``min_docs`` and in more than ``share`` of the host's documents; or, in a host of fewer than ``min_docs``
+   documents, in at least ``SMALL_DOCS`` and in more than ``SMALL_SHARE`` of them;
 3. boilerplate lines are removed; a document with less than ``keep_words`` of its words left is depleted.
 
 Verdict: base rules passed and not depleted. Rows are never merged: repeated ids and repeated texts stay
@@ -32,6 +33,10 @@ WINDOW = 5
 MIN_DOCS = 20
 SHARE = 0.10
 KEEP_WORDS = 0.5
+#: In so many documents of its host a line is boilerplate, whatever share they are.
+MOST_DOCS = 20
+#: Hosts of fewer than min_docs documents.
+SMALL_DOCS, SMALL_SHARE = 3, 0.5
 
 _FEATURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -108,19 +113,21 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     return source.mapInArrow(run, f"{schema}, {_FEATURES}" if schema else _FEATURES)
 
 
-def frequent_lines(figures: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(figures: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """(host, line) over the limits; figures has the columns __host and line_hash."""
     hosts = figures.groupBy("__host").agg(F.count("*").alias("docs"))
     lines = (
         figures.select("__host", F.explode(F.array_distinct("line_hash")).alias("line"))
         .groupBy("__host", "line")
         .agg(F.count("*").alias("in_docs"))
-        .filter(F.col("in_docs") >= min_docs)
+        .filter(F.col("in_docs") >= min(min_docs, most_docs, SMALL_DOCS))
     )
+    of_many = (F.col("in_docs") >= min_docs) & (F.col("in_docs") > share * F.col("docs"))
+    of_few = (F.col("docs") < min_docs) & (F.col("in_docs") >= SMALL_DOCS) & (F.col("in_docs") > SMALL_SHARE * F.col("docs"))
     return (
         lines.alias("l")
         .join(hosts.alias("h"), F.col("l.__host").eqNullSafe(F.col("h.__host")))
-        .filter(F.col("in_docs") > share * F.col("docs"))
+        .filter((F.col("in_docs") >= most_docs) | of_many | of_few)
         .select(F.col("l.__host").alias("__host"), "line")
     )
 
@@ -132,6 +139,7 @@ def verdicts(
     min_docs: int = MIN_DOCS,
     share: float = SHARE,
     keep_words: float = KEEP_WORDS,
+    most_docs: int = MOST_DOCS,
 ) -> DataFrame:
     """Every row of df (whose other columns must not bear the names of figures) without its text, with its figures, ``removed`` (array of the boilerplate line hashes in it), ``n_removed_words``, ``base_failed`` and ``kept``."""
     figures = stored(
@@ -140,7 +148,7 @@ def verdicts(
         ),
         "figures",
     )
-    frequent = frequent_lines(figures, min_docs, share).withColumn("__known", F.lit(True))
+    frequent = frequent_lines(figures, min_docs, share, most_docs).withColumn("__known", F.lit(True))
     lines = figures.select("__row", "__host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")).select(
         "__row", "__host", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("words")
     )

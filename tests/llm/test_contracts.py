@@ -164,6 +164,16 @@ def test_quality_rules_removes_lines(spark):
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
+def test_quality_rules_in_large_and_small_hosts(spark):
+    """20 of 1,000 documents are enough in a hot host; in a host of 6, 4 are, 3 are not."""
+    body = lambda i: " ".join(f"w{i}_{k}" for k in range(12))
+    rows = [(i, f"{body(i)}\n{'hot line' if i < 20 else f'own {i}'}\n{'rarer line' if i < 19 else f'more {i}'}", "hot") for i in range(1000)]
+    rows += [(2000 + i, f"{body(2000 + i)}\n{'small line' if i < 4 else 'x'}\n{'half line' if i < 3 else f'y{i}'}", "small") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed_words for r in quality_rules.verdicts(df).collect()}
+    assert got == {d: 2 * (d < 20 or 2000 <= d < 2004) for d, _, _ in rows}
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------
 
 
