@@ -13,11 +13,16 @@ further. Every linked pair meets in the region of its first common shingle. The
 fixed-size bitmap of counted hash buckets says which; it only affects the order, never the result), so a passage
 that thousands of documents repeat does not bring them together.
 
-*Inside a region* the smallest member is the pivot; all others measure their exact distance to it. Members within
-0.2 are linked and need no comparison among themselves, since only the group matters. Members left outside, and
-those of the pivot's cell in the triangle-inequality window around their distance, form the next smaller region, which takes
-another pivot, and so on; when few stay apart they are compared with all others in the window. Nothing is
-capped: rounds only decide in which order distances are measured.
+*Inside a region* the smallest member is the pivot; the others are compared with it. Members within
+0.2 are linked and need no comparison among themselves, since only the group matters. In regions that stay large, members left outside
+take another pivot, with a triangle-inequality window around the distances to the one before, and so on; when few stay apart they are compared
+with all others of the region. Nothing is capped: rounds only decide in which order distances are measured.
+
+*Distances* are measured on whole sets, and those are made from texts again: for each pair the text of one class travels to
+the other class, which is sent once (a class with very many partners once for every ``SPOKES`` of them). Before that, 512 parity bits of each set
+give a lower bound of the distance, which rules out most pairs and never a link.
+
+A class has a 63-bit key and a second one of 64 bits; classes that share the first are told apart by the second.
 
 Empty sets (null text or no word) link with nothing, also not with one another. Repeated rows stay rows of one class. Fewer
 words than five count as one shingle of the whole sequence.
@@ -34,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import discard, stored
 from .textvec import Block, blocks, mix, per_text, range_hash, windows
 
 SHINGLE = 5
@@ -42,13 +47,20 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Hash buckets for counting shingles, as a power of two; a bitmap of them is sent to all workers (8 MB).
 BUCKET_BITS = 26
+#: Hash buckets of the ids whose texts are wanted, as a power of two (2 MB).
+PICK_BITS = 24
 #: A shingle is common when its bucket holds so many, plus twice the mean.
 COMMON = 32
-#: Regions with more members take further pivots, as long as that shrinks them, before members are compared in pairs.
-LARGE_REGION = 64
+#: Regions with more members take further pivots, as long as that shrinks them, before the signatures of members are compared in pairs.
+LARGE_REGION = 512
 PIVOT_ROUNDS = 6
 #: Classes that a task remembers having sent, so that copies are sent once; the store is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Shingles whose buckets a task holds before it counts them.
+HELD = 400_000
+#: Partners of a class that one group compares with it.
+SPOKES = 500
+SIGNATURE = [f"s{k}" for k in range(8)]
 _U64 = np.uint64
 
 
@@ -74,12 +86,29 @@ def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.concatenate([[0], np.cumsum(per_text(owners, n))])
 
 
-def _class_keys(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set; 0 for the empty set."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams * _U64(0x9FB21C651E98DF25) + _U64(1)))])
+def _class_keys(grams: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys of each set, of 63 and 64 bits; the first is 0 for the empty set."""
     sizes = np.diff(off)
-    key = mix(sums[off[1:]] - sums[off[:-1]] + sizes.astype(np.uint64) * _U64(0xA0761D6478BD642F))
-    return np.where(sizes > 0, key | _U64(1), _U64(0)).view(np.int64)
+
+    def summed(times: int, add: int) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams * _U64(times) + _U64(add)))])
+        return mix(sums[off[1:]] - sums[off[:-1]] + sizes.astype(np.uint64) * _U64(0xA0761D6478BD642F))
+
+    first = np.where(sizes > 0, summed(0x9FB21C651E98DF25, 1) | _U64(1), _U64(0))
+    return first.view(np.int64), summed(0xC2B2AE3D27D4EB4F, 7).view(np.int64)
+
+
+def _signatures(grams: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """512 parity bits of each set: two sets differ in at least as many shingles as in bits."""
+    full = np.flatnonzero(np.diff(off))
+    word, bit = (grams >> _U64(61)).astype(np.int8), _U64(1) << (grams >> _U64(55) & _U64(63))
+    out = []
+    for k in range(len(SIGNATURE)):
+        bits = np.zeros(len(off) - 1, dtype=np.uint64)
+        if len(full):
+            bits[full] = np.bitwise_xor.reduceat(np.where(word == k, bit, _U64(0)), off[:-1][full])
+        out.append(bits.view(np.int64))
+    return out
 
 
 def _prefix_sizes(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -95,8 +124,9 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts. Rows (doc_id, n_shingles, cls) for the documents, and rows (part, counts) that count,
+    """One pass over the texts. Rows (doc_id, n_shingles, cls, cls2, signature) for the documents, and rows (part, counts) that count,
     in compact form, the hash buckets of the shingles that may become pivots, with half as many to spare."""
+    numbers = ["n_shingles", "cls", "cls2", *SIGNATURE]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -110,35 +140,34 @@ def _scan(docs: DataFrame) -> DataFrame:
             none = len(part)
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array(part.astype(np.int32)), pa.array(packed, pa.binary())],
+                [pa.nulls(none, kind), *(pa.nulls(none, pa.int64()) for _ in numbers), pa.array(part.astype(np.int32)), pa.array(packed, pa.binary())],
                 names=names,
             )
 
-        names, kind = ["doc_id", "n_shingles", "cls", "part", "counts"], pa.int64()
+        names, kind = ["doc_id", *numbers, "part", "counts"], pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
             for block in blocks(batch.column(1)):
                 grams, off = shingle_sets(block)
                 sizes = np.diff(off)
                 some = np.minimum(sizes, _prefix_sizes(sizes, NUM, DEN) * 3 // 2)
-                held.append((grams[_ragged(off[:-1], some)] & _U64((1 << BUCKET_BITS) - 1)).astype(np.int64))
+                held.append((grams[_ragged(off[:-1], some)] & _U64((1 << BUCKET_BITS) - 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.first, block.n),
-                        pa.array(sizes),
-                        pa.array(_class_keys(grams, off)),
+                        *map(pa.array, (sizes, *_class_keys(grams, off), *_signatures(grams, off))),
                         pa.nulls(block.n, pa.int32()),
                         pa.nulls(block.n, pa.binary()),
                     ],
                     names=names,
                 )
-                if sum(map(len, held)) > 1_000_000:
+                if sum(map(len, held)) > HELD:
                     yield counted()
         if held:
             yield counted()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, part int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{x} long' for x in numbers)}, part int, counts binary")
 
 
 def _common(counts: DataFrame) -> np.ndarray:
@@ -179,7 +208,7 @@ def _has_bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _regions(docs: DataFrame, common: Broadcast) -> DataFrame:
+def _regions(docs: DataFrame, common: Broadcast, clashes: list[int]) -> DataFrame:
     """(pivot, cls, n, pos): every class in the regions of its window, by the global order (common, hash)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +217,7 @@ def _regions(docs: DataFrame, common: Broadcast) -> DataFrame:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 grams, off = shingle_sets(block)
-                keys, sizes = _class_keys(grams, off), np.diff(off)
+                keys, sizes = _resolved(*_class_keys(grams, off), clashes), np.diff(off)
                 new = [k not in sent and not sent.add(k) for k in keys.tolist()]
                 if len(sent) > REMEMBERED:
                     sent = {0}
@@ -211,6 +240,11 @@ def _regions(docs: DataFrame, common: Broadcast) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "pivot long, cls long, n int, pos int")
 
 
+def _resolved(first: np.ndarray, second: np.ndarray, clashes: list[int]) -> np.ndarray:
+    """The first keys; where classes share one, the second."""
+    return np.where(np.isin(first, clashes), second, first) if clashes else first
+
+
 def _reach(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     """Whether sets of these sizes whose common shingles begin at these positions can be similar enough."""
     return (NUM + DEN) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= NUM * (n1 + n2)
@@ -272,19 +306,16 @@ def _meetings(regions: DataFrame) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cls, grams) of the needed classes, from the text of each class's first document.
+def _texts(docs: DataFrame, classes: DataFrame, needed: DataFrame, clashes: list[int]) -> DataFrame:
+    """(cls, text) of the needed classes, from each class's first document.
 
-    A fixed-size bitmap of hashed ids spares the shingles of other documents; the join makes it exact.
+    A fixed-size bitmap of hashed ids spares the other documents; the join makes it exact.
     """
-    first = rows.filter("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(needed, "cls", "left_semi")
-    first = stored(first, "needed")
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << BUCKET_BITS)).cast("int")
-    words = first.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("v")
-    )
-    marks = np.zeros(1 << (BUCKET_BITS - 5), dtype="<u4")
-    pdf = words.toPandas()
+    first = stored(classes.join(needed, "cls", "left_semi").filter("least IS NOT NULL").select("cls", F.col("least").alias("doc_id")), "needed")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << PICK_BITS)).cast("int")
+    words = first.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("v"))
+    marks = np.zeros(1 << (PICK_BITS - 5), dtype="<u4")
+    pdf = words.toPandas()  # 2 ** (PICK_BITS - 5) rows at most
     marks[pdf["w"].to_numpy(np.int64)] = pdf["v"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(marks.view(np.uint8))
 
@@ -296,95 +327,125 @@ def _sets(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
                 continue
             part = batch.take(pa.array(mine))
             for block in blocks(part.column(1)):
-                grams, off = shingle_sets(block)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).slice(block.first, block.n),
-                        pa.array(_class_keys(grams, off)),
-                        pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(grams.view(np.int64))),
-                    ],
-                    names=["doc_id", "cls", "grams"],
-                )
+                rows = part.slice(block.first, block.n)
+                keys = _resolved(*_class_keys(*shingle_sets(block)), clashes)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys), rows.column(1)], names=["doc_id", "cls", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("at")).mapInArrow(
-        run, f"doc_id {kind}, cls long, grams array<long>"
-    )
-    return stored(made.join(first, ["doc_id", "cls"], "left_semi").drop("doc_id").dropDuplicates(["cls"]), "sets")
-
-
-def _distances(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, d, linked) of the distinct pairs (a, b), exactly."""
-    pairs = stored(pairs, "pairs")
-    sets = _sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    measured = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", both.alias("common"), (F.size("ga") + F.size("gb") - both).alias("either")
-    )
-    return stored(
-        measured.select(
-            "a", "b", (1 - F.col("common") / F.col("either")).alias("d"), (DEN * F.col("common") >= NUM * F.col("either")).alias("linked")
-        ),
-        "distances",
-    )
+    made = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("at")).mapInArrow(run, f"doc_id {kind}, cls long, text string")
+    return stored(made.join(first, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"]).select("cls", "text"), "texts")
+
 
+def _plausible(x: str, y: str) -> Column:
+    """Whether the signatures of two sets leave room for a link: n1 + n2 >= 9 times the shingles that only one of them has."""
+    apart = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGNATURE), F.lit(0))
+    return (DEN + NUM) * apart <= (DEN - NUM) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-def _labelled(meet: DataFrame, groups: DataFrame) -> DataFrame:
-    """Region members with their group; only regions that still hold more than one."""
-    named = meet.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_regions = named.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("pivot")
-    return named.join(open_regions, "pivot", "left_semi")
 
+def _signed_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (spoke, hub) that the signatures do not rule out."""
+    signed = classes.select("cls", "n", *SIGNATURE)
+    met = pairs.join(signed.alias("x"), F.col("spoke") == F.col("x.cls")).join(signed.alias("y"), (F.col("hub") == F.col("y.cls")) & _plausible("x", "y"))
+    return met.select("spoke", "hub")
 
-def class_links(docs: DataFrame, rows: DataFrame, common: np.ndarray) -> DataFrame:
+
+def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, clashes: list[int]) -> DataFrame:
+    """(spoke, hub, d, linked) of the distinct pairs (spoke, hub), exactly; a pair that is ruled out has no row."""
+    pairs = stored(_signed_pairs(pairs, classes), "pairs")
+    texts = _texts(docs, classes, pairs.select(F.explode(F.array("spoke", "hub")).alias("cls")).distinct(), clashes)
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("k")).filter(F.col("k") > SPOKES)
+    share = F.ceil(F.coalesce("k", F.lit(1)) / SPOKES)
+    salted = pairs.join(sizes, "hub", "left").select("spoke", "hub", F.pmod(F.xxhash64("spoke"), share).cast("int").alias("part"))
+    spokes = salted.join(texts.withColumnRenamed("cls", "spoke"), "spoke").select("hub", "part", "spoke", "text")
+    hubs = salted.select("hub", "part").distinct().join(texts.withColumnRenamed("cls", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("spoke"), "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, dtype=np.uint64)  # the set of the hub whose spokes follow
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                rows = batch.slice(block.first, block.n)
+                grams, off = shingle_sets(block)
+                common, either = np.zeros(block.n, np.int64), np.ones(block.n, np.int64)
+                is_hub = rows.column(1).is_null().to_numpy(zero_copy_only=False)
+                for k in range(block.n):
+                    own = grams[off[k] : off[k + 1]]
+                    if is_hub[k]:
+                        held = own.copy()
+                        continue
+                    at = np.searchsorted(held, own)
+                    common[k] = np.count_nonzero(held[np.minimum(at, len(held) - 1)] == own)
+                    either[k] = len(held) + len(own) - common[k]
+                keep = pa.array(~is_hub)
+                out = [rows.column(1), rows.column(0), pa.array(1 - common / either), pa.array(DEN * common >= NUM * either)]
+                yield pa.RecordBatch.from_arrays([x.filter(keep) for x in out], names=["spoke", "hub", "d", "linked"])
+
+    met = hubs.unionByName(spokes).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("spoke").asc_nulls_first())
+    out = stored(met.select("hub", "spoke", "text").mapInArrow(run, "spoke long, hub long, d double, linked boolean"), "distances")
+    discard(texts, pairs)
+    return out
+
+
+def _groups(done: DataFrame) -> DataFrame:
+    return components(done.filter("linked").select(F.col("spoke").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "cls")
+
+
+def _open(member: DataFrame, groups: DataFrame) -> DataFrame:
+    """Region members with their group and the region's size; only regions that still hold more than one group."""
+    named = member.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = named.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
+    return stored(named.join(sizes.select("pivot", "size"), "pivot"), "open")
+
+
+def group_links(docs: DataFrame, classes: DataFrame, common: np.ndarray, clashes: list[int]) -> DataFrame:
     """Links (a, b) between classes that connect exactly the classes connected by similarity."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    meet = stored(_meetings(_regions(docs, shared)), "meet")
+    meet = stored(_meetings(_regions(docs, shared, clashes)), "meet")
+    shared.unpersist()
     reach = _reach(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"))
-    done = _distances(
-        meet.filter("cls != lead").filter(reach).select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b")).distinct(),
-        docs,
-        rows,
-    )
-    # distance of each member to its region's pivot, for the triangle windows; the pivot itself is finished
-    member = stored(
-        meet.filter("cls != lead")
-        .withColumns({"a": F.greatest("cls", "lead"), "b": F.least("cls", "lead")})
-        .join(done.select("a", "b", "d"), ["a", "b"], "left")
-        .select("pivot", "cls", "n", "pos", "d"),
-        "outside",
-    )
+    pairs = meet.filter(F.col("cls") != F.col("lead")).filter(reach).select(F.col("cls").alias("spoke"), F.col("lead").alias("hub")).distinct()
+    done = _measured(pairs, docs, classes, clashes)
+    # the pivot itself is finished
+    left = _open(meet.filter("cls != lead").select("pivot", "cls", "n", "pos"), _groups(done)).withColumn("d", F.lit(None).cast("double"))
+    discard(meet)
+    small, large = left.filter(F.col("size") <= LARGE_REGION), left.filter(F.col("size") > LARGE_REGION)
+    before = 0
     for _ in range(PIVOT_ROUNDS):
-        left = stored(_labelled(member, components(done.filter("linked").select("a", "b"))), "open")
-        large = left.groupBy("pivot").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE_REGION).select("pivot")
-        if large.isEmpty():
+        members = large.count()
+        if not members or 0 < 0.9 * before < members:
             break
-        crowded = left.join(large, "pivot", "left_semi")
-        lead = _next_pivots(crowded)
+        before = members
+        lead = stored(_next_pivots(large), "leads")
         near = _window(F.col("d"), F.col("lead_d")) & _reach(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"))
-        pairs = crowded.join(lead, "pivot").filter((F.col("comp") != F.col("lead_comp")) & near)
-        pairs = pairs.select(F.greatest("cls", "lead").alias("a"), F.least("cls", "lead").alias("b")).distinct()
-        done = done.unionByName(_distances(pairs.join(done, ["a", "b"], "left_anti"), docs, rows))
-        member = stored(
-            left.drop("comp").join(lead.select("pivot", F.col("lead").alias("cls")), ["pivot", "cls"], "left_anti"), "outside"
+        pairs = large.join(lead, "pivot").filter((F.col("comp") != F.col("lead_comp")) & near).select(F.col("cls").alias("spoke"), F.col("lead").alias("hub"))
+        new = _measured(_unmeasured(pairs.distinct(), done), docs, classes, clashes)
+        done = done.unionByName(new)
+        outside = (
+            large.drop("comp", "size", "d")
+            .join(lead.select("pivot", "lead"), "pivot")
+            .filter("cls != lead")
+            .join(new.select(F.col("spoke").alias("cls"), F.col("hub").alias("lead"), "d"), ["cls", "lead"], "left")
         )
-    else:
-        left = stored(_labelled(member, components(done.filter("linked").select("a", "b"))), "open")
+        left = _open(outside.drop("lead"), _groups(done))
+        small, large = small.unionByName(left.filter(F.col("size") <= LARGE_REGION)), left.filter(F.col("size") > LARGE_REGION)
     # members of a region's main group are connected already; all others meet everyone in their window
+    left = small.unionByName(large)
     size = left.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
     main = size.groupBy("pivot").agg(F.max(F.struct("size", "comp")).alias("m")).select("pivot", F.col("m.comp").alias("main"))
-    minor = left.join(main, "pivot").filter("comp != main").drop("main")
-    x, y = minor.alias("x"), left.alias("y")
+    left = stored(left.join(classes.select("cls", *SIGNATURE), "cls").join(main, "pivot"), "left")
+    pairs = _unmeasured(_region_pairs(left.filter("comp != main"), left, F.col("x.comp") != F.col("y.comp")), done)
+    return done.unionByName(_measured(pairs, docs, classes, clashes)).filter("linked").select(F.col("spoke").alias("a"), F.col("hub").alias("b"))
+
+
+def _region_pairs(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
+    x, y = left.alias("x"), right.alias("y")
     near = _window(F.col("x.d"), F.col("y.d")) & _reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    pairs = (
-        x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.comp") != F.col("y.comp")) & near)
-        .select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b"))
-        .distinct()
-    )
-    new = _distances(pairs.join(done, ["a", "b"], "left_anti"), docs, rows)
-    return done.unionByName(new).filter("linked").select("a", "b")
+    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & extra & near & _plausible("x", "y"))
+    return met.select(F.greatest("x.cls", "y.cls").alias("spoke"), F.least("x.cls", "y.cls").alias("hub")).distinct()
+
+
+def _unmeasured(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    both = done.select(F.explode(F.array(F.struct("spoke", "hub"), F.struct(F.col("hub").alias("spoke"), F.col("spoke").alias("hub")))).alias("p")).select("p.*")
+    return pairs.join(both, ["spoke", "hub"], "left_anti")
 
 
 def _next_pivots(crowded: DataFrame) -> DataFrame:
@@ -403,19 +464,35 @@ def _window(d1: Column, d2: Column) -> Column:
     return F.coalesce(F.abs(d1 - d2) <= (1 - NUM / DEN) + 1e-9, F.lit(True))
 
 
+def _prepared(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray, list[int]]:
+    """Documents, their rows (doc_id, n_shingles, cls), the classes, the common buckets and the first keys that classes share."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    seen = stored(_scan(docs), "scan")
+    rows = seen.filter("part IS NULL").drop("part", "counts")
+
+    def classes() -> DataFrame:
+        merged = rows.filter("cls != 0").groupBy("cls").agg(
+            F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SIGNATURE), F.min("cls2").alias("lo"), F.max("cls2").alias("hi")
+        )
+        return stored(merged, "classes")
+
+    made = classes()
+    clashes = [r.cls for r in made.filter("lo != hi").select("cls").collect()]  # about n * n / 2 ** 64 of n classes
+    if clashes:
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(clashes), F.col("cls2")).otherwise(F.col("cls")))
+        made = classes()
+    return docs, rows.select("doc_id", "n_shingles", "cls"), made, _common(seen.filter("part IS NOT NULL").select("part", "counts")), clashes
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the smallest id reachable by links, itself included.
 
-    A row without an id keeps its class's group but connects nothing by itself. The input is read three times and
-    must give the same rows each time.
+    Only groups are found, not the links within them; ``links`` has those. A row without an id keeps its class's group but
+    connects nothing by itself. The input is read several times and must give the same rows each time.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = stored(_scan(docs), "scan")
-    rows = seen.filter("part IS NULL").select("doc_id", "n_shingles", "cls")
-    common = _common(seen.filter("part IS NOT NULL").select("part", "counts"))
-    groups = components(class_links(docs, rows, common)).withColumnRenamed("node", "cls")
-    first = rows.filter("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = first.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    docs, rows, classes, common, clashes = _prepared(df, id_col, text_col)
+    groups = components(group_links(docs, classes, common, clashes)).withColumnRenamed("node", "cls")
+    named = stored(classes.select("cls", "least").join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "named")
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = named.join(ids, "comp").select("cls", "component_id")
     return rows.join(by_class, "cls", "left").select(
@@ -423,6 +500,19 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     )
 
 
+def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and the membership: (a, b, d) of classes, each named by its smallest id, and
+    (doc_id, class_id) per row with a set. A group of g different near copies has up to g * g / 2 links, and all are given."""
+    docs, rows, classes, common, clashes = _prepared(df, id_col, text_col)
+    meet = stored(_meetings(_regions(docs, docs.sparkSession.sparkContext.broadcast(common), clashes)), "meet")
+    member = meet.select("pivot", "cls", "n", "pos", F.lit(None).cast("double").alias("d")).join(classes.select("cls", *SIGNATURE), "cls")
+    done = _measured(_region_pairs(member, member, F.col("x.cls") > F.col("y.cls")), docs, classes, clashes)
+    name = classes.select("cls", F.col("least").alias("class_id"))
+    a, b = (name.select(F.col("cls").alias(side), F.col("class_id").alias(as_)) for side, as_ in (("spoke", "p"), ("hub", "q")))
+    found = done.filter("linked").join(a, "spoke").join(b, "hub").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "d")
+    return found, rows.join(name, "cls").select("doc_id", "class_id")
+
+
 def apply(df: DataFrame) -> DataFrame:
     """One document of each group: the one with the smallest id."""
     gone = join(df).filter("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()

@@ -16,9 +16,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A fresh path below spark.checkpoint.dir, the folder that all machines of the cluster share.
 
-    Only where the setting is absent (a local session, as in tests) the warehouse folder stands in.
+    In a local session without that setting (one machine) the warehouse folder stands in; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     path = f"{root.rstrip('/')}/contrail-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -34,6 +38,14 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

@@ -1,7 +1,7 @@
 """Vectorised text scanning over Arrow string columns.
 
 A *block* is the UTF-8 bytes of some whole texts laid end to end plus their offsets. All helpers work on
-blocks of about one megabyte (one longer text makes a block of its own), so memory stays flat whatever the
+blocks of about 256 kB (one longer text makes a block of its own), so memory stays flat whatever the
 Arrow batch holds. Words are maximal runs of bytes outside ``\\x20\\x09-\\x0D``; lines are split at ``\\n``.
 
 Hashes are 64-bit: a span's value is a polynomial over random byte codes with an odd base modulo 2**64, taken
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd

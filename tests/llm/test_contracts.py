@@ -282,14 +282,44 @@ def near_copies(seed, words=60, groups=12, copies=9, edits=8):
     return out
 
 
-@pytest.mark.parametrize(("seed", "large"), [(1, 64), (2, 64), (3, 3), (4, 2)])
+@pytest.mark.parametrize(("seed", "large"), [(1, 512), (2, 64), (3, 3), (4, 2)])
 def test_jaccard_join_near_the_limit(spark, monkeypatch, seed, large):
     monkeypatch.setattr(jaccard_join, "LARGE_REGION", large)
+    monkeypatch.setattr(jaccard_join, "SPOKES", large)
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, jaccard_join.join(df).collect())) == expected_join(rows)
 
 
+def test_jaccard_join_tells_classes_with_one_key_apart(spark, monkeypatch):
+    plain = jaccard_join._class_keys
+
+    def weak(grams, off):
+        first, second = plain(grams, off)
+        return np.where(first == 0, 0, (first & 7) * 2 + 1), second
+
+    monkeypatch.setattr(jaccard_join, "_class_keys", weak)
+    rows = near_copies(5, groups=5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_join.join(df).collect())) == expected_join(rows)
+
+
+def test_jaccard_links_are_complete(spark):
+    """Every link between different sets, and every document's class, against all pairs."""
+    rows = [*near_copies(6), (900, near_copies(6)[0][1]), (901, None)]
+    sets = {d: shingles(t) for d, t in rows}
+    name = {}
+    for d, s in sorted(sets.items()):
+        name.setdefault(s, d)
+    kinds = sorted((d, s) for s, d in name.items() if s)
+    want = {(a, b) for a, s in kinds for b, t in kinds if a < b and 100 * len(s & t) >= 80 * len(s | t)}
+    found, members = jaccard_join.links(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = found.collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert all(abs(r.d - (1 - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]))) < 1e-12 for r in got)
+    assert {tuple(r) for r in members.collect()} == {(d, name[s]) for d, s in sets.items() if s}
+
+
 def test_jaccard_join_odd_rows(spark):
     df = odd_rows(spark)
     want = expected_join([(r.doc_id, r.text) for r in df.collect()])
