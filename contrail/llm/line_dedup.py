@@ -1,18 +1,21 @@
 """Operator 5: line de-duplication by a segment-partition edit join (DataFrame functions only).
 
-Equal lines are merged first, so the join runs over distinct lines. Two distinct lines of at least
-``LEAST_CHARS`` code points link when their edit distance is at most ``EDITS``; shorter ones match only when equal. A line
-of length l is split into EDITS + 1 even segments; a partner must contain one of them unchanged, near its
-place. The index holds (l, segment number, segment) of every line; every line probes the lengths n - EDITS .. n
-with the substrings that the length difference and the segment number still allow. Lines that meet are compared inside
-the join by a 56-bit signature of their words, which rules out most pairs without ever ruling out a link. Texts then
-go to the remaining pairs; only with segments that more than ``LARGE_BUCKET`` lines have they travel with the keys,
-and the pairs are tested inside the join, which puts out links only. The test is the built-in distance with a
-threshold; the distance of every link is verified by a banded bit-parallel computation.
+Equal lines are merged first, so the join runs over distinct lines. Two distinct lines link when their edit distance is at
+most ``EDITS`` and at most one for every ``CHARS_PER_EDIT`` code points of the shorter line; so lines of fewer than
+``CHARS_PER_EDIT`` match only when equal. A line of length l is split into EDITS + 1 even segments; a partner must contain
+one of them unchanged, near its place. The index holds (l, segment number, segment) of every line; every line probes the lengths n - EDITS .. n
+with the substrings that the length difference and the segment number still allow.
+
+Lines move as numbers: a 64-bit id and a second key of 64 bits (lines that share the first are told apart by the second), lengths, segment hashes, and
+a 56-bit signature of the words, which rules out most pairs without ever ruling out a link. A bitmap of the segment hashes, of fixed size, is
+sent to all machines, so that only probes that may meet another line are shuffled. Texts are read again for the lines that
+are left in pairs; with segments that more than ``LARGE_BUCKET`` lines have they travel with the keys, and the pairs are tested inside
+the join, which puts out links only. The test is the built-in distance with a threshold; the distance of every link is
+verified by a banded bit-parallel computation.
 
 Lines are split at ``\\n``; a line without a word (white space ``\\x20\\x09-\\x0D`` only) is not a line here. Null and empty
-texts have none. Rows with the same id are told apart by ``row``. A class is a group of lines connected by equality and links; its first line has the
-smallest (doc_id, line_no).
+texts have none; an empty table gives no rows. Rows with the same id are told apart by ``row``. A class is a group of lines connected by equality
+and links; its first line has the smallest (doc_id, line_no). The input is read three times and must give the same rows each time.
 """
 
 from __future__ import annotations
@@ -24,10 +27,17 @@ from .components import components
 from .shared import stored
 
 EDITS = 2
-LEAST_CHARS = 30
+CHARS_PER_EDIT = 10
 #: Texts travel with the keys of segments that more lines have, so that the join puts out links only.
 LARGE_BUCKET = 16
-WORDLESS = "^[\\x20\\x09-\\x0D]*$"
+#: Bits of a bitmap of hashes, as a power of two (16 MB), and 64-bit words in one row of it.
+INDEX_BITS = 27
+CHUNK_WORDS = 1 << 11
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def allowed(shorter: Column, edits: int = EDITS) -> Column:
+    return F.least(F.lit(edits), F.floor(shorter / CHARS_PER_EDIT))
 
 
 def segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
@@ -51,14 +61,17 @@ def index_keys(line: Column, n: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Of all lengths n - edits .. n: the substrings that can be a partner's segment, counted from both ends."""
+    """The line's own segments first, then of all lengths n - edits .. n the other substrings that can be a partner's
+    segment, counted from both ends; null where there is none."""
     keys = []
     for less in range(edits + 1):
         for k in range(edits + 1):
             start, size = segment(n - less, k, edits)
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                keys.append(F.when(start + shift >= 1, _key(n - less, k, line, start + shift, size)))
-    return F.filter(F.array(*keys), F.isnotnull)
+                if less or shift:
+                    keys.append(F.when(start + shift >= 1, _key(n - less, k, line, start + shift, size)))
+    own = [_key(n, k, line, *segment(n, k, edits)) for k in range(edits + 1)]
+    return F.array(*own, *keys)
 
 
 def banded_distance(a: Column, b: Column, most: int) -> Column:
@@ -105,21 +118,61 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     return F.aggregate(masks, start, step, lambda s: s["dist"])
 
 
+def bitmap(keys: DataFrame, **flags: Column) -> DataFrame:
+    """(chunk, a bit array for each flag) of the hashes ``key``: 2 ** INDEX_BITS bits each, in rows of CHUNK_WORDS longs."""
+    at = F.pmod("key", F.lit(1 << INDEX_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    none = F.lit(0).cast("long")
+    words = keys.select(F.shiftright(at, 6).alias("w"), *(F.when(c, bit).otherwise(none).alias(f) for f, c in flags.items()))
+    zero = keys.sparkSession.range(1 << (INDEX_BITS - 6)).select(F.col("id").alias("w"), *(none.alias(f) for f in flags))
+    full = words.unionByName(zero).groupBy("w").agg(*(F.bit_or(f).alias(f) for f in flags))
+    chunks = full.groupBy(F.floor(F.col("w") / CHUNK_WORDS).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("w", *flags))).alias("words"))
+    return chunks.select("chunk", *(F.col(f"words.{f}").alias(f) for f in flags))
+
+
+def marked(df: DataFrame, key: str, bits: DataFrame, flag: Column) -> DataFrame:
+    """The rows of df whose key is marked; ``flag`` is a bit array of bits."""
+    at = F.pmod(key, F.lit(1 << INDEX_BITS))
+    met = df.withColumn("chunk", F.floor(F.shiftright(at, 6) / CHUNK_WORDS)).join(F.broadcast(bits), "chunk")
+    word = F.get(flag, F.pmod(F.shiftright(at, 6), F.lit(CHUNK_WORDS)).cast("int"))
+    return met.filter(F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).drop("chunk", *(c for c in bits.columns if c != "chunk"))
+
+
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, line_no, line, key) of all lines with a word; key is 128 bits."""
+    """(row, doc_id, line_no, line, n) of all lines with a word; n counts code points."""
     return (
         df.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("doc_id"),
             F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"),
         )
-        .filter(~F.col("line").rlike(WORDLESS))
-        .withColumn("key", F.unhex(F.md5(F.col("line").cast("binary"))))
+        .filter(F.length(F.btrim("line", F.lit(SPACES))) > 0)
+        .withColumn("n", F.char_length("line"))
     )
 
 
-def signature(line: Column, n: Column) -> Column:
-    """A long: 56 parity bits of the hashed words (parts between single spaces), then the length modulo 256.
+def n_words(line: Column) -> Column:
+    """Words of a line that has one: by its single spaces, or by the pattern where white space is not that plain."""
+    tidy = F.btrim(line, F.lit(SPACES))
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | tidy.contains(gap)
+    by_pattern = F.size(F.split(tidy, "[\\x20\\x09-\\x0D]+"))
+    return F.when(odd, by_pattern).otherwise(F.char_length(tidy) - F.char_length(F.replace(tidy, F.lit(" "), F.lit(""))) + 1)
+
+
+def line_keys(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
+
+
+def line_id(clashes: list[int]) -> Column:
+    """The first key of a line, or the second where distinct lines share the first."""
+    first, second = line_keys(F.col("line"))
+    return F.when(first.isin(clashes), second).otherwise(first) if clashes else first
+
+
+def signature(line: Column) -> Column:
+    """A long: 56 parity bits of the hashed words (parts between single spaces).
 
     One edit changes at most three words, added and removed, so lines within so many edits differ in at most three
     times as many parity bits.
@@ -127,73 +180,82 @@ def signature(line: Column, n: Column) -> Column:
     one = F.lit(1).cast("long")
     bit = lambda w: F.call_function("shiftleft", one, F.pmod(F.xxhash64(w), F.lit(56)).cast("int"))
     parity = F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
-    return F.shiftleft(parity, 8).bitwiseOR((n % 256).cast("long"))
+    return parity
+
 
+def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(a, b, distance) with a < b of the linked rows of distinct (id, n, sig, i0, i1, ...).
 
-def links(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b, distance) with a < b of the linked rows of distinct (id, line, sig)."""
-    long_enough = distinct.filter(F.char_length("line") >= least).withColumn("n", F.char_length("line"))
+    ``lines`` (id, line, n) has the text of each id, at least once.
+    """
+    long_enough = F.col("n") >= CHARS_PER_EDIT
     line, n = F.col("line"), F.col("n")
-    index = long_enough.select("id", "sig", F.explode(index_keys(line, n, edits)).alias("seg"))
-    probe = long_enough.select("id", "sig", F.explode(F.array_distinct(probe_keys(line, n, edits))).alias("seg"))
-    apart = F.bit_count(F.shiftrightunsigned(F.col("x.sig").bitwiseXOR(F.col("y.sig")), 8))
-    longer = F.pmod(F.col("x.sig").bitwiseAND(255) - F.col("y.sig").bitwiseAND(255), F.lit(256))
+    index = distinct.filter(long_enough).select("id", "n", "sig", F.explode(F.array(*(f"i{k}" for k in range(edits + 1)))).alias("seg"))
+    segs = stored(index.groupBy("seg").agg(F.count("*").alias("size")), "segs")
+    bits = bitmap(segs.withColumnRenamed("seg", "key"), some=F.lit(True), several=F.col("size") > 1)
+    asked = lines.filter(long_enough).select("id", "n", "line", F.posexplode(probe_keys(line, n, edits)).alias("k", "seg")).filter("seg IS NOT NULL")
+    met = marked(asked, "seg", bits, F.when(F.col("k") <= edits, F.col("several")).otherwise(F.col("some")))
+    probe = stored(met.select("id", "seg", "n", signature(line).alias("sig")).dropDuplicates(["id", "seg"]), "probes")
+    large = stored(segs.filter(F.col("size") > LARGE_BUCKET).select("seg"), "large")
+    apart = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
+    longer = F.col("x.n") - F.col("y.n")
     once = (longer > 0) | (F.col("x.id") > F.col("y.id"))
-    large = stored(index.groupBy("seg").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE_BUCKET).select("seg"), "large")
-    meet = (F.col("x.seg") == F.col("y.seg")) & (longer <= edits) & once & (apart <= 3 * edits)
+    meet = (F.col("x.seg") == F.col("y.seg")) & (longer >= 0) & (longer <= edits) & once & (apart <= 3 * edits)
     ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     pairs = stored(probe.alias("x").join(index.join(large, "seg", "left_anti").alias("y"), meet).select(*ends).distinct(), "pairs")
-    text = distinct.select("id", "line")
-    # the texts move once: to the ends of pairs, which then meet again
-    both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(text, "id").groupBy("a", "b").agg(
-        F.max(F.when(F.col("id") == F.col("a"), F.col("line"))).alias("la"), F.max(F.when(F.col("id") == F.col("b"), F.col("line"))).alias("lb")
-    )
-    small = both.filter(F.levenshtein("la", "lb", edits) >= 0)
-    crowded = index.join(large, "seg", "left_semi").join(text, "id")
-    seekers = probe.join(large, "seg", "left_semi").join(text, "id")
-    near = meet & (F.levenshtein(F.col("x.line"), F.col("y.line"), edits) >= 0)
+    crowded, seekers = (stored(side.join(large, "seg", "left_semi"), "crowded") for side in (index, probe))
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded.select("id")).union(seekers.select("id")).distinct(), "needed")
+    wanted = marked(lines.select("id", "line"), "id", bitmap(needed.select(F.col("id").alias("key")), some=F.lit(True)), F.col("some"))
+    text = stored(wanted.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    la, lb = (text.select(F.col("id").alias(side), F.col("line").alias(f"l{side}")) for side in "ab")
+    within = lambda x, y: F.levenshtein(x, y, edits).between(0, allowed(F.least(F.char_length(x), F.char_length(y)), edits))
+    small = pairs.join(la, "a").join(lb, "b").filter(within("la", "lb"))
+    crowded, seekers = (side.join(text, "id") for side in (crowded, seekers))
     first = F.col("x.id") < F.col("y.id")
-    big = seekers.alias("x").join(crowded.alias("y"), near).select(
+    big = seekers.alias("x").join(crowded.alias("y"), meet & within(F.col("x.line"), F.col("y.line"))).select(
         *ends,
         F.when(first, F.col("x.line")).otherwise(F.col("y.line")).alias("la"),
         F.when(first, F.col("y.line")).otherwise(F.col("x.line")).alias("lb"),
     )
-    found = stored(small.unionByName(big.select("a", "b", "la", "lb")).dropDuplicates(["a", "b"]), "near")
+    found = stored(small.select("a", "b", "la", "lb").unionByName(big).dropDuplicates(["a", "b"]), "near")
     return found.select("a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")).filter(
         F.col("distance") <= edits
     )
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """One row per line of df: row, doc_id, line_no, words, n_links (to other distinct lines), class_doc_id, class_line_no, first."""
     lines = lines_of(df, id_col, text_col)
+    line, n = F.col("line"), F.col("n")
+    first, second = line_keys(line)
+    long_enough = n >= CHARS_PER_EDIT
+    keys = [f"i{k}" for k in range(edits + 1)]
     place = stored(
-        lines.select("row", "doc_id", "line_no", "key", F.size(F.split(F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " ")), " ")).alias("words")),
+        lines.select(
+            "row", "doc_id", "line_no", first.alias("id"), second.alias("key2"), n_words(line).alias("words"), "n",
+            *(F.when(long_enough, _key(n, k, line, *segment(n, k, edits))).alias(i) for k, i in enumerate(keys)),
+            F.when(long_enough, signature(line)).alias("sig"),
+        ),
         "places",
+    )
+
+    def merged() -> DataFrame:
+        least = [F.min(F.struct("doc_id", "line_no", "row")).alias("f"), F.min("key2").alias("lo"), F.max("key2").alias("hi")]
+        return stored(place.groupBy("id").agg(*least, *(F.first(c).alias(c) for c in ("n", "sig", *keys))), "distinct")
+
+    distinct = merged()
+    clashes = [r.id for r in distinct.filter("lo != hi").select("id").collect()]  # about n * n / 2 ** 65 of n lines
+    if clashes:
+        place = place.withColumn("id", F.when(F.col("id").isin(clashes), F.col("key2")).otherwise(F.col("id")))
+        distinct = merged()
+    found = stored(links(distinct, lines.select(line_id(clashes).alias("id"), "line", "n"), edits).select("a", "b"), "links")
+    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    linked = stored(components(found).withColumnRenamed("node", "id").join(degree, "id").join(distinct.select("id", "f"), "id"), "linked")
+    heads = linked.groupBy("comp").agg(F.min("f").alias("head"))
+    by_id = distinct.select("id", "f").join(linked.join(heads, "comp").select("id", "n_links", "head"), "id", "left").select(
+        "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("head", "f").alias("head")
     )
-    distinct = stored(
-        lines.groupBy("key")
-        .agg(F.min("line").alias("line"))
-        .select("key", "line", F.monotonically_increasing_id().alias("id"), signature(F.col("line"), F.char_length("line")).alias("sig")),
-        "distinct",
-    )
-    found = stored(links(distinct.select("id", "line", "sig"), edits, least).select("a", "b"), "links")
-    degree = (
-        found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    )
-    groups = components(found).withColumnRenamed("node", "id")
-    first = place.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("f"))
-    named = (
-        distinct.select("key", "id")
-        .join(first, "key")
-        .join(degree, "id", "left")
-        .join(groups, "id", "left")
-        .withColumn("comp", F.coalesce("comp", "id"))
-    )
-    named = stored(named.select("key", "f", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    heads = named.groupBy("comp").agg(F.min("f").alias("head"))
-    by_key = named.join(heads, "comp").select("key", "n_links", "head")
-    return place.join(by_key, "key").select(
+    return place.select("row", "doc_id", "line_no", "words", "id").join(by_id, "id").select(
         "row",
         "doc_id",
         "line_no",

@@ -25,6 +25,17 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def within(a, b, most):
+    """Whether the edit distance is at most ``most``, by trying all edits at the first difference."""
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    return most > 0 and any(within(x, y, most - 1) for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])))
+
+
 def expected_lines(rows):
     """(row number, doc_id, text) -> rows (doc_id, line_no, n_links, class_doc_id, class_line_no)."""
     places = [(d, i, line, r) for r, d, t in rows if t for i, line in enumerate(t.split("\n")) if WORD.search(line)]
@@ -39,7 +50,8 @@ def expected_lines(rows):
     degree = Counter()
     for i, a in enumerate(every):
         for b in every[i + 1 :]:
-            if min(len(a), len(b)) >= line_dedup.LEAST_CHARS and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+            most = min(2, min(len(a), len(b)) // 10)
+            if most and abs(len(a) - len(b)) <= most and within(a, b, most):
                 degree.update((a, b))
                 root[find(a)] = find(b)
     heads = defaultdict(list)
@@ -49,6 +61,12 @@ def expected_lines(rows):
     return Counter((d, i, degree[line], head[find(line)][0][1], head[find(line)][1]) for d, i, line, _ in places)
 
 
+@pytest.fixture
+def small_bitmap(monkeypatch):
+    """The size changes what is shuffled and nothing else; test_line_dedup_over_documents runs with the full one."""
+    monkeypatch.setattr(line_dedup, "INDEX_BITS", 20)
+
+
 def edited_lines(seed):
     rng = np.random.default_rng(seed)
     base = [" ".join(f"wörd{rng.integers(0, 50)}" for _ in range(int(rng.integers(4, 9)))) for _ in range(6)]
@@ -66,18 +84,40 @@ def edited_lines(seed):
                 else:
                     line.insert(at, "y ü"[int(rng.integers(0, 3))])
             lines.append("".join(line))
-        rows.append((d, "\n".join([*lines, "", "short", "same tail line of thirty characters or more"])))
+        few = ["short", "shirt", "fifteen letters", "fifteen, letters", "fifteen. lettres"][d % 5]
+        rows.append((d, "\n".join([*lines, "", few, "same tail line of thirty characters or more"])))
     return rows
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup(spark, seed):
+def test_line_dedup(spark, seed, small_bitmap):
     rows = edited_lines(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = line_dedup.classes(df).select("doc_id", "line_no", "n_links", "class_doc_id", "class_line_no").collect()
     assert Counter(map(tuple, got)) == expected_lines([(k, d, t) for k, (d, t) in enumerate(rows)])
 
 
+def test_line_dedup_over_documents(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = queries()["op5_line_dedup"](spark, sf).select("doc_id", "line_no", "n_links", "class_doc_id", "class_line_no").collect()
+    assert Counter(map(tuple, got)) == expected_lines([(k, d, t) for k, (d, t) in enumerate(rows)])
+
+
+def test_line_dedup_tells_lines_with_one_key_apart(spark, monkeypatch, small_bitmap):
+    plain = line_dedup.line_keys
+    monkeypatch.setattr(line_dedup, "line_keys", lambda x: (F.pmod(plain(x)[0], F.lit(5)), plain(x)[1]))
+    monkeypatch.setattr(line_dedup, "LARGE_BUCKET", 3)
+    rows = edited_lines(4)
+    got = line_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "line_no", "n_links", "class_doc_id", "class_line_no").collect()
+    assert Counter(map(tuple, got)) == expected_lines([(k, d, t) for k, (d, t) in enumerate(rows)])
+
+
+def test_line_words(spark):
+    lines = ["a b c", " a  b ", "a\tb\x0bc\x0cd\re", "x", "\u00a0 y", "\u00e9\u00e9 \u00e9"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert [r.w for r in df.select(line_dedup.n_words(F.col("line")).alias("w")).collect()] == [len(WORD.findall(x)) for x in lines]
+
+
 def test_banded_distance(spark):
     rng = np.random.default_rng(4)
     pairs = []
@@ -96,7 +136,7 @@ def test_banded_distance(spark):
         assert r.d == want if want <= 2 else r.d > 2, r
 
 
-def test_line_dedup_odd_rows(spark):
+def test_line_dedup_odd_rows(spark, small_bitmap):
     df = odd_rows(spark)
     assert line_dedup.classes(df).count() == sum(1 for r in df.collect() for x in (r.text or "").split("\n") if WORD.search(x))
     assert line_dedup.apply(df).columns == df.columns
@@ -104,7 +144,7 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.classes(df.limit(0)).count() == 0
 
 
-def test_line_dedup_removes_every_repeat(spark):
+def test_line_dedup_removes_every_repeat(spark, small_bitmap):
     """The stage against brute force: borrowed lines go whatever their share of the document; emptied documents go as a whole."""
     own = lambda d, n: "\n".join(" ".join(f"own{d}x{k}y{j}" for j in range(6)) for k in range(n))
     shared = "\n".join(" ".join(f"shared{k}y{j}" for j in range(6)) for k in range(4))
@@ -150,6 +190,38 @@ def test_license_inheritance(spark):
     assert got == {1: ("MIT", None), 2: ("CC-BY-4.0", "a/b"), 3: ("CC-BY-4.0", None), 4: (None, None), 5: (None, None), 6: ("Apache-2.0", None), 7: ("CC-BY-4.0", "a/b")}
 
 
+def test_license_of_wrapped_headers_and_licence_files(spark):
+    import textwrap
+
+    notice = dict(reversed(license_scan.TEMPLATES))  # the first of each name
+    longest = {n: max((t for m, t in license_scan.TEMPLATES if m == n), key=len) for n in notice}
+    code = "\n".join(f"def f{i}(a, b):\n    return a * {i} + b" for i in range(60))
+    rows = [("blank", "", None), ("none", code, None), ("null", None, None)]
+    for name in ("MIT", "GPL-3.0", "GPL-2.0", "Apache-2.0", "MPL-2.0", "BSD"):
+        for mark, gap in (("# ", "\n"), (" * ", "\n\n"), ("// ", "\n")):
+            wrapped = "\n".join(mark + x for x in textwrap.wrap(f"Copyright 2020 The Authors. {longest[name]}", 60))
+            rows.append((f"{name}{mark}", wrapped + gap + code, name))
+    rows.append(("bsd", "Copyright (c) 2001, A. N. Other\nAll rights reserved.\n\n" + "\n".join(textwrap.wrap(longest["BSD"], 70)) + "\n\n" + code, "BSD"))
+    rows.append(("own", "All rights reserved.\n\n" + code, "proprietary"))
+    import os
+
+    for file, name in (("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("LGPL-2.1", "LGPL-2.1")):
+        if os.path.exists(f"/usr/share/common-licenses/{file}"):
+            with open(f"/usr/share/common-licenses/{file}") as f:
+                rows.append((file, f.read(), name))
+    df = spark.createDataFrame(rows, "doc_id string, text string, want string")
+    got = {r.doc_id: r.own_license for r in license_scan.scan(df, F.concat(F.lit("a/"), "doc_id")).collect()}
+    assert got == {d: w for d, _, w in rows}
+
+
+def test_license_scan_after_a_shuffle(spark):
+    """Row numbers of a shuffled and joined input stay with their rows."""
+    made = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'Released under the MIT License.', IF(id % 3 = 1, 'Licensed under CC BY 4.0.', 'no word')) AS text")
+    df = made.repartition(13).join(spark.range(4000).withColumnRenamed("id", "doc_id").repartition(7), "doc_id")
+    got = {r.doc_id: r.own_license for r in license_scan.scan(df, F.lit("a/x")).collect()}
+    assert got == {d: ["MIT", "CC-BY-4.0", None][d % 3] for d in range(4000)}
+
+
 @pytest.mark.parametrize("limit", [200, 3000])
 def test_sharding_splits(spark, sf, limit):
     df = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 5"))
@@ -184,15 +256,31 @@ def expected_counts(texts):
 
 def test_token_counts(spark, sf):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(80).collect()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     df = spark.createDataFrame(rows)
     got = {r.doc_id: r.n_tokens for r in token_counts.count(df, path).collect()}
     want = expected_counts([r.text for r in rows])
     assert [got[r.doc_id] for r in rows] == want
-    assert token_counts.count(odd_rows(spark), path).count() == odd_rows(spark).count()
+    odd = odd_rows(spark)
+    want = Counter(zip((r.doc_id for r in odd.collect()), expected_counts([r.text for r in odd.collect()]), strict=True))
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count(odd, path).collect()) == want
+    assert token_counts.count(df.limit(0), path).count() == 0
+
+
+def test_token_counts_of_a_long_text_without_a_space():
+    """Memory does not grow with a pre-token; its count is that of its repeated part."""
+    import resource
+
+    counter = token_counts.Counter(*token_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = "\u4e16\u754c" * 1_000_000
+    n, m = counter.text(text), counter.text(text[:2000])
+    assert abs(n - 1000 * m) <= 2000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000
+    assert not any(len(x) > token_counts.CACHE_CHARS for x in counter.cache)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, sf, small_bitmap):
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
