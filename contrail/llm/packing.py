@@ -1,15 +1,17 @@
 """Operator 9: lexical retrieval packing.
 
-Texts are tokenised once and their ids written to the shared folder. Every task cuts its rows into shards of at most ``SHARD_TOKENS`` ids (a longer document is a
-shard of its own, and its full windows leave at once). A shard holds a BM25 inverted index of its documents;
-the document frequencies and the mean length come from all documents of the corpus, counted first. A window of
+Texts are tokenised once and their ids written to the shared folder. The document frequencies and the mean length come from all documents of the
+corpus, counted first. Documents are then dealt to shards by their strongest term (the largest BM25 weight among the terms that
+other documents have too), so that lexical neighbours from anywhere in the corpus share a shard; a term with very many documents spreads over as many
+shards as it fills. Every task cuts its rows into shards of at most ``SHARD_TOKENS`` ids (a longer document is a
+shard of its own, and its full windows leave at once). A shard holds a BM25 inverted index of its documents. A window of
 4096 is opened by the next unused document, all of whose terms query the index; the unused neighbours in the shard
 fill the window greedily, best first, until it is full or none is left that shares a term, the last one cut to fit
 and its rest left as an unused document. Where neighbours run out the next unused document follows. So every window but the shard's last is
 full; the last one's ids are laid in windows whose lengths are powers of two and need no padding.
 
-Rows with null text count as empty and consist of the end id alone. Repeated ids and texts stay separate pieces.
-Equal scores fall to the earlier row. ``sequence_id`` is unique over all partitions.
+Rows with null text count as empty and consist of the end id alone; an empty table gives no rows. Repeated ids and texts stay separate pieces.
+Equal scores fall to the earlier row of the shard, where rows are in the order of strongest term, hashed id and ids. ``sequence_id`` is unique over all partitions.
 """
 
 from __future__ import annotations
@@ -19,26 +21,30 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import FIRST_CHAR, serialised
-from .shared import stored
+from .shared import in_arrow, stored
 
 WINDOW = 4096
 END_ID = 2
+#: A character between pre-tokens that no piece has.
+BETWEEN = FIRST_CHAR + 512
 SHARD_TOKENS = 1 << 21
 #: Neighbours that are sorted at first; more follow while a window has room.
 FIRST_BLOCK = 64
 K1, B = 1.2, 0.75
-CACHE_ENTRIES = 400_000
-#: Documents whose ids are in hand at once while they are written.
-ROWS_AT_ONCE = 500
+#: Bytes of text, and documents, whose ids are in hand at once; a longer text is cut at spaces.
+BLOCK_BYTES = 1 << 22
+ROWS_AT_ONCE = 5000
+#: Characters that the merger gets at once.
+RUN = 1 << 14
 _SCHEMA = (
     "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -47,15 +53,15 @@ _SCHEMA = (
 class WordIds:
     """Token ids by space-separated part, which is exact for a vocabulary whose pre-tokens never cross white space.
 
-    Parts of printable Latin-1, where case folding and normalisation are plain, are cut here and their pre-tokens
-    merged by a sentencepiece model with the file's merge ranks as scores (see byte_bpe); all other parts, and files
-    of another build, go through the tokenizers library.
+    The distinct parts of a block of texts are encoded once. Parts of printable Latin-1, where case folding and normalisation are plain, are cut
+    here and their pre-tokens merged by a sentencepiece model with the file's merge ranks as scores (see byte_bpe); all
+    other parts, those that contain a special token, and files of another build go through the tokenizers library.
     """
 
-    _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
+    _PLAIN_ONLY = "^[!-~\u00a1-\u00ac\u00ae-\u00ff]+$"
     _PRE_TOKENS = re.compile(
         "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
-        "|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+"
+        "|\n|[^\na-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+"
     )
     _BUILD = {
         "normalizer": ["NFC", "Replace", "Lowercase"],
@@ -67,10 +73,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {"": b""}
-        self.pre_tokens: dict[str, bytes] = {}
+        self.special: list[str] = []
         self.merger = self._merger(json.loads(definition))
 
     def _merger(self, d: dict):  # noqa: ANN202
@@ -81,7 +85,8 @@ class WordIds:
             "pattern": splits[0].get("pattern", {}).get("Regex"),
             "suffix": d["model"].get("end_of_word_suffix"),
         }
-        if found != self._BUILD:
+        strict = any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in d["added_tokens"])
+        if found != self._BUILD or strict:
             return None
         import sentencepiece
 
@@ -101,54 +106,101 @@ class WordIds:
 
         vocab = d["model"]["vocab"]
         special = {t["content"] for t in d["added_tokens"]}
+        self.special = sorted(special)
         rank = {"".join(m): -float(i + 1) for i, m in enumerate(x if isinstance(x, list) else x.split(" ") for x in d["model"]["merges"])}
         pieces = [(spelled(t), rank.get(t, 0.0), i) for t, i in vocab.items() if t not in special]
         self.ids = np.array([i for _, _, i in pieces] + [0], dtype="<u4")
         return sentencepiece.SentencePieceProcessor(model_proto=serialised([(t, s) for t, s, _ in pieces]))
 
-    def _learn(self, parts: list[str]) -> None:
-        """Put the ids of new parts into the cache."""
+    def _slow(self, parts: pa.Array) -> np.ndarray:
+        """Which parts go through the library."""
         if self.merger is None:
-            slow, quick = parts, []
-        else:
-            slow = [p for p in parts if not self._PLAIN.fullmatch(p)]
-            quick = [p for p in parts if self._PLAIN.fullmatch(p)] if slow else parts
-        for p, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        if not quick:
-            return
-        cut = [self._PRE_TOKENS.findall(p.lower()) for p in quick]
-        known = self.pre_tokens
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = list({t for c in cut for t in c if t not in known})
-        if new:
-            raw = [t.encode() for t in new]
-            spelled = [(b[:-1].decode("latin-1").translate(_INNER) + chr(FIRST_CHAR + 256 + b[-1])) for b in raw]
-            found = self.merger.encode(spelled, num_threads=1)
-            sizes = [len(f) for f in found]
-            flat = self.ids[np.fromiter(chain.from_iterable(found), dtype=np.int64, count=sum(sizes))].tobytes()
-            at = 0
-            for t, n in zip(new, sizes, strict=True):
-                known[t] = flat[at : at + 4 * n]
-                at += 4 * n
-        self.cache.update((p, b"".join([known[t] for t in c])) for p, c in zip(quick, cut, strict=True))
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text and the end id."""
-        parts = text.replace("\n", " ").split(" ")
-        known = self.cache
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                known[""] = b""
-                new = [p for p in set(parts) if p]
-            self._learn(new)
-        return np.frombuffer(b"".join([*map(known.__getitem__, parts), END_ID.to_bytes(4, "little")]), dtype="<u4")
-
-
-_INNER = {b: chr(FIRST_CHAR + b) for b in range(256)}
+            return np.ones(len(parts), dtype=bool)
+        quick = pc.match_substring_regex(parts, self._PLAIN_ONLY).to_numpy(zero_copy_only=False)
+        for token in self.special:
+            quick &= ~pc.match_substring(parts, token).to_numpy(zero_copy_only=False)
+        return ~quick
+
+    def _merged(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and how many each has; all pre-tokens are merged in long runs, an unknown character between them."""
+        cut = " ".join(self._PRE_TOKENS.findall("\n".join(parts).lower())).replace(" \n ", "\n")
+        raw = np.frombuffer(cut.encode(), dtype=np.uint8)
+        gap = raw <= 0x20
+        code = raw.astype("<u4") + FIRST_CHAR
+        last = np.flatnonzero(np.append(gap[1:], True))
+        code[last] += 256
+        code[gap] = BETWEEN
+        spelled, found = code.tobytes().decode("utf-32-le"), []
+        at = 0
+        while at < len(spelled):
+            stop = spelled.find(chr(BETWEEN), at + RUN)
+            stop = len(spelled) if stop < 0 else stop
+            found += [*self.merger.encode(spelled[at:stop]), len(self.ids) - 1]
+            at = stop + 1
+        ids = np.array(found, dtype=np.int64)
+        between = ids == len(self.ids) - 1
+        part = np.concatenate([[0], np.cumsum(raw[gap] == 10)])  # of each pre-token
+        owner = part[np.minimum(np.cumsum(between), len(part) - 1)][~between]
+        return self.ids[ids[~between]], np.bincount(owner, minlength=len(parts))
+
+    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts end to end, and how many each has."""
+        filled = pc.greater(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)
+        slow = filled & self._slow(parts)
+        quick = filled & ~slow
+        counts = np.zeros(len(parts), dtype=np.int64)
+        flat = {}
+        if quick.any():
+            flat[1], counts[quick] = self._merged(parts.filter(pa.array(quick)).to_pylist())
+        if slow.any():
+            made = self.tokenizer.encode_batch_fast(parts.filter(pa.array(slow)).to_pylist(), add_special_tokens=False)
+            counts[slow] = [len(e.ids) for e in made]
+            flat[2] = np.array([i for e in made for i in e.ids], dtype="<u4")
+        out = np.zeros(int(counts.sum()), dtype="<u4")
+        kind = np.repeat(quick + 2 * slow, counts)
+        for k, ids in flat.items():
+            out[kind == k] = ids
+        return out, counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with the end id, and their offsets."""
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        off = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+        flat, counts = self.parts(coded.dictionary)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        flat, counts = np.append(flat, np.uint32(END_ID)), np.append(counts, 1)
+        part = np.insert(coded.indices.to_numpy().astype(np.int64), off[1:] - off[0], len(counts) - 1)
+        size = counts[part]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(starts[part] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends[np.cumsum(np.diff(off) + 1) - 1]])
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets) of all texts, in blocks; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(int(np.searchsorted(ends, before + BLOCK_BYTES, "right")), at + 1), at + ROWS_AT_ONCE)
+            if ends[at] - before > BLOCK_BYTES:
+                pieces = [self.encode(pa.array([x]))[0] for x in _slices(texts[at].as_py())]
+                ids = np.concatenate([*(x[:-1] for x in pieces), pieces[-1][-1:]])
+                yield at, ids, np.array([0, len(ids)])
+            else:
+                yield at, *self.encode(texts.slice(at, stop - at))
+            at = stop
+
+
+def _slices(text: str) -> Iterator[str]:
+    """A long text cut at spaces; a part without one stays whole."""
+    at = 0
+    while at < len(text):
+        stop = text.find(" ", at + BLOCK_BYTES // 4)
+        stop = len(text) if stop < 0 else stop
+        yield text[at:stop]
+        at = stop + 1
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -182,20 +234,19 @@ def tokenised(df: DataFrame, definition: str) -> DataFrame:
         names, none = ["doc_id", "ids", "terms", "counts"], None
         for batch in batches:
             none = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(at, ROWS_AT_ONCE)
-                out = []
-                for t in rows.column(1):
-                    own = ids.encode(t.as_py() or "")
-                    seen[np.unique(own)] += 1
-                    seen[-2:] += (1, len(own))
-                    out.append(own.astype(kind).tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), terms), pa.nulls(len(out), terms)], names=names)
+            for first, own, off in ids.encoded(batch.column(1)):
+                for i, j in zip(off[:-1], off[1:], strict=True):
+                    seen[np.unique(own[i:j])] += 1
+                n = len(off) - 1
+                seen[-2:] += (n, len(own))
+                raw = own.astype(kind)
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off * raw.itemsize), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), held, pa.nulls(n, terms), pa.nulls(n, terms)], names=names)
         if none is not None:
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, none), pa.nulls(1, pa.binary()), pa.array([at], terms), pa.array([seen[at]], terms)], names=names)
 
-    return stored(df.mapInArrow(run, f"doc_id {field}, ids binary, terms array<long>, counts array<long>"), "ids")
+    return stored(in_arrow(df, run, f"doc_id {field}, ids binary, terms array<long>, counts array<long>"), "ids")
 
 
 def _id_type(size: int) -> str:
@@ -212,22 +263,44 @@ def document_frequencies(rows: DataFrame, size: int) -> tuple[int, float, np.nda
     return int(out[-2]), float(out[-1] / max(1, out[-2])), out[:-2]
 
 
+def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a document and their BM25 weights."""
+    term, tf = np.unique(ids, return_counts=True)
+    norm = K1 * (1 - B + B * len(ids) / mean)
+    return term.astype(np.int64), (idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+
+
+def strongest(ids: np.ndarray, idf: np.ndarray, mean: float, shared: np.ndarray) -> int:
+    """The term with the largest weight among those that several documents have; the end id is always one."""
+    term, weight = weights(ids, idf, mean)
+    return int(term[np.where(shared[term], weight, -1).argmax()])
+
+
+def dealt(rows: DataFrame, id_type: str, shared: Broadcast) -> DataFrame:
+    """The rows (doc_id, ids) in ranges of their strongest terms, each sorted."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean, several = shared.value
+        for batch in batches:
+            keys = [strongest(np.frombuffer(t.as_buffer(), dtype=id_type), idf, mean, several) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int32())], names=["doc_id", "ids", "term"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    keyed = in_arrow(rows, run, f"doc_id {kind}, ids binary, term int").withColumn("place", F.xxhash64(F.col("doc_id").cast("string"), F.length("ids")))
+    return keyed.repartitionByRange("term", "place").sortWithinPartitions("term", "place", "ids").select("doc_id", "ids")
+
+
 class Index:
     """BM25 inverted index of one shard: postings by term, weights ready."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         self.n = len(docs)
-        terms, weights = [], []
-        for ids in docs:
-            term, tf = np.unique(ids, return_counts=True)
-            norm = K1 * (1 - B + B * len(ids) / mean)
-            terms.append(term.astype(np.int64))
-            weights.append((idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
+        terms, weight = zip(*(weights(ids, idf, mean) for ids in docs), strict=True)
         self.terms = terms
         owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
-        self.owner, self.weight = owner[order], np.concatenate(weights)[order]
+        self.owner, self.weight = owner[order], np.concatenate(weight)[order]
         self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
 
     def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
@@ -324,11 +397,11 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     rows = tokenised(docs, text)
     n, mean, found = document_frequencies(rows, size)
     idf = np.log1p((n - found + 0.5) / (found + 0.5))
-    shared = df.sparkSession.sparkContext.broadcast((idf, mean))  # bounded by the vocabulary
+    shared = df.sparkSession.sparkContext.broadcast((idf, mean, found > 1))  # bounded by the vocabulary
     id_type = _id_type(size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = shared.value
+        idf, mean, _ = shared.value
         base = TaskContext.get().partitionId() << 36
         held: list[np.ndarray] = []
         names: list = []
@@ -368,4 +441,4 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if held:
             yield flush()
 
-    return rows.filter("ids IS NOT NULL").select("doc_id", "ids").mapInArrow(run, _SCHEMA.format(df.schema[id_col].dataType.simpleString()))
+    return in_arrow(dealt(rows.filter("ids IS NOT NULL").select("doc_id", "ids"), id_type, shared), run, _SCHEMA.format(df.schema[id_col].dataType.simpleString()))
