@@ -23,10 +23,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
+
 #: Stand-in characters for bytes 0-255: a block of letters without combining or white-space characters.
 FIRST_CHAR = 0x4E00
-#: Pre-tokens remembered by a Python worker; the store is emptied when full.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens of up to so many characters are remembered by a Python worker; the store is emptied when full.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 #: Pre-tokens of one text that are in hand at once.
 RUN = 200_000
 
@@ -102,9 +104,10 @@ class Codec:
     def _pre_token(self, token: str) -> bytes:
         raw = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(_STAND_IN)
         ids = self.ids[self.processor.encode(raw)].astype("<u4").tobytes()
-        if len(self.cache) >= CACHE_ENTRIES:
-            self.cache.clear()
-        self.cache[token] = ids
+        if len(token) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.cache.clear()
+            self.cache[token] = ids
         return ids
 
     def encode(self, text: str) -> Iterator[bytes]:
@@ -161,9 +164,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", id_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(
-        run, f"doc_id {kind}, bytes binary"
-    )
+    return in_arrow(df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")), run, f"doc_id {kind}, bytes binary")
 
 
 def _run(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, ids: bool) -> DataFrame:
@@ -193,4 +194,4 @@ def _run(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: st
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, stored
+from .shared import discard, in_arrow, stored
 from .textvec import Block, blocks, mix, per_text, range_hash, windows
 
 SHINGLE = 5
@@ -167,7 +167,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield counted()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{x} long' for x in numbers)}, part int, counts binary")
+    return in_arrow(docs, run, f"doc_id {kind}, {', '.join(f'{x} long' for x in numbers)}, part int, counts binary")
 
 
 def _common(counts: DataFrame) -> np.ndarray:
@@ -188,7 +188,7 @@ def _common(counts: DataFrame) -> np.ndarray:
             )
 
     # fixed size: 2**BUCKET_BITS counters in the shared folder, of which only the marks come to the driver
-    totals = stored(counts.repartition("part").mapInArrow(run, "part int, sum long, totals binary"), "totals")
+    totals = stored(in_arrow(counts.repartition("part"), run, "part int, sum long, totals binary"), "totals")
     mean = (totals.agg(F.sum("sum")).first()[0] or 0) / (1 << BUCKET_BITS)
     least = COMMON + 2 * mean
 
@@ -198,7 +198,7 @@ def _common(counts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["part", "bits"])
 
     out = np.zeros(1 << (BUCKET_BITS - 3), dtype=np.uint8)
-    for row in totals.select("part", "totals").mapInArrow(marks, "part int, bits binary").toLocalIterator():
+    for row in in_arrow(totals.select("part", "totals"), marks, "part int, bits binary").toLocalIterator():
         out[row["part"] << 13 : (row["part"] + 1) << 13] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out
 
@@ -237,7 +237,7 @@ def _regions(docs: DataFrame, common: Broadcast, clashes: list[int]) -> DataFram
                     names=["pivot", "cls", "n", "pos"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pivot long, cls long, n int, pos int")
+    return in_arrow(docs.select("doc_id", "text"), run, "pivot long, cls long, n int, pos int")
 
 
 def _resolved(first: np.ndarray, second: np.ndarray, clashes: list[int]) -> np.ndarray:
@@ -299,10 +299,10 @@ def _meetings(regions: DataFrame) -> DataFrame:
                     names=["pivot", "cls", "n", "pos", "lead", "lead_n", "lead_pos"],
                 )
 
-    return (
-        regions.repartition("pivot")
-        .sortWithinPartitions("pivot", "cls")
-        .mapInArrow(run, "pivot long, cls long, n int, pos int, lead long, lead_n int, lead_pos int")
+    return in_arrow(
+        regions.repartition("pivot").sortWithinPartitions("pivot", "cls"),
+        run,
+        "pivot long, cls long, n int, pos int, lead long, lead_n int, lead_pos int",
     )
 
 
@@ -332,7 +332,7 @@ def _texts(docs: DataFrame, classes: DataFrame, needed: DataFrame, clashes: list
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys), rows.column(1)], names=["doc_id", "cls", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("at")).mapInArrow(run, f"doc_id {kind}, cls long, text string")
+    made = in_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("at")), run, f"doc_id {kind}, cls long, text string")
     return stored(made.join(first, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"]).select("cls", "text"), "texts")
 
 
@@ -380,7 +380,7 @@ def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, clashes: li
                 yield pa.RecordBatch.from_arrays([x.filter(keep) for x in out], names=["spoke", "hub", "d", "linked"])
 
     met = hubs.unionByName(spokes).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("spoke").asc_nulls_first())
-    out = stored(met.select("hub", "spoke", "text").mapInArrow(run, "spoke long, hub long, d double, linked boolean"), "distances")
+    out = stored(in_arrow(met.select("hub", "spoke", "text"), run, "spoke long, hub long, d double, linked boolean"), "distances")
     discard(texts, pairs)
     return out
 

@@ -8,9 +8,10 @@ A context that a language never saw costs nothing to leave. So every byte of eve
 length under every language; the shortest total wins and ``score`` is its share of ``2 ** -bits`` over all
 languages. A-Z count as a-z; each text starts after three line feeds.
 
-Bound of the sample: at most about ``SAMPLE_DOCS`` documents of up to ``SAMPLE_BYTES`` bytes for each of the
-``MOST_LANGUAGES`` most frequent labels, picked by a hash of the id; longer documents are not in the sample.
-Prediction reads whole texts. Null text, or text without a letter: ``und`` with score 0; so does everything
+Bound of the sample: at most about ``SAMPLE_DOCS`` documents of up to ``SAMPLE_BYTES`` bytes for each label,
+picked by a hash of the id; longer documents are not in the sample. All labels and all their contexts are learned. A tree holds what its language
+showed and no more, and the runs of four bytes that a part of a text holds are looked up once for each language.
+Prediction reads whole texts. An empty table gives no rows. Null text, or text without a letter: ``und`` with score 0; so does everything
 if nothing was learned. Ties go to the alphabetically first language. Repeated rows are predicted one by one.
 """
 
@@ -24,26 +25,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
 from .textvec import Block, blocks
 
 ORDER = 3
 SAMPLE_DOCS = 800
 SAMPLE_BYTES = 20_000
-MOST_LANGUAGES = 64
-#: Contexts of the highest order seen less often are left to the shorter ones.
-LEAST_SEEN = 3
+#: Labels up to which their sizes are broadcast.
+FEW_LABELS = 10_000
+#: Bytes of texts that are coded at once.
+PART_BYTES = 1 << 21
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _padded(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes with ORDER line feeds before each text, and the place of each text's first byte."""
-    lengths = np.diff(block.off)
-    shift = ORDER * np.arange(1, block.n + 1)
-    out = np.full(len(block.data) + ORDER * block.n, 10, dtype=np.uint8)
-    out[np.arange(len(block.data)) + np.repeat(shift, lengths)] = _LOWER[block.data]
-    return out, block.off[:-1] + shift
+def _parts(block: Block) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, grams) of parts of a block: for each byte the run of ORDER + 1 lower-cased bytes that ends there, packed big-endian."""
+    size, opens = len(block.data), block.off[:-1]
+    for lo in range(0, size, PART_BYTES):
+        hi = min(size, lo + PART_BYTES)
+        left = block.data[max(0, lo - ORDER) : lo]
+        wide = np.concatenate([np.full(ORDER - len(left), 10, np.uint8), _LOWER[left], _LOWER[block.data[lo:hi]]]).astype(np.uint32)
+        before = [wide[ORDER - k : len(wide) - k].copy() for k in range(1, ORDER + 1)]
+        for j in range(ORDER):  # the bytes before a text are line feeds
+            at = opens + j - lo
+            at = at[(at >= 0) & (at < hi - lo)]
+            for k in range(j, ORDER):
+                before[k][at] = 10
+        yield lo, (before[2] << 24) | (before[1] << 16) | (before[0] << 8) | wide[ORDER:]
 
 
 def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -51,11 +61,13 @@ def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     known = df.filter(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES)
     ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = known.groupBy("lang").count()
+    if sizes.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
+        sizes = F.broadcast(sizes)
     # a uniform 64-bit hash below its share of the range
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS)) / F.col("count"))
     return (
-        known.join(F.broadcast(sizes), "lang")
+        known.join(sizes, "lang")
         .filter(F.col("h").cast("double") <= share * F.lit(2.0**64) - F.lit(2.0**63))
         .select("lang", "text")
     )
@@ -65,30 +77,53 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n): runs of ORDER + 1 bytes, packed big-endian in a long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        langs: dict[str, int] = {}
+        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            code = np.array([langs.setdefault(x, len(langs)) for x in batch.column(0).to_pylist()], dtype=np.int64)
             for block in blocks(batch.column(1)):
-                data, firsts = _padded(block)
-                wide = data.astype(np.int64)
-                gram = (wide[:-3] << 24) | (wide[1:-2] << 16) | (wide[2:-1] << 8) | wide[3:]
-                lengths = np.diff(block.off)
-                at = np.arange(len(block.data)) + np.repeat(firsts - block.off[:-1], lengths) - ORDER
-                owner = np.repeat(np.array([langs[block.first + i] for i in range(block.n)], dtype=object), lengths)
-                for lang in set(owner.tolist()):
-                    values, counts = np.unique(gram[at[owner == lang]], return_counts=True)
-                    if lang in total:
-                        old = total[lang]
-                        values, inverse = np.unique(np.concatenate([old[0], values]), return_inverse=True)
-                        counts = np.bincount(inverse, np.concatenate([old[1], counts])).astype(np.int64)
-                    total[lang] = values, counts
-        for lang, (values, counts) in total.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(values)), pa.array(values), pa.array(counts.astype(np.int64))],
-                names=["lang", "gram", "n"],
-            )
-
-    return labelled.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                owner = np.repeat(code[block.first : block.first + block.n], np.diff(block.off))
+                for at, grams in _parts(block):
+                    values, counts = np.unique(owner[at : at + len(grams)] << 32 | grams, return_counts=True)
+                    merged, inverse = np.unique(np.concatenate([total[0], values]), return_inverse=True)
+                    total = merged, np.bincount(inverse, np.concatenate([total[1], counts])).astype(np.int64)
+        for lang, k in langs.items():
+            own = slice(*np.searchsorted(total[0], [k << 32, (k + 1) << 32]))
+            values = total[0][own] & 0xFFFFFFFF
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values), pa.array(total[1][own])], names=["lang", "gram", "n"])
+
+    return in_arrow(labelled, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+class Tree:
+    """Frozen counts of one language: for each order its runs and its contexts, sorted."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray) -> None:
+        self.orders = []
+        lower = None
+        for order in range(ORDER + 1):
+            keys, inverse = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            counts = np.bincount(inverse, n, minlength=len(keys))
+            contexts, of = np.unique(keys >> 8, return_inverse=True)
+            total, kinds = np.bincount(of, counts), np.bincount(of)
+            whole = kinds == 256  # nothing is left to escape to
+            p = counts / np.where(whole, total, total + kinds)[of]
+            below = np.full(len(keys), 1 / 256) if lower is None else lower[1][np.searchsorted(lower[0], keys & ((1 << 8 * order) - 1))]
+            spare = np.where(whole, 1.0, 1 - np.bincount(of, below))
+            escape = np.where(whole, 0.0, kinds / (total + kinds) / spare)
+            lower = keys, p
+            self.orders.append((keys, p, contexts, escape))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each run after the others."""
+        p = np.full(len(grams), 1 / 256)
+        for order, (keys, seen, contexts, escape) in enumerate(self.orders):
+            key = grams & ((1 << 8 * (order + 1)) - 1)
+            for sorted_, values, wanted, escaped in ((contexts, escape, key >> 8, True), (keys, seen, key, False)):
+                at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+                hit = sorted_[at] == wanted
+                p[hit] = p[hit] * values[at[hit]] if escaped else values[at[hit]]
+        return -np.log2(p)
 
 
 class Model:
@@ -96,74 +131,19 @@ class Model:
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
-        every = np.unique(np.concatenate([g for g, _ in counts.values()])) if counts else np.zeros(0, np.int64)
-        seen = np.unique(np.concatenate([(every >> s) & 0xFF for s in (0, 8, 16, 24)])) if len(every) else np.zeros(1, np.int64)
-        self.kinds = len(seen) + 1  # the last one: any byte not in the sample
-        self.others = max(1, 256 - len(seen))
-        self.symbol = np.full(256, len(seen), dtype=np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        a = self.kinds
-
-        def coded(grams: np.ndarray) -> np.ndarray:
-            s = [self.symbol[(grams >> k) & 0xFF] for k in (24, 16, 8, 0)]
-            return ((s[0] * a + s[1]) * a + s[2]) * a + s[3]
-
-        trees = {lang: (coded(g), n) for lang, (g, n) in counts.items()}
-        both = np.concatenate([c // a for c, _ in trees.values()]) if trees else np.zeros(0, np.int64)
-        weight = np.concatenate([n for _, n in trees.values()]) if trees else np.zeros(0, np.int64)
-        third, inverse = np.unique(both, return_inverse=True)
-        third = third[np.bincount(inverse, weight, minlength=len(third)) >= LEAST_SEEN]
-        # rows: order 0, then orders 1 and 2 in full reach of what was seen, then order 3
-        second = np.unique(both % (a * a))
-        self.rows3 = np.full(a**3, 0, dtype=np.int32)
-        first_row, second_row, third_row = 1, 1 + a, 1 + a + len(second)
-        rows2 = np.full(a * a, 0, dtype=np.int32)
-        rows2[:] = first_row + np.arange(a * a) % a
-        rows2[second] = second_row + np.arange(len(second))
-        self.rows3[:] = np.tile(rows2, a)
-        self.rows3[third] = third_row + np.arange(len(third))
-        self.bits = np.zeros((third_row + len(third), a, max(1, len(self.langs))), dtype=np.float32)
-        for k, lang in enumerate(self.langs):
-            code, n = trees[lang]
-
-            def table(contexts: int, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-                """Probabilities (contexts, kinds) from this order's counts over those of the next shorter one."""
-                c = np.zeros((contexts, a))
-                np.add.at(c, (context, code % a), n)
-                had = c > 0
-                total, kinds = c.sum(1, keepdims=True), had.sum(1, keepdims=True)
-                rest = np.where(had, 0, lower)
-                spare = rest.sum(1, keepdims=True)
-                escape = np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                p = np.where(had, c / np.maximum(total + kinds, 1), escape * rest / np.maximum(spare, 1e-300))
-                return np.where(spare > 0, p, c / np.maximum(total, 1))
-
-            uniform = np.full((1, a), 1.0)
-            uniform[0, -1] = self.others
-            p0 = table(1, np.zeros(len(code), np.int64), uniform / uniform.sum())
-            p1 = table(a, code // a % a, np.repeat(p0, a, 0))
-            at2 = np.searchsorted(second, code // a % (a * a))
-            p2 = table(len(second), at2, p1[second % a])
-            held = np.isin(code // a, third)
-            code, n = code[held], n[held]
-            p3 = table(len(third), np.searchsorted(third, code // a), p2[np.searchsorted(second, third % (a * a))])
-            self.bits[..., k] = -np.log2(np.concatenate([p0, p1, p2, p3]))
-        self.bits[:, -1] += np.float32(np.log2(self.others))
-        self.bits = self.bits.reshape(-1, max(1, len(self.langs)))
+        self.trees = [Tree(*counts[lang]) for lang in self.langs]
 
     def code_lengths(self, block: Block) -> np.ndarray:
         """Bits of each text under each language."""
-        data, firsts = _padded(block)
-        s = self.symbol[data]
-        a = self.kinds
-        context = self.rows3[(s[:-3] * a + s[1:-2]) * a + s[2:-1]].astype(np.int64)
-        lengths = np.diff(block.off)
-        at = np.arange(len(block.data)) + np.repeat(firsts - block.off[:-1], lengths) - ORDER
-        bits = self.bits[(context * a + s[3:])[at]]
-        out = np.zeros((block.n, bits.shape[1]))
-        full = lengths > 0
-        if full.any():
-            out[full] = np.add.reduceat(bits, block.off[:-1][full], axis=0, dtype=np.float64)
+        out = np.zeros((block.n, max(1, len(self.langs))))
+        for lo, grams in _parts(block):
+            coded = pa.array(grams).dictionary_encode()
+            kinds, place = coded.dictionary.to_numpy().astype(np.int64), coded.indices.to_numpy()
+            first, last = np.searchsorted(block.off, lo, "right") - 1, np.searchsorted(block.off, lo + len(grams), "left")
+            opens = np.maximum(block.off[first:last], lo) - lo
+            full = np.flatnonzero(np.diff(np.append(opens, len(grams))))
+            for k, tree in enumerate(self.trees):
+                out[first + full, k] += np.add.reduceat(tree.bits(kinds)[place], opens[full])
         return out
 
 
@@ -210,7 +190,7 @@ def predict(df: DataFrame, counts: dict, text_col: str = "text") -> DataFrame:
                 )
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return source.mapInArrow(run, schema + "lang_pred string, score double")
+    return in_arrow(source, run, schema + "lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import in_arrow, stored
 from .textvec import SPACE, Block, blocks, mix, per_text, range_hash, windows
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -110,7 +110,7 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
                     names=[*names, *plain, "line_hash", "line_words"],
                 )
 
-    return source.mapInArrow(run, f"{schema}, {_FEATURES}" if schema else _FEATURES)
+    return in_arrow(source, run, f"{schema}, {_FEATURES}" if schema else _FEATURES)
 
 
 def frequent_lines(figures: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
@@ -190,7 +190,7 @@ def apply(df: DataFrame, text_col: str = "text", host_col: str = "source", **lim
             columns[at] = pa.array(_without(batch.column(at), batch.column(drop)), batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = clean.mapInArrow(run, schema).drop("__n", "__removed")
+    out = in_arrow(clean, run, schema).drop("__n", "__removed")
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)

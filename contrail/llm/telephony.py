@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
+
 RATE = 8000
 BLOCK = 64
 #: WAVE format tags.
@@ -147,9 +149,7 @@ def store(df: DataFrame, payload: Column, id_col: str = "doc_id") -> DataFrame:
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), payload.cast("binary").alias("p")).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, media binary"
-    )
+    return in_arrow(df.select(F.col(id_col).alias("doc_id"), payload.cast("binary").alias("p")), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def decode(df: DataFrame) -> DataFrame:
@@ -174,7 +174,8 @@ def decode(df: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "media", "payload", "codec", "pcm", "peak", "mean_abs"],
                 )
 
-    return df.mapInArrow(
+    return in_arrow(
+        df,
         run,
         f"doc_id {kind}, n_bytes long, media binary, payload binary, codec string, pcm binary, peak long, mean_abs long",
     )

@@ -7,7 +7,8 @@ tokens. The tie rules are those of the ``tokenizers`` unigram model: the piece t
 equal sums (64-bit floats), and a character without a piece of its own may be unknown at the lowest score less
 10, coded as one token per UTF-8 byte where byte pieces exist, else one token for a run of unknowns.
 
-Scores: the pieces and scores of the vocabulary file, whatever its own model type. Null text counts as empty: 0.
+Scores: the pieces and scores of the vocabulary file, whatever its own model type. Null text counts as empty: 0. An empty
+table gives no rows. The dynamic programming holds as many places as the longest piece has characters, however long a pre-token is.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_arrow
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 400_000
+#: Pre-tokens of up to so many characters are remembered by a Python worker; the store is emptied when full.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 
 
 def load_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -44,40 +48,42 @@ class Counter:
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.automaton.make_automaton()
         self.cache: dict[str, int] = {}
 
     def pre_token(self, text: str) -> int:
-        n = len(text)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        if len(self.automaton):
-            for last, found in self.automaton.iter(text):
-                ending[last + 1].append(found)
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        in_unknown = [False] * (n + 1)
-        for end in range(1, n + 1):
+        size = self.longest + 1
+        # the last ``size`` places: best score, pieces, whether the last one is unknown
+        best, count, in_unknown = [0.0] * size, [0] * size, [False] * size
+        matches = self.automaton.iter(text) if len(self.automaton) else iter(())
+        last, found = next(matches, (-1, None))
+        for end in range(1, len(text) + 1):
             top, start_of, single = None, 0, False
-            for length, score in ending[end]:
+            while last == end - 1:
+                length, score = found
                 start = end - length
-                total = best[start] + score
+                total = best[start % size] + score
                 single |= length == 1
                 if top is None or total > top or (total == top and start < start_of):
                     top, start_of = total, start
+                last, found = next(matches, (-1, None))
             unknown = False
+            before = (end - 1) % size
             if not single:
-                total = best[end - 1] + self.unknown
+                total = best[before] + self.unknown
                 if top is None or total > top:
                     top, start_of, unknown = total, end - 1, True
-            best[end] = top
-            in_unknown[end] = unknown
+            at = end % size
+            best[at] = top
             if not unknown:
-                count[end] = count[start_of] + 1
+                count[at] = count[start_of % size] + 1
             elif self.bytes_exist:
-                count[end] = count[end - 1] + len(text[end - 1].encode())
+                count[at] = count[before] + len(text[end - 1].encode())
             else:
-                count[end] = count[end - 1] + (not in_unknown[end - 1])
-        return count[n]
+                count[at] = count[before] + (not in_unknown[before])
+            in_unknown[at] = unknown
+        return count[len(text) % size]
 
     def text(self, text: str) -> int:
         if not text:
@@ -89,9 +95,11 @@ class Counter:
         for part in parts:
             n = known.get(part)
             if n is None:
-                if len(known) >= CACHE_ENTRIES:
-                    known.clear()
-                n = known[part] = self.pre_token(MARK + part)
+                n = self.pre_token(MARK + part)
+                if len(part) <= CACHE_CHARS:
+                    if len(known) >= CACHE_ENTRIES:
+                        known.clear()
+                    known[part] = n
             total += n
         return total
 
@@ -115,6 +123,4 @@ def count(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long"
-    )
+    return in_arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens long")
