@@ -60,18 +60,19 @@ def index_keys(line: Column, n: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """The line's own segments first, then of all lengths n - edits .. n the other substrings that can be a partner's
-    segment, counted from both ends; null where there is none."""
-    keys = []
+def with_probes(lines: DataFrame, edits: int) -> DataFrame:
+    """Rows (id, line, n) with ``seg``: the line's own segments (``own``), and of all lengths n - edits .. n the other substrings that
+    can be a partner's segment, counted from both ends. One small expression for a row of each kind of probe."""
+    kinds = []
     for less in range(edits + 1):
         for k in range(edits + 1):
-            start, size = segment(n - less, k, edits)
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                if less or shift:
-                    keys.append(F.when(start + shift >= 1, _key(n - less, k, line, start + shift, size)))
-    own = [_key(n, k, line, *segment(n, k, edits)) for k in range(edits + 1)]
-    return F.array(*own, *keys)
+                kinds.append(F.struct(F.lit(less).alias("less"), F.lit(k).alias("k"), F.lit(shift).alias("shift"), F.lit(not less and not shift).alias("own")))
+    asked = lines.withColumn("c", F.explode(F.array(*kinds))).select("id", "line", "n", (F.col("n") - F.col("c.less")).alias("m"), "c.k", "c.shift", "c.own")
+    base, plain = F.expr(f"CAST(m DIV {edits + 1} AS INT)"), (edits + 1) - F.col("m") % (edits + 1)
+    placed = asked.select("id", "line", "n", "m", "k", "own", (F.col("k") * base + F.greatest(F.lit(0), F.col("k") - plain) + 1 + F.col("shift")).alias("at"), (base + (F.col("k") >= plain).cast("int")).alias("size"))
+    seg = F.xxhash64(F.col("m"), F.col("k"), F.substring(F.col("line"), F.col("at"), F.col("size")))
+    return placed.filter("at >= 1").select("id", "line", "n", "own", seg.alias("seg"))
 
 
 def banded_distance(a: Column, b: Column, most: int) -> Column:
@@ -189,12 +190,11 @@ def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFram
     ``lines`` (id, line, n) has the text of each id, at least once.
     """
     long_enough = F.col("n") >= CHARS_PER_EDIT
-    line, n = F.col("line"), F.col("n")
+    line = F.col("line")
     index = distinct.filter(long_enough).select("id", "n", "sig", F.explode(F.array(*(f"i{k}" for k in range(edits + 1)))).alias("seg"))
     segs = stored(index.groupBy("seg").agg(F.count("*").alias("size")), "segs")
     bits = bitmap(segs.withColumnRenamed("seg", "key"), some=F.lit(True), several=F.col("size") > 1)
-    asked = lines.filter(long_enough).select("id", "n", "line", F.posexplode(probe_keys(line, n, edits)).alias("k", "seg")).filter("seg IS NOT NULL")
-    met = marked(asked, "seg", bits, F.when(F.col("k") <= edits, F.col("several")).otherwise(F.col("some")))
+    met = marked(with_probes(lines.filter(long_enough), edits), "seg", bits, F.when(F.col("own"), F.col("several")).otherwise(F.col("some")))
     probe = stored(met.select("id", "seg", "n", signature(line).alias("sig")).dropDuplicates(["id", "seg"]), "probes")
     large = stored(segs.filter(F.col("size") > LARGE_BUCKET).select("seg"), "large")
     apart = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
@@ -206,7 +206,8 @@ def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFram
     crowded, seekers = (stored(side.join(large, "seg", "left_semi"), "crowded") for side in (index, probe))
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded.select("id")).union(seekers.select("id")).distinct(), "needed")
     wanted = marked(lines.select("id", "line"), "id", bitmap(needed.select(F.col("id").alias("key")), some=F.lit(True)), F.col("some"))
-    text = stored(wanted.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # an inner join: a semi join would be pushed below the bitmap, and shuffle all lines
+    text = stored(wanted.join(needed, "id").dropDuplicates(["id"]), "texts")
     la, lb = (text.select(F.col("id").alias(side), F.col("line").alias(f"l{side}")) for side in "ab")
     within = lambda x, y: F.levenshtein(x, y, edits).between(0, allowed(F.least(F.char_length(x), F.char_length(y)), edits))
     small = pairs.join(la, "a").join(lb, "b").filter(within("la", "lb"))
