@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,7 +88,3 @@ def path_figures(fixes: DataFrame, key: str, epsilon_m: float = 50.0) -> DataFra
         .groupBy(key)
         .applyInPandas(run, f"{key} {kind}, n_points long, spline_m double, displacement_m double, n_kept long")
     )
-
-
-def geometry_of(points: Iterable[tuple[float, float, float]]) -> np.ndarray:
-    return np.array(list(points), dtype=float).reshape(-1, 3)

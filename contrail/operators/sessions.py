@@ -5,6 +5,9 @@ a fix within the same second as the last accepted one is dropped; a gap that spl
 last fix; an active fix without an open flight opens one, as a takeoff if enough fixes before it were inactive or it
 is under 100 ft above ground, else as an airborne start; five inactive fixes in a row below 250 ft land it; an hour
 without fixes before the newest event time of all aircraft times it out, with a phase from its climb rate.
+
+Fixes of transponders (``on_ground`` not null) say themselves whether they fly: one inactive fix before makes a start a takeoff, and the first
+fix on the ground is the landing. Without the column ``on_ground`` all fixes follow the first rules.
 """
 
 from __future__ import annotations
@@ -85,17 +88,20 @@ class Tracker:
     quiet: list[bool] = field(default_factory=list)
     number: int = 0
 
-    def feed(self, t: float, lat: float, lon: float, alt: float | None, agl: float | None, speed: float | None, climb: float | None) -> list[dict]:
+    def feed(self, t: float, lat: float, lon: float, alt: float | None, agl: float | None, speed: float | None, climb: float | None, on_ground: float | None = None) -> list[dict]:
         closed: list[dict] = []
         if self.last is not None and int(abs(t - self.last[0])) < 1:
             return closed
         moved = metres(self.last[1:3], (lat, lon)) if self.last else 0.0
         if self.open and gap_splits(t - self.last[0], moved, self.last[3]):
             closed.append(self.close(timed_out=True))
-        on = is_active(speed, agl, alt)
+        on = is_active(speed, agl, alt) if on_ground is None else not on_ground
         if self.open is None and on:
             before = self.quiet[-FIXES_BEFORE_TAKEOFF:]
-            takeoff = all(before) if len(before) == FIXES_BEFORE_TAKEOFF else agl is not None and agl < 100
+            if on_ground is not None:
+                takeoff = bool(before) and before[-1]
+            else:
+                takeoff = all(before) if len(before) == FIXES_BEFORE_TAKEOFF else agl is not None and agl < 100
             self.number += 1
             self.open = {"flight_no": self.number, "first_fix": t, "takeoff": t if takeoff else None, "metres": 0.0, "n_fixes": 0, "min_alt": None, "max_alt": None, "max_agl": None}
             moved = 0.0
@@ -107,7 +113,8 @@ class Tracker:
             for name, x, best in (("min_alt", alt, min), ("max_alt", alt, max), ("max_agl", agl, max)):
                 if x is not None:
                     f[name] = x if f[name] is None else best(f[name], x)
-            if (agl is None or agl < ACTIVE_AGL) and len(self.quiet) == QUIET_FIXES and all(self.quiet):
+            low = (agl is None or agl < ACTIVE_AGL) and len(self.quiet) == QUIET_FIXES and all(self.quiet)
+            if (low and on_ground is None) or on_ground:
                 closed.append(self.close(landed=t))
         self.last = (t, lat, lon, speed, climb, alt)
         return closed
@@ -143,20 +150,32 @@ def frame(aircraft: object, flights: list[dict]) -> pd.DataFrame:
 
 
 def fed(tracker: Tracker, pdf: pd.DataFrame) -> Iterator[dict]:
-    pdf = pdf.sort_values(["received_at", "fix_id"])
+    """Flights that the fixes of one aircraft close, in order."""
     times = pd.to_datetime(pdf["received_at"]).astype("datetime64[us]").astype("int64") / 1e6
-    for t, row in zip(times, pdf[INPUT[1:]].itertuples(index=False), strict=True):
+    for t, row in zip(times, pdf[[c for c in [*INPUT[1:], "on_ground"] if c in pdf]].itertuples(index=False), strict=True):
         yield from tracker.feed(t, *map(_value, row))
 
 
 def sessionize(fixes: DataFrame) -> DataFrame:
-    """Flights of every aircraft. One group is one aircraft: the rules look at the last accepted fix, so it cannot be split."""
+    """Flights of every aircraft. Each task reads its aircraft one after the other in sorted batches and holds the state of one; no
+    history is held, however long."""
     newest = fixes.agg(F.max(F.unix_micros("received_at")).alias("m")).first()["m"]
     newest = (newest or 0) / 1e6
 
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = Tracker()
-        flights = [*fed(tracker, pdf), *tracker.end(newest)]
-        return frame(keys[0], flights)
-
-    return fixes.select("aircraft_id", "fix_id", *INPUT).groupBy("aircraft_id").applyInPandas(run, SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tracker = None, None
+        for pdf in batches:
+            done = []
+            for aircraft, part in pdf.groupby("aircraft_id", sort=False):
+                if tracker is None or aircraft != key:
+                    if tracker is not None:
+                        done.append(frame(key, tracker.end(newest)))
+                    key, tracker = aircraft, Tracker()
+                done.append(frame(aircraft, [*fed(tracker, part)]))
+            yield pd.concat([f for f in done if len(f)] or [done[0]])
+        if tracker is not None:
+            yield frame(key, tracker.end(newest))
+
+    ground = [F.col("on_ground").cast("double").alias("on_ground")] if "on_ground" in fixes.columns else []
+    rows = fixes.filter("aircraft_id IS NOT NULL").select("aircraft_id", "fix_id", *INPUT, *ground)
+    return rows.repartition("aircraft_id").sortWithinPartitions("aircraft_id", "received_at", "fix_id").mapInPandas(run, SCHEMA)

@@ -23,23 +23,34 @@ def within_radius(df: DataFrame, lat: float, lon: float, metres: float) -> DataF
     return near.withColumn("distance_m", haversine(lat, lon, F.col("lat"), F.col("lon"))).filter(F.col("distance_m") <= metres)
 
 
-def _cell(lat: Column, lon: Column, metres: float, widest_lat: float = 75.0) -> tuple[Column, Column, int]:
-    """Row and column of squares at least this wide up to the latitude, and the number of columns around the globe."""
+def _row(lat: Column, size: float) -> Column:
+    return F.floor((lat + 90) / size)
+
+
+def _across(row: Column, metres: float) -> Column:
+    """Columns around the globe in a row of squares: none narrower than the distance reaches there and in the rows beside it."""
     size = metres / DEGREE_M
-    across = max(3, math.floor(360 / (size / math.cos(math.radians(widest_lat)))))
-    return F.floor((lat + 90) / size), F.floor((lon + 180) / (360 / across)) % across, across
+    edge = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * size - 90), F.abs((row + 2) * size - 90)))
+    half = math.sin(min(math.pi / 2, metres / EARTH_RADIUS_M / 2))
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))))) * (1 + 1e-9)
+    return F.greatest(F.lit(1), F.floor(360 / width))
+
+
+def _column(lon: Column, across: Column) -> Column:
+    return F.floor((lon + 180) / 360 * across) % across
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """Inner join of rows within the distance (up to 75 degrees of latitude), and with equal columns ``on``.
+    """Inner join of rows within the distance, at any latitude, and with equal columns ``on``.
 
-    right is copied to the 3 x 3 cells around it; columns of right must have names of their own, lat2 and lon2 among them.
+    right is copied to the cells around it; each row of cells has as many columns as fit its latitude. Columns of right must have names of
+    their own, lat2 and lon2 among them.
     """
-    row, column, _ = _cell(F.col("lat"), F.col("lon"), metres)
-    row2, column2, across = _cell(F.col("lat2"), F.col("lon2"), metres)
-    around = F.array(*(F.struct((row2 + i).alias("r"), F.pmod(column2 + j, F.lit(across)).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = left.withColumns({"__r": row, "__c": column})
-    b = right.withColumn("__at", F.explode(F.array_distinct(around))).select("*", F.col("__at.r").alias("__r"), F.col("__at.c").alias("__c")).drop("__at")
+    size = metres / DEGREE_M
+    a = left.withColumn("__r", _row(F.col("lat"), size)).withColumn("__c", _column(F.col("lon"), _across(F.col("__r"), metres)))
+    rows = right.withColumn("__r", F.explode(F.array(*(_row(F.col("lat2"), size) + i for i in (-1, 0, 1))))).withColumn("__n", _across(F.col("__r"), metres))
+    around = F.array_distinct(F.array(*(F.pmod(_column(F.col("lon2"), F.col("__n")) + j, F.col("__n")) for j in (-1, 0, 1))))
+    b = rows.withColumn("__c", F.explode(around)).drop("__n")
     distance = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     return a.join(b, ["__r", "__c", *on]).withColumn("distance_m", distance).filter(F.col("distance_m") <= metres).drop("__r", "__c")
 
@@ -70,15 +81,19 @@ def nearest_runway_ends(fixes: DataFrame, ends: DataFrame, metres: float, most:
     return ranked.select("fix_id", "track", F.posexplode("e").alias("rank", "x")).select("fix_id", "track", "rank", "x.*")
 
 
-def overlapping_flights(flights: DataFrame) -> DataFrame:
-    """Pairs of different flights whose times and boxes overlap; flights meet in the days that both touch, once."""
-    days = F.sequence(F.to_date("first"), F.to_date("last"))
-    a = flights.withColumn("day", F.explode(days))
+def overlapping_flights(flights: DataFrame, slot_s: int = 6 * 3600, degrees: float = 10.0) -> DataFrame:
+    """Pairs of different flights whose times and boxes overlap. Flights are copied to the time slots and squares that they touch and meet
+    in the first slot and square that both touch, so each pair comes once."""
+    span = {"slot": (F.unix_timestamp("first") / slot_s, F.unix_timestamp("last") / slot_s)} | {k: (F.col(f"min_{k}") / degrees, F.col(f"max_{k}") / degrees) for k in ("lat", "lon")}
+    a = flights.withColumns({f"from_{k}": F.floor(lo) for k, (lo, _) in span.items()})
+    for k, (lo, hi) in span.items():
+        a = a.withColumn(f"at_{k}", F.explode(F.sequence(F.floor(lo), F.floor(hi))))
     b = a.toDF(*(f"{c}2" for c in a.columns))
-    meet = F.greatest(F.to_date("first"), F.to_date("first2"))
+    meet = F.col("flight_id") != F.col("flight_id2")
+    for k in span:
+        meet = meet & (F.col(f"at_{k}") == F.col(f"at_{k}2")) & (F.col(f"at_{k}") == F.greatest(f"from_{k}", f"from_{k}2"))
     pair = lambda low, high: boxes_overlap(F.col(low), F.col(high), F.col(f"{low}2"), F.col(f"{high}2"))
-    same = (F.col("day") == F.col("day2")) & (F.col("day") == meet) & (F.col("flight_id") != F.col("flight_id2"))
-    return a.join(b, same & pair("first", "last") & pair("min_lat", "max_lat") & pair("min_lon", "max_lon")).select("flight_id", "flight_id2")
+    return a.join(b, meet & pair("first", "last") & pair("min_lat", "max_lat") & pair("min_lon", "max_lon")).select("flight_id", "flight_id2")
 
 
 def tow_candidates(tugs: DataFrame, others: DataFrame, metres: float = 500.0, seconds: int = 30) -> DataFrame:

@@ -49,11 +49,15 @@ def path_distances(fixes: DataFrame) -> DataFrame:
     return steps(fixes).groupBy("aircraft_id").agg(F.count("*").alias("n"), F.round(F.sum("step_m"), 1).alias("metres"))
 
 
-def gap_sessions(fixes: DataFrame) -> DataFrame:
-    """T9 as a batch: fixes numbered by session, then one row per session."""
+def with_sessions(fixes: DataFrame) -> DataFrame:
+    """T9 as a batch: each fix with its aircraft's running number of sessions."""
     split = splits(F.col("gap_s"), F.col("step_m"), F.col("speed_before")).cast("int")
-    numbered = steps(fixes).withColumn("session", F.sum(split).over(by_aircraft().rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("aircraft_id", "session").agg(
+    return steps(fixes).withColumn("session", F.sum(split).over(by_aircraft().rowsBetween(W.unboundedPreceding, 0)))
+
+
+def gap_sessions(fixes: DataFrame) -> DataFrame:
+    """One row per session."""
+    return with_sessions(fixes).groupBy("aircraft_id", "session").agg(
         F.count("*").alias("n_fixes"),
         F.unix_timestamp(F.min("received_at")).alias("first"),
         F.unix_timestamp(F.max("received_at")).alias("last"),
@@ -99,12 +103,13 @@ def latest(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
-    """Each left row with the last value of right at or before it, by one sorted union and no range join."""
+    """Each left row with the value of the last row of right at or before it, null or not, by one sorted union and no range join."""
     both = left.select(key, time, tie, F.lit(1).alias("side"), F.lit(None).cast(right.schema[value].dataType).alias(value)).unionByName(
         right.select(key, time, F.lit(None).cast(left.schema[tie].dataType).alias(tie), F.lit(0).alias("side"), value)
     )
     w = W.partitionBy(key).orderBy(time, "side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("found", F.last(value, ignorenulls=True).over(w)).filter("side = 1").select(key, tie, "found")
+    newest = F.last(F.when(F.col("side") == 0, F.struct(value)), ignorenulls=True).over(w)
+    return both.withColumn("found", newest[value]).filter("side = 1").select(key, tie, "found")
 
 
 def fixes_of_flights(fixes: DataFrame, flights: DataFrame, most_hours: int = 7) -> DataFrame:

@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixes(table(spark, sf_dir, "events"))
+
+
+def _fixes(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("fix_id"),
         F.col("user_id").alias("aircraft_id"),
         F.col("ts").cast("timestamp").alias("received_at"),
@@ -33,6 +37,13 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fixes_between(spark: SparkSession, sf_dir: str, first: str, end: str) -> DataFrame:
+    """Fixes from first to before end (UTC); the bounds are on the stored column, so the scan skips row groups."""
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    inside = table(spark, sf_dir, "events").filter((F.col("ts") >= at(first)) & (F.col("ts") < at(end)))
+    return _fixes(inside)
+
+
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     takeoff = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(k % 24).cast("int"))

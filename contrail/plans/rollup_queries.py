@@ -144,12 +144,6 @@ QUERIES = {
             WHERE (strftime(g, '%Y-%m-%d'), r) NOT IN (SELECT strftime(received_at, '%Y-%m-%d'), x FROM fixes, (VALUES (3), (5), (8)) w(x))"""),
     ),
     "x9_rollup_delta": (
-        lambda s, p: rollups.rollup_delta(d.flights(s, p).filter("flight_id % 5 = 0"), d.flights(s, p).filter("flight_id % 5 = 0").withColumn("takeoff", F.expr("takeoff + INTERVAL 1 DAY"))),
-        sql(f"""SELECT strftime(takeoff, '%Y-%m-%d') AS day, sum(s)::BIGINT AS n_flights, sum(s * ({SECS}))::BIGINT AS total_seconds, sum(s * towed::INT)::BIGINT AS n_towed FROM
-            (SELECT takeoff, landing, towed, -1 AS s FROM flights WHERE flight_id % 5 = 0 UNION ALL SELECT takeoff + INTERVAL 1 DAY, landing, towed, 1 FROM flights WHERE flight_id % 5 = 0) GROUP BY 1"""),
-    ),
-    # all flights; x9_rollup_delta keeps the subset that its oracle SQL names
-    "x9_rollup_delta_all": (
         lambda s, p: rollups.rollup_delta(d.flights(s, p), d.flights(s, p).withColumn("takeoff", F.expr("takeoff + INTERVAL 1 DAY"))),
         sql(f"""SELECT strftime(takeoff, '%Y-%m-%d') AS day, sum(s)::BIGINT AS n_flights, sum(s * ({SECS}))::BIGINT AS total_seconds, sum(s * towed::INT)::BIGINT AS n_towed FROM
             (SELECT takeoff, landing, towed, -1 AS s FROM flights UNION ALL SELECT takeoff + INTERVAL 1 DAY, landing, towed, 1 FROM flights) GROUP BY 1"""),
@@ -226,9 +220,9 @@ QUERIES = {
         sql("SELECT DISTINCT ON (aircraft_id) aircraft_id, fix_id, lat, lon FROM fixes ORDER BY aircraft_id, received_at DESC, fix_id DESC"),
     ),
     "j13_as_of": (
-        lambda s, p: tracks.as_of_join(d.fixes(s, p).filter("kind = 'purchase'"), d.fixes(s, p).filter("kind = 'view'").dropDuplicates(["aircraft_id", "received_at"]), "aircraft_id", "received_at", "fix_id", "alt_ft").select("aircraft_id", "fix_id", "found"),
+        lambda s, p: tracks.as_of_join(d.fixes(s, p).filter("kind = 'purchase'"), d.fixes(s, p).filter("kind = 'view'").groupBy("aircraft_id", "received_at").agg(F.max_by("alt_ft", "fix_id").alias("alt_ft")), "aircraft_id", "received_at", "fix_id", "alt_ft").select("aircraft_id", "fix_id", "found"),
         sql("""SELECT l.aircraft_id, l.fix_id, r.alt_ft AS found FROM (SELECT * FROM fixes WHERE kind = 'purchase') l
-            ASOF LEFT JOIN (SELECT * FROM fixes WHERE kind = 'view') r ON l.aircraft_id = r.aircraft_id AND l.received_at >= r.received_at"""),
+            ASOF LEFT JOIN (SELECT DISTINCT ON (aircraft_id, received_at) * FROM fixes WHERE kind = 'view' ORDER BY aircraft_id, received_at, fix_id DESC) r ON l.aircraft_id = r.aircraft_id AND l.received_at >= r.received_at"""),
     ),
     "l3_page": (
         lambda s, p: search.page(d.flights(s, p).select("flight_id", "aircraft_id", "distance_m"), [F.desc("distance_m"), "flight_id"], 25, 3),

@@ -124,9 +124,10 @@ def with_elevation(points: DataFrame, grid: DataFrame, size: int = 1201) -> Data
 
     n = size - 1
     y, x = (F.col("lat") - F.floor("lat")) * n, (F.col("lon") - F.floor("lon")) * n
+    # the key is made of the point itself, so a second run that orders rows in another way changes nothing
     p = points.withColumns(
         {
-            "__id": F.monotonically_increasing_id(),
+            "__id": F.struct("lat", "lon"),
             "tile_lat": F.floor("lat"),
             "tile_lon": F.floor("lon"),
             "__r": F.least(F.floor(n - y), F.lit(n - 1)),
@@ -135,9 +136,62 @@ def with_elevation(points: DataFrame, grid: DataFrame, size: int = 1201) -> Data
     )
     p = p.withColumns({"__fy": (n - y) - F.col("__r"), "__fx": x - F.col("__c")})
     corner = F.explode(F.array(*(F.struct((F.col("__r") + i).alias("row"), (F.col("__c") + j).alias("col"), F.lit(2 * i + j).alias("k")) for i in (0, 1) for j in (0, 1))))
-    at = p.select("__id", "tile_lat", "tile_lon", "__fx", "__fy", corner.alias("e")).select("__id", "tile_lat", "tile_lon", "__fx", "__fy", "e.*")
-    q = [F.max(F.when(F.col("k") == k, F.col("metres"))) for k in range(4)]
+    at = p.select("__id", "tile_lat", "tile_lon", "__fx", "__fy", "__r", "__c").distinct().select("__id", "tile_lat", "tile_lon", "__fx", "__fy", corner.alias("e")).select("__id", "tile_lat", "tile_lon", "__fx", "__fy", "e.*")
+    q = [F.max(F.when(F.col("k") == k, F.col("metres"))) for k in range(4)]  # null, and so the result, where one is missing
     found = at.join(grid, ["tile_lat", "tile_lon", "row", "col"]).groupBy("__id").agg(
         bilinear(q[0], q[1], q[2], q[3], F.first("__fx"), F.first("__fy")).alias("elevation_m")
     )
     return p.join(found, "__id", "left").drop("__id", "tile_lat", "tile_lon", "__r", "__c", "__fx", "__fy")
+
+
+def aircraft_types(spark: SparkSession, path: str) -> DataFrame:
+    """Model codes with their description and kind of wing; rows without a code are dropped."""
+    df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    df = df.toDF(*(c.strip().strip("\ufeff").lower().replace(" ", "_") for c in df.columns))
+    code = F.upper(F.nullif(F.trim(F.col(df.columns[0])), F.lit("")))
+    return df.withColumn(df.columns[0], code).filter(F.col(df.columns[0]).isNotNull())
+
+
+#: Altitudes in airspace files that are codes; fixed values.
+ALTITUDE_CODES = {-9998: 18000}
+
+
+def airspace_altitude(feet: Column) -> Column:
+    out = feet
+    for code, value in ALTITUDE_CODES.items():
+        out = F.when(feet == code, value).otherwise(out)
+    return out.cast("int")
+
+
+def shapes(df: DataFrame) -> DataFrame:
+    """(path, record, ring, points array<struct<x, y>>, outer) of binary polygon shape files (path, content).
+
+    A record has parts of points (published layout: big-endian record heads, little-endian content, shape type 5). Clockwise rings are outer.
+    """
+    import struct
+
+    import pandas as pd
+
+    def rings(content: bytes):  # noqa: ANN202
+        at = 100
+        while at + 12 <= len(content):
+            number, words = struct.unpack_from(">ii", content, at)
+            body = at + 8
+            if struct.unpack_from("<i", content, body)[0] == 5:
+                parts, n = struct.unpack_from("<ii", content, body + 36)
+                first = [*struct.unpack_from(f"<{parts}i", content, body + 44), n]
+                xy = struct.unpack_from(f"<{2 * n}d", content, body + 44 + 4 * parts)
+                for k in range(parts):
+                    yield number, k, [{"x": xy[2 * i], "y": xy[2 * i + 1]} for i in range(first[k], first[k + 1])]
+            at = body + 2 * words
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = [(path, *r) for r in rings(bytes(content))]
+                yield pd.DataFrame(rows, columns=["path", "record", "ring", "points"])
+
+    from ..functions.geo import signed_area
+
+    read = df.select("path", "content").mapInPandas(run, "path string, record long, ring long, points array<struct<x: double, y: double>>")
+    return read.withColumn("outer", signed_area(F.col("points")) < 0)

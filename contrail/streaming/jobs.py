@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sessions import COLUMNS, INPUT, SCHEMA, TIMEOUT, Tracker, fed, frame
+from ..operators.sessions import INPUT, SCHEMA, TIMEOUT, Tracker, fed, frame
 
 STATE = "open string, last string, quiet array<boolean>, number long"
 
@@ -58,9 +58,9 @@ class FlightProcessor(StatefulProcessor):
         self.state.update((json.dumps(t.open) if t.open else "", json.dumps(t.last) if t.last else "", t.quiet, t.number))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        tracker, closed = self._load(), []
-        for pdf in rows:
-            closed += fed(tracker, pdf)
+        # Rows of one micro-batch in order of time, however they came; those behind the watermark are gone already
+        tracker, batch = self._load(), pd.concat(list(rows))
+        closed = [*fed(tracker, batch.sort_values(["received_at", "fix_id"]))]
         self._save(tracker)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
@@ -80,13 +80,14 @@ class FlightProcessor(StatefulProcessor):
 
 def flights(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Flights as they close."""
-    assert COLUMNS
-    source = stream.select("aircraft_id", "fix_id", *INPUT).withWatermark("received_at", delay)
+    ground = [F.col("on_ground").cast("double").alias("on_ground")] if "on_ground" in stream.columns else []
+    source = stream.select("aircraft_id", "fix_id", *INPUT, *ground).withWatermark("received_at", delay)
     return source.groupBy("aircraft_id").transformWithStateInPandas(FlightProcessor(), SCHEMA, "Append", "EventTime")
 
 
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "aircraft_id", time: str = "received_at"):  # noqa: ANN201
-    """K3: the newest row of each key, kept in numbered versions below path, each written whole before it is named current."""
+    """K3: the newest row of each key, kept in numbered versions below path, each written whole before it is named current; the version
+    before the last is deleted, the last one stays for a restart. The state has a row for each key, so a batch costs as much as there are keys."""
     from ..operators.tracks import latest
 
     def put(batch: DataFrame, number: int) -> None:
@@ -95,5 +96,8 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "air
         if number:
             batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}"))
         latest(batch, key, time, *rest).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
