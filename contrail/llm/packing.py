@@ -43,6 +43,8 @@ K1, B = 1.2, 0.75
 #: Bytes of text, and documents, whose ids are in hand at once; a longer text is cut at spaces.
 BLOCK_BYTES = 1 << 22
 ROWS_AT_ONCE = 5000
+#: Bytes of parts and ids that a Python worker remembers.
+KNOWN_BYTES = 24 << 20
 #: Characters that the merger gets at once.
 RUN = 1 << 14
 _SCHEMA = (
@@ -53,7 +55,7 @@ _SCHEMA = (
 class WordIds:
     """Token ids by space-separated part, which is exact for a vocabulary whose pre-tokens never cross white space.
 
-    The distinct parts of a block of texts are encoded once. Parts of printable Latin-1, where case folding and normalisation are plain, are cut
+    The distinct parts of a block of texts are encoded once, and kept until they take ``KNOWN_BYTES``. Parts of printable Latin-1, where case folding and normalisation are plain, are cut
     here and their pre-tokens merged by a sentencepiece model with the file's merge ranks as scores (see byte_bpe); all
     other parts, those that contain a special token, and files of another build go through the tokenizers library.
     """
@@ -75,6 +77,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size()
         self.special: list[str] = []
+        self._forget()
         self.merger = self._merger(json.loads(definition))
 
     def _merger(self, d: dict):  # noqa: ANN202
@@ -121,9 +124,10 @@ class WordIds:
             quick &= ~pc.match_substring(parts, token).to_numpy(zero_copy_only=False)
         return ~quick
 
-    def _merged(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts end to end, and how many each has; all pre-tokens are merged in long runs, an unknown character between them."""
-        cut = " ".join(self._PRE_TOKENS.findall("\n".join(parts).lower())).replace(" \n ", "\n")
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts), pa.scalar("\n", pa.large_string()))[0].as_py()
+        cut = " ".join(self._PRE_TOKENS.findall(lines.lower())).replace(" \n ", "\n")
         raw = np.frombuffer(cut.encode(), dtype=np.uint8)
         gap = raw <= 0x20
         code = raw.astype("<u4") + FIRST_CHAR
@@ -143,7 +147,7 @@ class WordIds:
         owner = part[np.minimum(np.cumsum(between), len(part) - 1)][~between]
         return self.ids[ids[~between]], np.bincount(owner, minlength=len(parts))
 
-    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _learned(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct parts end to end, and how many each has."""
         filled = pc.greater(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)
         slow = filled & self._slow(parts)
@@ -151,7 +155,7 @@ class WordIds:
         counts = np.zeros(len(parts), dtype=np.int64)
         flat = {}
         if quick.any():
-            flat[1], counts[quick] = self._merged(parts.filter(pa.array(quick)).to_pylist())
+            flat[1], counts[quick] = self._merged(parts.filter(pa.array(quick)))
         if slow.any():
             made = self.tokenizer.encode_batch_fast(parts.filter(pa.array(slow)).to_pylist(), add_special_tokens=False)
             counts[slow] = [len(e.ids) for e in made]
@@ -162,14 +166,30 @@ class WordIds:
             out[kind == k] = ids
         return out, counts
 
+    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of these distinct parts begin in ``flat``, and how many there are; new parts are learned."""
+        if self.known.nbytes + len(self.flat) * 4 > KNOWN_BYTES:
+            self._forget()
+        new = parts.filter(pc.is_null(pc.index_in(parts, value_set=self.known)))
+        ids, counts = self._learned(new)
+        self.known = pa.concat_arrays([self.known, new])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, counts])
+        at = pc.index_in(parts, value_set=self.known).to_numpy()
+        return self.starts[at], self.counts[at]
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.starts, self.counts = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and their offsets."""
         lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         off = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-        flat, counts = self.parts(coded.dictionary)
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        flat, counts = np.append(flat, np.uint32(END_ID)), np.append(counts, 1)
+        starts, counts = self.parts(coded.dictionary)
+        flat = np.append(self.flat, np.uint32(END_ID))
+        starts, counts = np.append(starts, len(flat) - 1), np.append(counts, 1)
         part = np.insert(coded.indices.to_numpy().astype(np.int64), off[1:] - off[0], len(counts) - 1)
         size = counts[part]
         ends = np.cumsum(size)

@@ -543,6 +543,7 @@ def test_word_ids_match_tokenizer(monkeypatch):
     for block in (1 << 22, 500):
         monkeypatch.setattr(packing, "BLOCK_BYTES", block)
         monkeypatch.setattr(packing, "RUN", block // 10)
+        monkeypatch.setattr(packing, "KNOWN_BYTES", block)
         got = []
         for first, ids, off in ours.encoded(pa.array(samples)):
             assert first == len(got)
