@@ -15,11 +15,6 @@ from ..operators.sessions import INPUT, SCHEMA, TIMEOUT, Tracker, fed, frame
 STATE = "open string, last string, quiet array<boolean>, number long"
 
 
-def routed(envelopes: DataFrame) -> dict[str, DataFrame]:
-    """One stream per source."""
-    return {s: envelopes.filter(F.col("source") == s) for s in ("ogn", "beast", "sbs")}
-
-
 def once(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
     """K1: redelivered rows are dropped within the watermark."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])

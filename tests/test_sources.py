@@ -213,3 +213,23 @@ def test_airspace_shapes(spark):
 def test_aircraft_types(spark, tmp_path):
     (tmp_path / "t.csv").write_text("Code, Description, Wing Type\na320,Airbus A320, Fixed\n,none,Fixed\n")
     assert [tuple(r) for r in files.aircraft_types(spark, str(tmp_path / "t.csv")).collect()] == [("A320", "Airbus A320", "Fixed")]
+
+
+def test_envelopes(spark):
+    from contrail.sources import envelopes
+
+    def varint(n):
+        n &= (1 << 64) - 1
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    def made(source, micros, data):
+        return b"\x08" + varint(source) + b"\x10" + varint(micros) + b"\x1a" + varint(len(data)) + data
+
+    raws = [made(0, 1_700_000_000_123_456, b"abc"), made(1, -1, b"\x00" * 300), made(2, 5, b""), made(7, 5, b"x"), b"\x1a\x7fshort", b"\xff", b"", None]
+    df = envelopes.decoded(spark.createDataFrame([(None if r is None else bytearray(r),) for r in raws], "value binary"))
+    got = [(r.source, r.us, bytes(r.data)) for r in df.withColumn("us", F.unix_micros("received_at")).collect()]
+    assert got == [("ogn", 1_700_000_000_123_456, b"abc"), ("beast", -1, b"\x00" * 300), ("sbs", 5, b""), ("ogn", 0, b"")]
+    assert {k: v.count() for k, v in envelopes.routed(df).items()} == {"ogn": 2, "beast": 1, "sbs": 1}
