@@ -90,6 +90,9 @@ def block_features(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
+_NAMES = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words", "n_removed_words", "removed", "base_failed", "kept"}
+
+
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns but the text, then the figures of each row's text."""
     keep = [F.col(c) for c in df.columns if c != text_col]
@@ -141,10 +144,12 @@ def verdicts(
     keep_words: float = KEEP_WORDS,
     most_docs: int = MOST_DOCS,
 ) -> DataFrame:
-    """Every row of df (whose other columns must not bear the names of figures) without its text, with its figures, ``removed`` (array of the boilerplate line hashes in it), ``n_removed_words``, ``base_failed`` and ``kept``."""
+    """Every row of df without its text, with its figures, ``removed`` (array of the boilerplate line hashes in it), ``n_removed_words``,
+    ``base_failed`` and ``kept``. Columns of df that bear one of these names are left out. A null host is a host of its own; an empty table gives no rows."""
+    others = [c for c in df.columns if c == text_col or c not in _NAMES]
     figures = stored(
         features(
-            df.select("*", F.col(host_col).alias("__host"), F.monotonically_increasing_id().alias("__row")), text_col
+            df.select(*others, F.col(host_col).alias("__host"), F.monotonically_increasing_id().alias("__row")), text_col
         ),
         "figures",
     )

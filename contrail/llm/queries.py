@@ -75,14 +75,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run as pipeline
-
-    own = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
-    return {f.__name__: f for f in own} | {"pipeline": pipeline}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpus_pipeline import ORACLE_SQL
-
-    sql = {"op2_license_scan": license_scan.oracle_sql(), "op6_sharding": sharding.ORACLE_SQL}
-    return sql | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op2_license_scan": license_scan.oracle_sql(), "op6_sharding": sharding.ORACLE_SQL}

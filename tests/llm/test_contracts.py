@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from contrail.llm import byte_bpe, jaccard_join, language_id, packing, quality_rules, telephony
 from contrail.llm.queries import queries
@@ -145,8 +146,9 @@ def test_quality_rules_odd_rows(spark):
     plain = df.select("doc_id", "text", "source")
     rows = plain.collect()
     want = Counter(zip((r.doc_id for r in rows), expected_quality([(r.text, r.source) for r in rows], 2, 0.1, 0.5), strict=True))
-    got = quality_rules.verdicts(plain, min_docs=2).collect()
-    assert Counter((r.doc_id, tuple(r[c] for c in FIGURES)) for r in got) == want
+    for wide in (plain, df.withColumn("removed", F.lit("x")).withColumn("kept", F.lit(1))):  # columns with the names of figures
+        got = quality_rules.verdicts(wide, min_docs=2).collect()
+        assert Counter((r.doc_id, tuple(r[c] for c in FIGURES)) for r in got) == want
     kept = quality_rules.apply(df, min_docs=2)
     assert kept.columns == df.columns
     assert kept.count() == sum(w[1][6] for w in want.elements())
