@@ -170,35 +170,33 @@ def _scan(docs: DataFrame) -> DataFrame:
     return in_arrow(docs, run, f"doc_id {kind}, {', '.join(f'{x} long' for x in numbers)}, part int, counts binary")
 
 
-def _common(counts: DataFrame) -> np.ndarray:
-    """Bitmap of the buckets that hold many shingles, from the (part, counts) rows; its size is fixed."""
+def _common(rows: DataFrame, counts: DataFrame) -> np.ndarray:
+    """Bitmap of the buckets that hold many shingles, from the (part, counts) rows; its size is fixed, and a task counts one part at a time."""
+    window = F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUM / DEN) + 1
+    counted = rows.filter("n_shingles > 0").agg(F.sum(F.least("n_shingles", F.floor(window * 3 / 2)))).first()[0] or 0
+    least = COMMON + 2 * counted / (1 << BUCKET_BITS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = packed.as_buffer()
-                n = len(raw) // 3
-                low = np.frombuffer(raw, "<u2", n).astype(np.int64)
-                totals.setdefault(part, np.zeros(1 << 16, np.int64))[low] += np.frombuffer(raw, np.uint8, n, 2 * n)
-        for part, total in totals.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([int(total.sum())]), pa.array([total.astype("<i4").tobytes()], pa.binary())],
-                names=["part", "sum", "totals"],
-            )
+        total, at = np.zeros(1 << 16, np.int32), None
 
-    # fixed size: 2**BUCKET_BITS counters in the shared folder, of which only the marks come to the driver
-    totals = stored(in_arrow(counts.repartition("part"), run, "part int, sum long, totals binary"), "totals")
-    mean = (totals.agg(F.sum("sum")).first()[0] or 0) / (1 << BUCKET_BITS)
-    least = COMMON + 2 * mean
+        def marks() -> pa.RecordBatch:
+            bits = np.packbits(total > least, bitorder="little").tobytes()
+            total[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bits"])
 
-    def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(x.as_buffer(), "<i4") > least, bitorder="little").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["part", "bits"])
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if at is not None and part != at:
+                    yield marks()
+                at, raw = part, packed.as_buffer()
+                n = len(raw) // 3
+                total[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, np.uint8, n, 2 * n)
+        if at is not None:
+            yield marks()
 
     out = np.zeros(1 << (BUCKET_BITS - 3), dtype=np.uint8)
-    for row in in_arrow(totals.select("part", "totals"), marks, "part int, bits binary").toLocalIterator():
+    sorted_ = counts.repartition("part").sortWithinPartitions("part")
+    for row in in_arrow(sorted_, run, "part int, bits binary").collect():  # 2 ** (BUCKET_BITS - 3) bytes in all
         out[row["part"] << 13 : (row["part"] + 1) << 13] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out
 
@@ -481,7 +479,7 @@ def _prepared(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     if clashes:
         rows = rows.withColumn("cls", F.when(F.col("cls").isin(clashes), F.col("cls2")).otherwise(F.col("cls")))
         made = classes()
-    return docs, rows.select("doc_id", "n_shingles", "cls"), made, _common(seen.filter("part IS NOT NULL").select("part", "counts")), clashes
+    return docs, rows.select("doc_id", "n_shingles", "cls"), made, _common(rows, seen.filter("part IS NOT NULL").select("part", "counts")), clashes
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
