@@ -219,7 +219,9 @@ def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFram
         F.when(first, F.col("y.line")).otherwise(F.col("x.line")).alias("lb"),
     )
     found = stored(small.select("a", "b", "la", "lb").unionByName(big).dropDuplicates(["a", "b"]), "near")
-    return found.select("a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")).filter(
+    # few bytes and much work each: as many tasks as the session has partitions, which a small table would not get by its size
+    spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return spread.select("a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")).filter(
         F.col("distance") <= edits
     )
 
