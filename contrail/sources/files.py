@@ -38,25 +38,35 @@ def _text(name: str) -> Column:
     return F.nullif(F.trim(F.col(name)), F.lit(""))
 
 
+#: Plain text columns of the registration file and their names here; fixed values.
+REGISTRATION_TEXTS = {
+    "SERIAL NUMBER": "serial_number", "MFR MDL CODE": "model_code", "ENG MFR MDL": "engine_code", "TYPE REGISTRANT": "registrant_type", "NAME": "name",
+    "STREET": "street", "STREET2": "street2", "CITY": "city", "STATE": "state", "ZIP CODE": "zip", "REGION": "region", "COUNTY": "county",
+    "COUNTRY": "country", "CERTIFICATION": "certification", "TYPE AIRCRAFT": "aircraft_type", "TYPE ENGINE": "engine_type", "STATUS CODE": "status",
+    "UNIQUE ID": "unique_id", "KIT MFR": "kit_maker", "KIT MODEL": "kit_model",
+}
+
+
 def registrations(spark: SparkSession, path: str) -> DataFrame:
-    """Padded registration columns by header; 0 and blank are null, Y/N flags, yyyyMMdd days, hexadecimal address."""
+    """Padded registration columns by header; 0 and blank are null, Y/N flags, yyyyMMdd days, hexadecimal and octal addresses.
+
+    Columns that a file does not have are null.
+    """
     df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    df = df.toDF(*(c.strip().strip("﻿") for c in df.columns))
-    day = lambda c: F.to_date(F.try_to_timestamp(_text(c), F.lit("yyyyMMdd")))
+    df = df.toDF(*(c.strip().strip("\ufeff") for c in df.columns))
+    text = lambda c: _text(c) if c in df.columns else F.lit(None).cast("string")
+    day = lambda c: F.to_date(F.try_to_timestamp(text(c), F.lit("yyyyMMdd")))
     return df.select(
-        F.concat(F.lit("N"), _text("N-NUMBER")).alias("registration"),
-        _text("SERIAL NUMBER").alias("serial_number"),
-        _text("MFR MDL CODE").alias("model_code"),
-        F.nullif(_text("YEAR MFR").try_cast("int"), F.lit(0)).alias("year"),
-        _text("NAME").alias("name"),
-        _text("CITY").alias("city"),
-        _text("STATE").alias("state"),
-        _text("ZIP CODE").alias("zip"),
+        F.concat(F.lit("N"), text("N-NUMBER")).alias("registration"),
+        *(text(c).alias(name) for c, name in REGISTRATION_TEXTS.items()),
+        F.nullif(text("YEAR MFR").try_cast("int"), F.lit(0)).alias("year"),
         day("LAST ACTION DATE").alias("last_action"),
         day("CERT ISSUE DATE").alias("issued"),
+        day("AIR WORTH DATE").alias("airworthy"),
         day("EXPIRATION DATE").alias("expires"),
-        (_text("FRACT OWNER") == "Y").alias("fractional"),
-        F.conv(_text("MODE S CODE HEX"), 16, 10).cast("int").alias("address"),
+        (text("FRACT OWNER") == "Y").alias("fractional"),
+        F.array_compact(F.array(*(text(f"OTHER NAMES({k})") for k in range(1, 6)))).alias("other_names"),
+        F.coalesce(F.conv(text("MODE S CODE HEX"), 16, 10), F.conv(text("MODE S CODE"), 8, 10)).cast("int").alias("address"),
     )
 
 
@@ -65,6 +75,21 @@ def fixed_width(df: DataFrame, layout: dict[str, tuple[int, int]], value: str =
     return df.select(*(F.nullif(F.trim(F.substring(value, a, b - a + 1)), F.lit("")).alias(c) for c, (a, b) in layout.items()))
 
 
+#: 1-based first and last characters of the aircraft model file's columns; fixed values.
+MODEL_LAYOUT = {
+    "manufacturer_code": (1, 3), "model_code": (4, 5), "series_code": (6, 7), "manufacturer": (9, 38), "model": (40, 59), "aircraft_type": (61, 61),
+    "engine_type": (63, 64), "category": (66, 66), "certification": (68, 68), "engines": (70, 71), "seats": (73, 75), "weight_class": (77, 83),
+    "cruising_speed": (85, 88), "certificate": (90, 105), "certificate_holder": (107, 157),
+}
+
+
+def aircraft_models(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the fixed-width model file; the head line, short lines and lines without a manufacturer code are dropped."""
+    lines = spark.read.text(path).filter(F.length("value") >= 156)
+    rows = fixed_width(lines, MODEL_LAYOUT).filter("manufacturer_code IS NOT NULL AND manufacturer_code <> 'COD'")
+    return rows.withColumns({c: F.nullif(F.col(c).try_cast("int"), F.lit(0)) for c in ("engines", "seats", "cruising_speed")})
+
+
 def receivers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Receivers, links and photos of one JSON document."""
     schema = "receivers array<struct<callsign:string,description:string,contact:string,links:array<struct<rel:string,href:string>>,photos:array<string>>>"

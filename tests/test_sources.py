@@ -233,3 +233,25 @@ def test_envelopes(spark):
     got = [(r.source, r.us, bytes(r.data)) for r in df.withColumn("us", F.unix_micros("received_at")).collect()]
     assert got == [("ogn", 1_700_000_000_123_456, b"abc"), ("beast", -1, b"\x00" * 300), ("sbs", 5, b""), ("ogn", 0, b"")]
     assert {k: v.count() for k, v in envelopes.routed(df).items()} == {"ogn": 2, "beast": 1, "sbs": 1}
+
+
+def test_aircraft_models(spark, tmp_path):
+    def line(**values):
+        out = [" "] * 157
+        for name, value in values.items():
+            first = files.MODEL_LAYOUT[name][0]
+            out[first - 1 : first - 1 + len(value)] = value
+        return "".join(out)
+
+    good = line(manufacturer_code="002", model_code="09", series_code="01", manufacturer="AAR AIRLIFT", model="UH-60A", aircraft_type="6", engine_type="3", engines="02", seats="015", weight_class="CLASS 3", cruising_speed="0000")
+    (tmp_path / "m.txt").write_text("\n".join([line(manufacturer_code="COD", model="MODEL"), good, "too short", ""]))
+    r = files.aircraft_models(spark, str(tmp_path / "m.txt")).collect()
+    assert [(x.manufacturer_code, x.model_code, x.series_code, x.manufacturer, x.model, x.engines, x.seats, x.weight_class, x.cruising_speed, x.certificate) for x in r] == [
+        ("002", "09", "01", "AAR AIRLIFT", "UH-60A", 2, 15, "CLASS 3", None, None)
+    ]
+
+
+def test_octal_addresses_and_other_names(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("N-NUMBER,MODE S CODE,OTHER NAMES(1),OTHER NAMES(2),STREET\n152AS,50150656,,B C ,1 Road  \n")
+    r = files.registrations(spark, str(tmp_path / "r.csv")).first()
+    assert (r.address, r.other_names, r.street, r.kit_model) == (0o50150656, ["B C"], "1 Road", None)
