@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_arrow
+from .shared import in_arrow, stored
 from .textvec import Block, blocks
 
 ORDER = 3
@@ -61,7 +61,7 @@ def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     known = df.filter(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES)
     ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    sizes = known.groupBy("lang").count()
+    sizes = stored(known.groupBy("lang").count(), "sizes")
     if sizes.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
         sizes = F.broadcast(sizes)
     # a uniform 64-bit hash below its share of the range
