@@ -112,8 +112,13 @@ def filter_terms(text: str) -> list[tuple[str, bool, list[str]]]:
     return out
 
 
-def filter_column(text: str, lat: Column, lon: Column, source: Column) -> Column:
-    """The predicate of range, area, prefix and buddy terms; any plain term lets a row in, any negated one keeps it out."""
+def filter_column(text: str, lat: Column, lon: Column, source: Column, own: tuple[float, float] | None = None, **columns: Column) -> Column:
+    """The predicate of a filter; any plain term lets a row in, any negated one keeps it out.
+
+    Range (r), area (a), prefix (p) and buddy (b) terms look at the place and the source; m at the distance from ``own``; t (one-letter type), s (symbol), u
+    (destination), e (entry station) and g (addressee) at the column that the caller gives under that letter. Without it, and for unknown
+    terms, no row meets the term.
+    """
     from ..functions.geo import haversine, in_box
 
     yes, no = [], []
@@ -127,8 +132,14 @@ def filter_column(text: str, lat: Column, lon: Column, source: Column) -> Column
             c = source.rlike("^(" + "|".join(map(_quoted, args)) + ")")
         elif kind == "b":
             c = source.isin(args)
+        elif kind == "m" and own and args:
+            c = haversine(own[0], own[1], lat, lon) <= float(args[0]) * 1000
+        elif kind in ("t", "s") and kind in columns and args:
+            c = columns[kind].isin(list(args[0]))
+        elif kind in ("u", "e", "g") and kind in columns:
+            c = columns[kind].isin(args)
         else:
-            continue
+            c = F.lit(False)
         (no if negated else yes).append(F.coalesce(c, F.lit(False)))
     out = F.lit(not yes)
     for c in yes:

@@ -73,6 +73,12 @@ def test_filters(spark):
     assert keep("b/D2 b/N3") == ["D2", "N3"]
     assert keep("-p/N") == ["D2"]
     assert keep("") == ["N1", "D2", "N3"]
+    assert keep("t/p x/unknown") == []
+    more = {"own": (47.0, 8.0), "t": F.lower(F.substring("s", 1, 1)), "u": F.col("s")}
+    wide = lambda text: [r.s for r in df.filter(lines.filter_column(text, F.col("lat"), F.col("lon"), F.col("s"), **more)).collect()]
+    assert wide("m/400") == ["N1", "D2"]
+    assert wide("t/nx") == ["N1", "N3"]
+    assert wide("u/D2/N1 -t/d") == ["N1"]
 
 
 def test_squitter_and_compact_positions(spark):
