@@ -34,7 +34,7 @@ SAMPLE_BYTES = 20_000
 #: Labels up to which their sizes are broadcast.
 FEW_LABELS = 10_000
 #: Bytes of texts that are coded at once.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -81,7 +81,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             code = np.array([langs.setdefault(x, len(langs)) for x in batch.column(0).to_pylist()], dtype=np.int64)
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), PART_BYTES):
                 owner = np.repeat(code[block.first : block.first + block.n], np.diff(block.off))
                 for at, grams in _parts(block):
                     values, counts = np.unique(owner[at : at + len(grams)] << 32 | grams, return_counts=True)
@@ -177,7 +177,7 @@ def predict(df: DataFrame, counts: dict, text_col: str = "text") -> DataFrame:
         model = _MODELS[name]
         for batch in batches:
             at = batch.num_columns - 1
-            for block in blocks(batch.column(at)):
+            for block in blocks(batch.column(at), PART_BYTES):
                 rows = batch.slice(block.first, block.n)
                 letter = np.array([bool(x) for x in rows.column(at - 1).to_pylist()]) & bool(model.langs)
                 bits = model.code_lengths(block)
