@@ -221,9 +221,9 @@ def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFram
     found = stored(small.select("a", "b", "la", "lb").unionByName(big).dropDuplicates(["a", "b"]), "near")
     # few bytes and much work each: as many tasks as the session has partitions, which a small table would not get by its size
     spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    return spread.select("a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")).filter(
-        F.col("distance") <= edits
-    )
+    # written before they are filtered: a filter on them would be pushed below the exchange, into one task, and reckon all of them twice
+    measured = stored(spread.select("a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")), "measured")
+    return measured.filter(F.col("distance") <= edits)
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
