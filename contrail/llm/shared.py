@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +32,39 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+_NOTED: list[str] | None = None
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Within, the folders of all tables that stored() writes are added to paths."""
+    global _NOTED  # noqa: PLW0603
+    before, _NOTED = _NOTED, paths
+    try:
+        yield
+    finally:
+        _NOTED = before
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
+    if _NOTED is not None:
+        _NOTED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote and nothing reads any more."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 #: Bytes of an Arrow batch on its way to Python; the default has no such bound, and ten thousand texts of a few kB are too much at once.
