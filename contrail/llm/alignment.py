@@ -6,12 +6,12 @@ anything but white space (``break_characters`` reads that from the vocabularies)
 own pre-tokens end there as well. Each distinct segment of the corpus is tokenised and aligned once:
 
 1. texts are read in blocks of about ``BLOCK_CHARS`` characters; a block keeps its distinct segments and, for each document, their numbers;
-2. distinct segments over all blocks are encoded by A and B; byte offsets where tokens of both end cut them into groups, overlapping byte
-   ranges link A tokens to B tokens;
-3. the alignments are joined back to the blocks that hold the segment, which count for each linked pair of ids their documents;
-4. with the counts, each segment has sums of its own, and a document's figures are sums over its segments.
+2. the segments of all blocks, put together by their hash, are encoded by A and B, equal ones once (once a batch, if they fill batches); byte offsets where tokens of
+   both end cut them into groups, overlapping byte ranges link A tokens to B tokens;
+3. the alignments join the blocks that hold their segment, which compose their documents' groups and count for each linked pair of ids their documents;
+4. the corpus-wide counts of its pairs come back to each block, and the last two figures are sums over a document's segments.
 
-What moves are distinct segments of blocks and their numbers, never one row for each word of a document.
+What moves are distinct segments and pairs of blocks, never one row for each word of a document.
 
 Every row counts as a document, also repeated ones and those without an id. Null and empty texts, and texts whose joined A or B bytes differ
 from space and text (such as those with U+2581), have no tokens: zeros, and no groups. An empty table gives no rows. A text is read in runs
@@ -33,18 +33,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import _field
-from .shared import in_arrow, stored
+from .shared import discard, in_arrow, stored
 
 #: Characters of texts, and distinct segments, at which a block ends.
 BLOCK_CHARS, BLOCK_SEGMENTS = 1 << 24, 1 << 18
 #: Segments of a text that are in hand as strings at once, and segments that are tokenised at once.
 RUN, BATCH = 200_000, 4096
-#: Bytes of group strings in a batch of results.
-OUT_BYTES = 1 << 22
+#: Rows, or their bytes, of segments that a task has in hand together.
+TOGETHER, TOGETHER_BYTES = 1 << 16, 1 << 23
+#: Segments of documents whose pairs are sorted together.
+SORTED = 1 << 16
+#: Documents in a batch of results.
+OUT_ROWS = 1000
 BREAKS = " \n\t\r\x0b\x0c"
 MARK = "▁"
-_BLOCK_END = 2**31 - 1
-FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 def _byte_level() -> dict[str, int]:
@@ -139,6 +142,21 @@ def _pattern(breaks: str) -> re.Pattern:
     return segment_pattern(breaks)
 
 
+def _pack(*parts: np.ndarray) -> bytes:
+    """Arrays one after the other, compressed: 4 bytes a number take about half."""
+    raw = np.array([p.nbytes for p in parts], "<u8").tobytes() + b"".join(p.tobytes() for p in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(cell: pa.Scalar, count: int) -> list[np.ndarray]:
+    """The arrays of _pack as unsigned 32-bit numbers; the last of more than one as bytes."""
+    packed = cell.as_buffer()
+    data = np.frombuffer(pa.decompress(packed.slice(8), int.from_bytes(packed.slice(0, 8).to_pybytes(), "little"), "zstd"), np.uint8)
+    ends = 8 * count + np.cumsum(data[: 8 * count].view("<u8")).astype(np.int64)
+    parts = [data[a:b] for a, b in zip([8 * count, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return [p.view("<u4") if count == 1 or k < count - 1 else p for k, p in enumerate(parts)]
+
+
 class Numbers(dict):
     """Numbers strings in the order in which they are asked for."""
 
@@ -173,7 +191,7 @@ def blocks(df: DataFrame, breaks: str, id_col: str, text_col: str) -> DataFrame:
                 pa.array([number]),
                 pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, id_type)),
                 pa.array([[len(m) for m in marks]], pa.list_(pa.int32())),
-                pa.array([np.concatenate(marks).astype("<u4").tobytes()], pa.binary()),
+                pa.array([_pack(np.concatenate(marks).astype("<u4"))], pa.binary()),
                 pa.array([list(numbers)], pa.list_(pa.string())),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "marks", "segments"])
@@ -207,8 +225,8 @@ def _pair(shared: Broadcast, name: str) -> Pair:
     return _PAIRS[name]
 
 
-def _aligned(segments: list[str], pair: Pair) -> pa.RecordBatch:
-    """Alignment of each segment; their tokens are laid end to end, so that offsets of all are compared at once."""
+def _aligned(segments: list[str], pair: Pair) -> pa.Table:
+    """Alignment of each segment; their tokens are laid end to end, so that offsets of all are compared at once. Without tokens if the bytes differ."""
     raw = [s.encode() for s in segments]
     a = [e.ids for e in pair.a.encode_batch(segments, add_special_tokens=False)]
     b = pair.b.encode(segments, num_threads=1)
@@ -225,140 +243,211 @@ def _aligned(segments: list[str], pair: Pair) -> pa.RecordBatch:
     first, last = np.searchsorted(b_end, a_start, "right"), np.searchsorted(b_start, a_end, "left")
     width = last - first
     link_a = np.repeat(np.arange(len(a_ids)), width)
-    link_b = np.arange(len(link_a)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
-    link_owner = a_owner[link_a]
-    kinds, local = np.unique(a_ids[link_a] << 32 | b_ids[link_b], return_inverse=True)
-    owned, times = np.unique(link_owner << 32 | local, return_counts=True)
-    offsets = pa.array(np.searchsorted(owned >> 32, np.arange(n + 1)), pa.int32())
+    link_b = np.arange(len(link_a)) + np.repeat(first - np.cumsum(width) + width, width)
+    offsets = np.searchsorted(a_owner[link_a], np.arange(n + 1))
     ends = np.intersect1d(a_end, b_end, assume_unique=True)
-    group_a, group_b = np.searchsorted(a_end, ends, "right"), np.searchsorted(b_end, ends, "right")
-    group_owner = a_owner[group_a - 1]
+    a_upto, b_upto = np.searchsorted(a_end, ends, "right"), np.searchsorted(b_end, ends, "right")
+    owner = a_owner[a_upto - 1]
     a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
     spelled: list[list[str]] = [[] for _ in range(n)]
     i = j = 0
-    for owner, i_end, j_end in zip(group_owner.tolist(), group_a.tolist(), group_b.tolist(), strict=True):
-        spelled[owner].append(f"{','.join(a_text[i:i_end])}|{','.join(b_text[j:j_end])}")
+    for k, i_end, j_end in zip(owner.tolist(), a_upto.tolist(), b_upto.tolist(), strict=True):
+        spelled[k].append(f"{','.join(a_text[i:i_end])}|{','.join(b_text[j:j_end])}")
         i, j = i_end, j_end
-    columns = {
-        "segment": pa.array(segments),
-        "ok": pa.array(ok),
-        "n_a": pa.array(np.bincount(a_owner, minlength=n)),
-        "n_b": pa.array(np.bincount(b_owner, minlength=n)),
-        "n_groups": pa.array(np.bincount(group_owner, minlength=n)),
-        "n_links": pa.array(np.bincount(link_owner, minlength=n)),
-        "groups": pa.array([";".join(x) for x in spelled]),
-        "pairs": pa.ListArray.from_arrays(offsets, pa.array(kinds[owned & 0xFFFFFFFF])),
-        "times": pa.ListArray.from_arrays(offsets, pa.array(times)),
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    count = lambda x: pa.array(np.bincount(x, minlength=n), pa.int32())
+    return pa.table(
+        {
+            "n_a": count(a_owner),
+            "n_b": count(b_owner),
+            "n_groups": count(owner),
+            "groups": pa.array([";".join(x) for x in spelled]),
+            "links": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(a_ids[link_a] << 32 | b_ids[link_b])),
+        }
+    )
 
 
 def aligned_segments(segments: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
-    """The alignment of each row of segments (segment): figures, groups, and linked pairs of ids (A's in the upper half) with their times."""
+    """Segments (block, place, segment) -> (block, aligned): packed for the segments of a block that meet in a run of rows, their places, numbers
+    of tokens, groups and links, the linked ids as often as they are linked, and the groups."""
     shared = segments.sparkSession.sparkContext.broadcast((a_json, b_model))  # the files, some MB whatever the corpus
     name = hashlib.sha256(a_json.encode() + b_model).hexdigest()
 
+    def rows_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        coded = whole.column("segment").combine_chunks().dictionary_encode()
+        kinds, pair = coded.dictionary.to_pylist(), _pair(shared, name)
+        aligned = pa.concat_tables([_aligned(kinds[at : at + BATCH], pair) for at in range(0, len(kinds), BATCH)]).combine_chunks()
+        block = whole.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        rows = aligned.take(pa.array(coded.indices.to_numpy()[order])).combine_chunks()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]])
+        links = rows.column("links").combine_chunks()
+        link_cuts, linked = links.offsets.to_numpy() - links.offsets[0].as_py(), links.flatten().to_numpy()
+        text = rows.column("groups").combine_chunks().cast(pa.binary())
+        text_cuts = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+        spelled = np.frombuffer(text.buffers()[2], np.uint8)
+        place = whole.column("place").to_numpy()[order]
+        counts = [rows.column(f).to_numpy() for f in ("n_a", "n_b", "n_groups")] + [np.diff(link_cuts)]
+        packed = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = linked[link_cuts[lo] : link_cuts[hi]]
+            numbers = [place[lo:hi], *(c[lo:hi] for c in counts), some >> 32, some & 0xFFFFFFFF, np.diff(text_cuts[lo : hi + 1])]
+            packed.append(_pack(*(x.astype("<u4") for x in numbers), spelled[text_cuts[lo] : text_cuts[hi]]))
+        return pa.RecordBatch.from_arrays([pa.array(block[order][cuts[:-1]]), pa.array(packed, pa.binary())], names=["block", "aligned"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(shared, name)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                yield _aligned(batch.column(0).slice(at, BATCH).to_pylist(), pair)
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER or sum(b.nbytes for b in held) >= TOGETHER_BYTES:
+                yield rows_of(held)
+                held = []
+        if any(b.num_rows for b in held):
+            yield rows_of(held)
 
-    schema = "segment string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
-    return in_arrow(segments, run, schema)
+    together = segments.select("block", "place", "segment").repartition(F.xxhash64("segment")).sortWithinPartitions(F.xxhash64("segment"))
+    return in_arrow(together, run, "block long, aligned binary")
 
 
-def _with_blocks(held: DataFrame, segments: DataFrame) -> DataFrame:
-    """Rows of a block together: its segments' rows in order of their numbers, then the block's own with ids, sizes and marks."""
-    places = held.select("block", F.posexplode("segments").alias("place", "segment")).join(segments, "segment").drop("segment")
-    whole = held.select("block", F.lit(_BLOCK_END).alias("place"), "ids", "sizes", "marks")
-    return places.unionByName(whole, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "place")
+def _lists(cuts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
 
 
-def _met(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]]:
-    """(rows of the segments, ids, sizes, marks) of each block."""
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, which come one after the other."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        at = 0
-        for k in np.flatnonzero(batch.column("place").to_numpy(zero_copy_only=False) == _BLOCK_END).tolist():
-            held.append(batch.select(columns).slice(at, k - at))
-            sizes = batch.column("sizes")[k].values.to_numpy(zero_copy_only=False)
-            marks = np.frombuffer(batch.column("marks")[k].as_buffer(), "<u4")
-            yield pa.Table.from_batches(held), batch.column("ids")[k].values, sizes, marks
-            held, at = [], k + 1
-        held.append(batch.select(columns).slice(at))
+        number = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            if held and number[lo] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = number[lo]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _faulty(ok: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Documents with a segment whose bytes do not come back."""
-    wrong = np.concatenate([[0], np.cumsum(~ok[marks])])
-    ends = np.cumsum(sizes)
-    return wrong[ends] > wrong[ends - sizes]
+def _numbers(cell: pa.Scalar) -> np.ndarray:
+    """A list cell as an array."""
+    return cell.values.to_numpy(zero_copy_only=False)
 
 
-def pair_counts(held: DataFrame, alignments: DataFrame) -> DataFrame:
-    """(pair, docs, best): documents that hold each pair linked, and whether no other pair of its A id has more."""
+def _sums(values: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of values that lie end to end."""
+    so_far = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return so_far[ends] - so_far[ends - sizes]
+
+
+_COMPOSED = "sizes array<int>, held binary, pairs array<long>, docs array<long>, " + ", ".join(f"{f} array<long>" for f in FIGURES)
+
+
+def composed(held: DataFrame, alignments: DataFrame, hashed: bool) -> DataFrame:
+    """For each block its ids; of each document the segments' numbers, the figures that need no counts, and the groups or their SHA-256; the distinct
+    linked pairs with their documents in the block; and which of the pairs each segment holds."""
+    kind = held.schema["ids"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, sizes, marks in _met(batches, ["ok", "pairs"]):
-            if not len(marks):
-                continue
-            rows = rows.combine_chunks()
-            ok = rows.column("ok").to_numpy()
-            lists = rows.column("pairs").combine_chunks()
-            width = np.diff(lists.offsets.to_numpy())
-            kinds, local = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-            first = np.cumsum(width) - width
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            if not ok.all():
-                kept = np.repeat(~_faulty(ok, sizes, marks), sizes)
-                owner, marks = owner[kept], marks[kept]
-            # distinct segments of each document, then its distinct pairs
-            seen = np.unique(owner << 32 | marks)
-            who, which = seen >> 32, seen & 0xFFFFFFFF
-            spread = width[which]
-            at = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread) + np.repeat(first[which], spread)
-            both = np.unique(np.repeat(who, spread) << 32 | local[at])
-            total = np.bincount(both & 0xFFFFFFFF, minlength=len(kinds))
-            some = total > 0
-            yield pa.RecordBatch.from_arrays([pa.array(kinds[some]), pa.array(total[some])], names=["pair", "docs"])
-
-    met = _with_blocks(held, alignments.select("segment", "ok", "pairs"))
-    counts = in_arrow(met, run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
+        for rows in _met(batches):
+            own = {n: next(c for c in rows.column(n) if c.is_valid) for n in ("block", "ids", "sizes", "marks")}
+            sizes, (marks,) = _numbers(own["sizes"]), _unpack(own["marks"], 1)
+            ends = np.cumsum(sizes)
+            runs = [_unpack(c, 9) for c in rows.column("aligned") if c.is_valid] or [[np.zeros(0, "<u4")] * 8 + [np.zeros(0, np.uint8)]]
+            place, *figures_, link_a, link_b, lengths, spelled = map(np.concatenate, zip(*runs, strict=True))
+            order = np.argsort(place)
+            n_a, n_b, n_groups, n_links = (x[order].astype(np.int64) for x in figures_)
+            text_ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            groups = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(text_ends), pa.py_buffer(spelled)])
+            groups = groups.take(pa.array(order)).to_pylist()
+            fine = _sums(n_a[marks] == 0, ends, sizes) == 0
+            pairs, coded = np.unique(link_a.astype(np.int64) << 32 | link_b, return_inverse=True)
+            came = np.cumsum(figures_[3], dtype=np.int64)[order] - n_links  # where a segment's links begin as they came
+            starts = np.concatenate([[0], np.cumsum(n_links, dtype=np.int64)])
+            local = coded[np.arange(starts[-1]) + np.repeat(came - starts[:-1], n_links)]
+            figures = [_sums(x[marks], ends, sizes) * fine for x in (n_a, n_b, n_groups, n_links)]
+            spelled = [_spelled(groups, marks[e - n : e] if ok else marks[:0], hashed) for e, n, ok in zip(ends.tolist(), sizes.tolist(), fine.tolist(), strict=True)]
+            lists = {
+                "ids": own["ids"].values,
+                "sizes": pa.array(sizes, pa.int32()),
+                "pairs": pa.array(pairs, pa.int64()),
+                "docs": pa.array(_documents(local, starts, marks, sizes, fine, len(pairs)), pa.int64()),
+                **{f: pa.array(x, pa.int64()) for f, x in zip(FIGURES, figures, strict=True)},
+                "groups": pa.array(spelled, pa.string()),
+            }
+            columns = {"block": pa.array([own["block"].as_py()])}
+            columns |= {n: _lists(np.array([0, len(x)]), x) for n, x in lists.items()}
+            # the numbers are 4 bytes each, so the last of them counts as bytes
+            columns["held"] = pa.array([_pack(marks, n_links.astype("<u4"), local.astype("<u4"), np.zeros(0, np.uint8))], pa.binary())
+            names = ["block", "ids", *(f.split(" ")[0] for f in _COMPOSED.split(", ")), "groups"]
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    both = alignments.unionByName(held.select("block", "ids", "sizes", "marks"), allowMissingColumns=True)
+    met = both.repartition("block").sortWithinPartitions("block")
+    return in_arrow(met, run, f"block long, ids {kind}, {_COMPOSED}, groups array<string>")
+
+
+def _documents(local: np.ndarray, starts: np.ndarray, marks: np.ndarray, sizes: np.ndarray, fine: np.ndarray, n: int) -> np.ndarray:
+    """How many documents hold each of n pairs; some documents at a time, so that what is sorted is short."""
+    total, ends = np.zeros(n, np.int64), np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(sizes):
+        began = ends[lo] - sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, began + SORTED, "right")))
+        kept = np.repeat(fine[lo:hi], sizes[lo:hi])
+        which, who = marks[began : ends[hi - 1]][kept], np.repeat(np.arange(hi - lo), sizes[lo:hi])[kept]
+        first, width = starts[which], starts[which.astype(np.int64) + 1] - starts[which]
+        at = np.arange(width.sum()) + np.repeat(first - np.cumsum(width) + width, width)
+        both = np.unique(np.repeat(who, width) << 32 | local[at])
+        total += np.bincount(both & 0xFFFFFFFF, minlength=n)
+        lo = hi
+    return total
+
+
+def pair_counts(blocks_: DataFrame) -> DataFrame:
+    """(pair, docs, best): documents that hold each pair linked, and whether no other pair of its A id has more."""
+    partial = blocks_.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
+    counts = partial.groupBy("pair").agg(F.sum("docs").alias("docs"))
     # an A id has at most as many pairs as B has ids
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     return counts.select("pair", "docs", (F.col("docs") == most).cast("long").alias("best"))
 
 
-def _composed(held: DataFrame, segments: DataFrame, kind: str, hashed: bool) -> DataFrame:
-    """The figures of each document from its segments' rows, and its groups or their SHA-256."""
-    last = "groups_sha256" if hashed else "groups"
+def counted(blocks_: DataFrame, counts: DataFrame, last: str) -> DataFrame:
+    """The rows of documents: with the counts of a block's pairs its segments have sums, and its documents theirs."""
+    kind = blocks_.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, sizes, marks in _met(batches, ["ok", *FIGURES, "groups"]):
-            rows = rows.combine_chunks()
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            fine = ~_faulty(rows.column("ok").to_numpy(), sizes, marks)
-            figures = []
-            for name in FIGURES:
-                so_far = np.concatenate([[0], np.cumsum(rows.column(name).to_numpy()[marks])]).astype(np.int64)
-                figures.append(np.where(fine, so_far[ends] - so_far[starts], 0))
-            groups = rows.column("groups").cast(pa.binary()).to_pylist()
-            made, at, held_bytes = [], 0, 0
-            for k in range(len(sizes)):
-                made.append(_spelled(groups, marks[starts[k] : ends[k]] if fine[k] else marks[:0], hashed))
-                held_bytes += len(made[-1])
-                if held_bytes >= OUT_BYTES or k + 1 == len(sizes):
-                    some = slice(at, k + 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, k + 1 - at), *(pa.array(f[some]) for f in figures), pa.array(made, pa.string())],
-                        names=["doc_id", *FIGURES, last],
-                    )
-                    made, at, held_bytes = [], k + 1, 0
-
-    schema = f"doc_id {kind}, " + ", ".join(f"{f} long" for f in FIGURES) + f", {last} string"
-    return in_arrow(_with_blocks(held, segments), run, schema)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = {n: batch.column(n)[k] for n in batch.schema.names}
+                sizes, (marks, width, local, _) = _numbers(own["sizes"]), _unpack(own["held"], 4)
+                ends, figures = np.cumsum(sizes), [_numbers(own[f]) for f in FIGURES]
+                width = width.astype(np.int64)
+                link_ends, fine = np.cumsum(width), figures[0] > 0
+                place = _numbers(own["place"]) if own["place"].is_valid else np.zeros(0, np.int32)
+                for name in ("best", "docs"):
+                    of_pair = np.zeros(len(place), np.int64)
+                    if len(place):
+                        of_pair[place] = _numbers(own[name])
+                    of_segment = _sums(of_pair[local], link_ends, width)
+                    figures.append(_sums(of_segment[marks], ends, sizes) * fine)
+                ids, groups = own["ids"].values, own["groups"].values
+                for at in range(0, len(sizes), OUT_ROWS):
+                    some = slice(at, at + OUT_ROWS)
+                    columns = [ids.slice(at, OUT_ROWS), *(pa.array(f[some], pa.int64()) for f in figures), groups.slice(at, OUT_ROWS)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FIGURES, "n_best", "count_sum", last])
+
+    places = blocks_.select("block", F.posexplode("pairs").alias("place", "pair")).join(counts, "pair")
+    # as many as a block has distinct pairs
+    listed = places.groupBy("block").agg(F.collect_list(F.struct("place", "docs", "best")).alias("p"))
+    listed = listed.select("block", *(F.col(f"p.{c}").alias(c) for c in ("place", "docs", "best")))
+    met = blocks_.drop("pairs", "docs").join(listed, "block", "left").drop("block")
+    schema = f"doc_id {kind}, " + ", ".join(f"{f} long" for f in [*FIGURES, "n_best", "count_sum"]) + f", {last} string"
+    return in_arrow(met, run, schema)
 
 
 def _spelled(groups: list[bytes], marks: np.ndarray, hashed: bool) -> str:
@@ -382,20 +471,10 @@ def _read(path: str) -> bytes:
 def _run(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, hashed: bool) -> DataFrame:
     a_json, b_model = _read(a_path).decode(), _read(b_path)
     held = stored(blocks(df, break_characters(a_json, b_model), id_col, text_col), "blocks")
-    distinct = held.select(F.explode("segments").alias("segment")).distinct()
-    # the number of a segment is made once and stored
-    alignments = stored(aligned_segments(distinct, a_json, b_model).withColumn("number", F.monotonically_increasing_id()), "segments")
-    counts = stored(pair_counts(held, alignments), "counts")
-    links = alignments.select("number", F.explode(F.arrays_zip("pairs", "times")).alias("link"))
-    sums = (
-        links.select("number", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))
-        .join(counts, "pair")
-        .groupBy("number")
-        .agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
-    )
-    # a segment that only faulty documents hold has no counted pair
-    figured = alignments.drop("pairs", "times").join(sums, "number", "left").drop("number").fillna(0, ["n_best", "count_sum"])
-    return _composed(held, figured, df.schema[id_col].dataType.simpleString(), hashed)
+    segments = held.select("block", F.posexplode("segments").alias("place", "segment"))
+    whole = stored(composed(held, aligned_segments(segments, a_json, b_model), hashed), "composed")
+    discard(held)
+    return counted(whole, stored(pair_counts(whole), "counts"), "groups_sha256" if hashed else "groups")
 
 
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
