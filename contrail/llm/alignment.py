@@ -36,7 +36,7 @@ from .byte_bpe import _field
 from .shared import discard, in_arrow, stored
 
 #: Characters of texts, and distinct segments, at which a block ends.
-BLOCK_CHARS, BLOCK_SEGMENTS = 1 << 24, 1 << 18
+BLOCK_CHARS, BLOCK_SEGMENTS = 1 << 25, 1 << 19
 #: Segments of a text that are in hand as strings at once, and segments that are tokenised at once.
 RUN, BATCH = 200_000, 4096
 #: Rows, or their bytes, of segments that a task has in hand together.
@@ -470,11 +470,11 @@ def _read(path: str) -> bytes:
 
 def _run(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, hashed: bool) -> DataFrame:
     a_json, b_model = _read(a_path).decode(), _read(b_path)
-    held = stored(blocks(df, break_characters(a_json, b_model), id_col, text_col), "blocks")
+    held = stored(blocks(df, break_characters(a_json, b_model), id_col, text_col), "blocks", lean=True)
     segments = held.select("block", F.posexplode("segments").alias("place", "segment"))
-    whole = stored(composed(held, aligned_segments(segments, a_json, b_model), hashed), "composed")
+    whole = stored(composed(held, aligned_segments(segments, a_json, b_model), hashed), "composed", lean=True)
     discard(held)
-    return counted(whole, stored(pair_counts(whole), "counts"), "groups_sha256" if hashed else "groups")
+    return counted(whole, stored(pair_counts(whole), "counts", lean=True), "groups_sha256" if hashed else "groups")
 
 
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

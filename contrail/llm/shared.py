@@ -52,10 +52,25 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+#: Spark deletes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str = "t", lean: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    lean: for large tables; compressed by zstd, and the shuffle files of the write are deleted when it has ended.
+    """
     path = f"{work_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FREED, "false")
+    if lean:
+        conf.set(FREED, "true")
+    try:
+        (df.write.option("compression", "zstd") if lean else df.write).parquet(path)
+    finally:
+        if lean:
+            conf.set(FREED, before)
     if _NOTED is not None:
         _NOTED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
