@@ -36,7 +36,9 @@ from .byte_bpe import _field
 from .shared import discard, in_arrow, stored
 
 #: Characters of texts, and distinct segments, at which a block ends.
-BLOCK_CHARS, BLOCK_SEGMENTS = 1 << 25, 1 << 19
+BLOCK_CHARS, BLOCK_SEGMENTS = 1 << 24, 1 << 19
+#: Segments in a row of a block.
+LISTED = 1 << 15
 #: Segments of a text that are in hand as strings at once, and segments that are tokenised at once.
 RUN, BATCH = 200_000, 4096
 #: Rows, or their bytes, of segments that a task has in hand together.
@@ -143,18 +145,20 @@ def _pattern(breaks: str) -> re.Pattern:
 
 
 def _pack(*parts: np.ndarray) -> bytes:
-    """Arrays one after the other, compressed: 4 bytes a number take about half."""
-    raw = np.array([p.nbytes for p in parts], "<u8").tobytes() + b"".join(p.tobytes() for p in parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """Arrays of unsigned 32-bit numbers or of bytes, one after the other, compressed: lowest bytes first, for small numbers have the others in common."""
+    raw = [p if p.dtype == np.uint8 else np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T) for p in parts]
+    whole = np.array([p.nbytes for p in raw], "<u8").tobytes() + b"".join(p.tobytes() for p in raw)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
 
 
-def _unpack(cell: pa.Scalar, count: int) -> list[np.ndarray]:
-    """The arrays of _pack as unsigned 32-bit numbers; the last of more than one as bytes."""
+def _unpack(cell: pa.Scalar, count: int, text: bool = False) -> list[np.ndarray]:
+    """The arrays of _pack; text: the last is of bytes."""
     packed = cell.as_buffer()
     data = np.frombuffer(pa.decompress(packed.slice(8), int.from_bytes(packed.slice(0, 8).to_pybytes(), "little"), "zstd"), np.uint8)
     ends = 8 * count + np.cumsum(data[: 8 * count].view("<u8")).astype(np.int64)
     parts = [data[a:b] for a, b in zip([8 * count, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    return [p.view("<u4") if count == 1 or k < count - 1 else p for k, p in enumerate(parts)]
+    numbers = parts[:-1] if text else parts
+    return [np.ascontiguousarray(p.reshape(4, -1).T).view("<u4").ravel() for p in numbers] + (parts[-1:] if text else [])
 
 
 class Numbers(dict):
@@ -177,24 +181,31 @@ def _numbered(text: str, pattern: re.Pattern, numbers: Numbers) -> np.ndarray:
 
 
 def blocks(df: DataFrame, breaks: str, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, sizes, marks, segments): distinct segments of some documents, and for each document the numbers of its segments, end to end."""
+    """(block, at, ids, sizes, marks, segments): distinct segments of some documents, in rows of some from number ``at`` on, and in a block's first row for
+    each document the numbers of its segments, end to end."""
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"block long, ids array<{kind}>, sizes array<int>, marks binary, segments array<string>"
+    schema = f"block long, at int, ids array<{kind}>, sizes array<int>, marks binary, segments array<string>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = _pattern(breaks)
         number = TaskContext.get().partitionId() << 32
         ids, marks, numbers, chars = [], [], Numbers(), 0
 
-        def block() -> pa.RecordBatch:
-            columns = [
-                pa.array([number]),
-                pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, id_type)),
-                pa.array([[len(m) for m in marks]], pa.list_(pa.int32())),
-                pa.array([_pack(np.concatenate(marks).astype("<u4"))], pa.binary()),
-                pa.array([list(numbers)], pa.list_(pa.string())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "marks", "segments"])
+        def block() -> Iterator[pa.RecordBatch]:
+            found, kinds = np.concatenate(marks), np.array(list(numbers), dtype=object)
+            often = np.argsort(-np.bincount(found, minlength=len(kinds)), kind="stable")
+            rank = np.empty(len(kinds), np.uint32)
+            rank[often] = np.arange(len(kinds))  # frequent segments get small numbers
+            kinds = kinds[often]
+            for at in range(0, max(1, len(kinds)), LISTED):
+                some, first = kinds[at : at + LISTED].tolist(), at == 0
+                own = [
+                    pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, id_type)),
+                    pa.array([[len(m) for m in marks]], pa.list_(pa.int32())),
+                    pa.array([_pack(rank[found])], pa.binary()),
+                ] if first else [pa.nulls(1, pa.list_(id_type)), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.binary())]
+                columns = [pa.array([number]), pa.array([at], pa.int32()), *own, pa.array([some], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "at", "ids", "sizes", "marks", "segments"])
 
         id_type = None
         for batch in batches:
@@ -205,11 +216,11 @@ def blocks(df: DataFrame, breaks: str, id_col: str, text_col: str) -> DataFrame:
                 marks.append(_numbered(text, pattern, numbers) if text else np.zeros(0, np.uint32))
                 chars += len(text)
                 if chars >= BLOCK_CHARS or len(numbers) >= BLOCK_SEGMENTS:
-                    yield block()
+                    yield from block()
                     number += 1
                     ids, marks, numbers, chars = [], [], Numbers(), 0
         if ids:
-            yield block()
+            yield from block()
 
     return in_arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
@@ -292,7 +303,7 @@ def aligned_segments(segments: DataFrame, a_json: str, b_model: bytes) -> DataFr
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             some = linked[link_cuts[lo] : link_cuts[hi]]
             numbers = [place[lo:hi], *(c[lo:hi] for c in counts), some >> 32, some & 0xFFFFFFFF, np.diff(text_cuts[lo : hi + 1])]
-            packed.append(_pack(*(x.astype("<u4") for x in numbers), spelled[text_cuts[lo] : text_cuts[hi]]))
+            packed.append(_pack(*numbers, spelled[text_cuts[lo] : text_cuts[hi]]))
         return pa.RecordBatch.from_arrays([pa.array(block[order][cuts[:-1]]), pa.array(packed, pa.binary())], names=["block", "aligned"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +367,7 @@ def composed(held: DataFrame, alignments: DataFrame, hashed: bool) -> DataFrame:
             own = {n: next(c for c in rows.column(n) if c.is_valid) for n in ("block", "ids", "sizes", "marks")}
             sizes, (marks,) = _numbers(own["sizes"]), _unpack(own["marks"], 1)
             ends = np.cumsum(sizes)
-            runs = [_unpack(c, 9) for c in rows.column("aligned") if c.is_valid] or [[np.zeros(0, "<u4")] * 8 + [np.zeros(0, np.uint8)]]
+            runs = [_unpack(c, 9, text=True) for c in rows.column("aligned") if c.is_valid] or [[np.zeros(0, "<u4")] * 8 + [np.zeros(0, np.uint8)]]
             place, *figures_, link_a, link_b, lengths, spelled = map(np.concatenate, zip(*runs, strict=True))
             order = np.argsort(place)
             n_a, n_b, n_groups, n_links = (x[order].astype(np.int64) for x in figures_)
@@ -380,12 +391,11 @@ def composed(held: DataFrame, alignments: DataFrame, hashed: bool) -> DataFrame:
             }
             columns = {"block": pa.array([own["block"].as_py()])}
             columns |= {n: _lists(np.array([0, len(x)]), x) for n, x in lists.items()}
-            # the numbers are 4 bytes each, so the last of them counts as bytes
-            columns["held"] = pa.array([_pack(marks, n_links.astype("<u4"), local.astype("<u4"), np.zeros(0, np.uint8))], pa.binary())
+            columns["held"] = pa.array([_pack(marks, n_links, local)], pa.binary())
             names = ["block", "ids", *(f.split(" ")[0] for f in _COMPOSED.split(", ")), "groups"]
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    both = alignments.unionByName(held.select("block", "ids", "sizes", "marks"), allowMissingColumns=True)
+    both = alignments.unionByName(held.filter("at = 0").select("block", "ids", "sizes", "marks"), allowMissingColumns=True)
     met = both.repartition("block").sortWithinPartitions("block")
     return in_arrow(met, run, f"block long, ids {kind}, {_COMPOSED}, groups array<string>")
 
@@ -424,7 +434,7 @@ def counted(blocks_: DataFrame, counts: DataFrame, last: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 own = {n: batch.column(n)[k] for n in batch.schema.names}
-                sizes, (marks, width, local, _) = _numbers(own["sizes"]), _unpack(own["held"], 4)
+                sizes, (marks, width, local) = _numbers(own["sizes"]), _unpack(own["held"], 3)
                 ends, figures = np.cumsum(sizes), [_numbers(own[f]) for f in FIGURES]
                 width = width.astype(np.int64)
                 link_ends, fine = np.cumsum(width), figures[0] > 0
@@ -471,7 +481,8 @@ def _read(path: str) -> bytes:
 def _run(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, hashed: bool) -> DataFrame:
     a_json, b_model = _read(a_path).decode(), _read(b_path)
     held = stored(blocks(df, break_characters(a_json, b_model), id_col, text_col), "blocks", lean=True)
-    segments = held.select("block", F.posexplode("segments").alias("place", "segment"))
+    segments = held.select("block", "at", F.posexplode("segments").alias("place", "segment"))
+    segments = segments.select("block", (F.col("at") + F.col("place")).alias("place"), "segment")
     whole = stored(composed(held, aligned_segments(segments, a_json, b_model), hashed), "composed", lean=True)
     discard(held)
     return counted(whole, stored(pair_counts(whole), "counts", lean=True), "groups_sha256" if hashed else "groups")
