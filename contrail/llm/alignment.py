@@ -161,6 +161,16 @@ def _unpack(cell: pa.Scalar, count: int, text: bool = False) -> list[np.ndarray]
     return [np.ascontiguousarray(p.reshape(4, -1).T).view("<u4").ravel() for p in numbers] + (parts[-1:] if text else [])
 
 
+def _release() -> None:
+    """Gives freed memory back to the system, for a worker keeps it from one task to the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Numbers(dict):
     """Numbers strings in the order in which they are asked for."""
 
@@ -219,8 +229,11 @@ def blocks(df: DataFrame, breaks: str, id_col: str, text_col: str) -> DataFrame:
                     yield from block()
                     number += 1
                     ids, marks, numbers, chars = [], [], Numbers(), 0
+                    _release()
         if ids:
             yield from block()
+            ids, marks, numbers = [], [], Numbers()
+        _release()
 
     return in_arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
@@ -315,6 +328,7 @@ def aligned_segments(segments: DataFrame, a_json: str, b_model: bytes) -> DataFr
                 held = []
         if any(b.num_rows for b in held):
             yield rows_of(held)
+        _release()
 
     together = segments.select("block", "place", "segment").repartition(F.xxhash64("segment")).sortWithinPartitions(F.xxhash64("segment"))
     return in_arrow(together, run, "block long, aligned binary")
@@ -367,8 +381,10 @@ def composed(held: DataFrame, alignments: DataFrame, hashed: bool) -> DataFrame:
             own = {n: next(c for c in rows.column(n) if c.is_valid) for n in ("block", "ids", "sizes", "marks")}
             sizes, (marks,) = _numbers(own["sizes"]), _unpack(own["marks"], 1)
             ends = np.cumsum(sizes)
+            _release()
             runs = [_unpack(c, 9, text=True) for c in rows.column("aligned") if c.is_valid] or [[np.zeros(0, "<u4")] * 8 + [np.zeros(0, np.uint8)]]
             place, *figures_, link_a, link_b, lengths, spelled = map(np.concatenate, zip(*runs, strict=True))
+            del runs
             order = np.argsort(place)
             n_a, n_b, n_groups, n_links = (x[order].astype(np.int64) for x in figures_)
             text_ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
