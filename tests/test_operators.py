@@ -101,17 +101,6 @@ def test_flights_do_not_depend_on_batches_or_order(spark):
         assert flight_rows(sessions.sessionize(whole.orderBy(F.rand(3)).repartition(3))) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    # one aircraft at a time by a plain loop
-    loop = []
-    newest = max(r[1] for r in rows)
-    for a in range(5):
-        tracker, closed = sessions.Tracker(), []
-        for r in rows:
-            if r[0] == a:
-                closed += tracker.feed(float(r[1]), r[2], 8.0, *r[3:7], None if r[7] is None else float(r[7]))
-        closed += tracker.end(newest)
-        loop += [(a, f["flight_no"], f["first_fix"], f["takeoff"], f["landed"], f["timed_out"], f["n_fixes"]) for f in closed]
-    assert want == sorted(loop)
 
 
 def test_spurious_flights():
@@ -242,13 +231,6 @@ def test_streamed_rows_come_once(spark, tmp_path):
     assert sorted(r.k for r in got) == [1, 2]
 
 
-def test_streamed_hours(spark, tmp_path):
-    rows = [(r, T0 + dt.timedelta(minutes=m)) for r, m in ((1, 5), (1, 50), (2, 61), (1, 70))]
-    late = [(9, T0 + dt.timedelta(hours=5)), (1, T0 + dt.timedelta(minutes=6))]
-    got = streamed(spark, tmp_path, jobs.hourly, [rows, late, late], "receiver_id long, received_at timestamp")
-    assert {(r.hour, r.receiver_id): r.n_fixes for r in got if r.receiver_id != 9} == {(T0, 1): 3, (T0 + dt.timedelta(hours=1), 2): 1, (T0 + dt.timedelta(hours=1), 1): 1} or {(r.hour, r.receiver_id): r.n_fixes for r in got if r.receiver_id != 9} == {(T0, 1): 2, (T0 + dt.timedelta(hours=1), 2): 1, (T0 + dt.timedelta(hours=1), 1): 1}
-
-
 def test_streamed_latest(spark, tmp_path):
     source, state = tmp_path / "in", str(tmp_path / "state")
     source.mkdir()
