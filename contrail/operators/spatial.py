@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.geo import EARTH_RADIUS_M, boxes_overlap, haversine, in_box, planar_metres
+from .kept import kept
 
 DEGREE_M = EARTH_RADIUS_M * math.pi / 180
 
@@ -61,6 +63,36 @@ def nearest(left: DataFrame, right: DataFrame, key: str, id2: str, metres: float
     return best.select(key, F.col(f"b.{id2}").alias(id2), F.round("b.distance_m", 3).alias("distance_m"))
 
 
+def k_nearest(left: DataFrame, right: DataFrame, key: str, id2: str, k: int, first_m: float = 50_000.0) -> DataFrame:
+    """The k nearest right rows of every left row, however far: key, rank, id2, distance_m; ties to the smaller id.
+
+    Rounds of growing reach: whoever has k partners within the reach is done, for nobody nearer can be outside it; the others go on with twice the reach, so that
+    a round meets the partners of the last empty neighbourhood and few more. Ends at half the globe, where every right row is in reach; left rows get that far only
+    if there are fewer than k right rows on their side. Rounds are kept, so each is computed once.
+    """
+    wanted, reach, done = min(k, right.limit(k).count()), first_m, None
+    half_globe = math.pi * EARTH_RADIUS_M
+    waiting = left.select(key, "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
+    best = lambda pairs: pairs.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance_m", id2))), 1, k).alias("b"))
+    while wanted:
+        reach = min(reach, half_globe * 1.01)
+        near = near_pairs(waiting, right, reach).select(key, "distance_m", id2)
+        # each task keeps k of a row at most before the rows meet
+        ranked = near.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("distance_m", id2))).filter(F.col("__n") <= k)
+        found = kept(best(ranked).filter(F.size("b") >= wanted))
+        done = found if done is None else done.unionByName(found)
+        if reach > half_globe:
+            break
+        waiting = kept(waiting.join(found.select(key), key, "left_anti"))
+        if waiting.isEmpty():
+            break
+        reach *= 2
+    if done is None:
+        done = left.select(key, F.array(F.struct(F.lit(0.0).alias("distance_m"), F.lit(None).cast(right.schema[id2].dataType).alias(id2))).alias("b")).limit(0)
+    ranks = done.select(key, F.posexplode("b").alias("rank", "b"))
+    return ranks.select(key, (F.col("rank") + 1).alias("rank"), F.col(f"b.{id2}").alias(id2), F.round("b.distance_m", 3).alias("distance_m"))
+
+
 def runway_ends(airports: DataFrame) -> DataFrame:
     """Two rows for each runway; here one runway of about 2 km through each airport."""
     h = F.radians("heading")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from . import more_queries, rollup_queries, spatial_queries
+from . import change_queries, more_queries, rollup_queries, spatial_queries
 
-_ALL = rollup_queries.QUERIES | spatial_queries.QUERIES | more_queries.QUERIES
+_ALL = rollup_queries.QUERIES | spatial_queries.QUERIES | more_queries.QUERIES | change_queries.QUERIES
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
-#: Earlier names of queries that now read whole tables themselves.
-for _name in ("t15_geofence_status", "t16_geofence_exits", "j14_overlapping_flights", "x9_rollup_delta"):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
