@@ -9,7 +9,8 @@ length under every language; the shortest total wins and ``score`` is its share
 languages. A-Z count as a-z; each text starts after three line feeds.
 
 Bound of the sample: at most about ``SAMPLE_DOCS`` documents of up to ``SAMPLE_BYTES`` bytes for each label,
-picked by a hash of the id; longer documents are not in the sample. All labels and all their contexts are learned. A tree holds what its language
+picked by a hash of the id; longer documents are not in the sample, but for labels that have no others: of those, documents of up to twice the shortest one's size
+are taken, as many fewer as they are longer, and one at least. So all labels are learned, and all contexts in the sample. A tree holds what its language
 showed and no more, and the runs of four bytes that a part of a text holds are looked up once for each language.
 Prediction reads whole texts. An empty table gives no rows. Null text, or text without a letter: ``und`` with score 0; so does everything
 if nothing was learned. Ties go to the alphabetically first language. Repeated rows are predicted one by one.
@@ -58,17 +59,20 @@ def _parts(block: Block) -> Iterator[tuple[int, np.ndarray]]:
 
 def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, text) of the bounded labelled sample."""
-    known = df.filter(
-        F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES)
-    ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    sizes = stored(known.groupBy("lang").count(), "sizes")
+    known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).cast("long").alias("size"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
+    )
+    figures = stored(known.drop("text"), "figures")
+    shortest = figures.groupBy("lang").agg(F.when(F.min("size") > SAMPLE_BYTES, 2 * F.min("size")).otherwise(SAMPLE_BYTES).alias("most"))
+    fit = figures.join(shortest, "lang").filter(F.col("size") <= F.col("most"))
+    sizes = stored(fit.groupBy("lang").agg(F.first("most").alias("most"), F.count("*").alias("count"), F.min("h").alias("least")), "sizes")
     if sizes.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
         sizes = F.broadcast(sizes)
     # a uniform 64-bit hash below its share of the range
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS)) / F.col("count"))
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS * SAMPLE_BYTES)) / F.col("most") / F.col("count"))
     return (
         known.join(sizes, "lang")
-        .filter(F.col("h").cast("double") <= share * F.lit(2.0**64) - F.lit(2.0**63))
+        .filter((F.col("size") <= F.col("most")) & ((F.col("h") == F.col("least")) | (F.col("h").cast("double") <= share * F.lit(2.0**64) - F.lit(2.0**63))))
         .select("lang", "text")
     )
 

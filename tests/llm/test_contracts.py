@@ -566,3 +566,31 @@ def test_packing_deals_neighbours_to_one_range(spark, monkeypatch):
         members[r.sequence_id][r.doc_id % 10] += r.length
     alike = sum(m.most_common(1)[0][1] for m in members.values())
     assert alike > 0.8 * sum(sum(m.values()) for m in members.values())
+
+
+def test_labels_that_have_long_texts_only_are_learned(spark):
+    rng = np.random.default_rng(8)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(300)] for lang, letters in {"en": "abcdefgh", "de": "ijklmnop", "fr": "qrstuvwx"}.items()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(k, text("en", 17), "en") for k in range(50)] + [(100 + k, text("de", 4900), "de") for k in range(50)] + [(200, text("fr", 90_000), "fr"), (201, text("fr", 200_000), "fr")]
+    asked = [(300 + k, text(lang, 30), None) for k, lang in enumerate(["en", "de", "fr"] * 5)]
+    df = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string").withColumn("size", F.lit(1)).withColumn("most", F.lit("m"))
+    counts = language_id.fit(df)
+    assert sorted(counts) == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df.select("doc_id", "text"), counts).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    assert [got[300 + k] for k in range(15)] == ["en", "de", "fr"] * 5
+    # the sample of such a label holds fewer documents, and one at least
+    sizes = language_id.sample(df).groupBy("lang").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).collect()
+    assert {r.lang: r.n for r in sizes} == {"en": 50, "de": 50, "fr": 1}
+
+
+def test_seventy_labels_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 50)
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 4)
+    rows = [(100 * a + k, f"{chr(0x3400 + a)}x" * 40, f"l{a:02d}") for a in range(70) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language_id.fit(df)
+    assert len(counts) == 70
+    got = language_id.predict(df, counts).collect()
+    assert all(r.lang_pred == r.lang for r in got)
