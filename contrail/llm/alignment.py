@@ -41,6 +41,8 @@ BLOCK_CHARS, BLOCK_SEGMENTS = 1 << 24, 1 << 19
 LISTED = 1 << 15
 #: Segments of a text that are in hand as strings at once, and segments that are tokenised at once.
 RUN, BATCH = 200_000, 4096
+#: What travels between tasks is compressed with this much care: disk is scarcer than time here.
+LEVEL = 7
 #: Rows, or their bytes, of segments that a task has in hand together.
 TOGETHER, TOGETHER_BYTES = 1 << 16, 1 << 23
 #: Segments of documents whose pairs are sorted together.
@@ -148,7 +150,7 @@ def _pack(*parts: np.ndarray) -> bytes:
     """Arrays of unsigned 32-bit numbers or of bytes, one after the other, compressed: lowest bytes first, for small numbers have the others in common."""
     raw = [p if p.dtype == np.uint8 else np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T) for p in parts]
     whole = np.array([p.nbytes for p in raw], "<u8").tobytes() + b"".join(p.tobytes() for p in raw)
-    return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
+    return len(whole).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(whole, asbytes=True)
 
 
 def _unpack(cell: pa.Scalar, count: int, text: bool = False) -> list[np.ndarray]:
@@ -392,6 +394,10 @@ def composed(held: DataFrame, alignments: DataFrame, hashed: bool) -> DataFrame:
             groups = groups.take(pa.array(order)).to_pylist()
             fine = _sums(n_a[marks] == 0, ends, sizes) == 0
             pairs, coded = np.unique(link_a.astype(np.int64) << 32 | link_b, return_inverse=True)
+            often = np.argsort(-np.bincount(coded, minlength=len(pairs)), kind="stable")
+            rank = np.empty(len(pairs), np.int64)
+            rank[often] = np.arange(len(pairs))  # frequent pairs get small numbers
+            pairs, coded = pairs[often], rank[coded]
             came = np.cumsum(figures_[3], dtype=np.int64)[order] - n_links  # where a segment's links begin as they came
             starts = np.concatenate([[0], np.cumsum(n_links, dtype=np.int64)])
             local = coded[np.arange(starts[-1]) + np.repeat(came - starts[:-1], n_links)]
