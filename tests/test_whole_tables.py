@@ -9,12 +9,12 @@ from contrail.plans import domain as d
 
 
 def test_whole_tables_are_registered():
-    assert {"t15_geofence_status_all", "t16_geofence_exits_all", "x9_rollup_delta_all"} <= set(plans.ORACLE_SQL)
+    assert {"t15_geofence_status", "t16_geofence_exits", "x9_rollup_delta"} <= set(plans.ORACLE_SQL)
 
 
 def test_geofences_of_all_aircraft(spark, sf):
     known = d.fixes(spark, sf).join(d.aircraft(spark, sf), "aircraft_id", "left_semi").count()
-    assert plans.QUERIES["t15_geofence_status_all"](spark, sf).agg({"n": "sum"}).first()[0] == known
+    assert plans.QUERIES["t15_geofence_status"](spark, sf).agg({"n": "sum"}).first()[0] == known
 
 
 def test_overlapping_flights_against_all_pairs(spark, sf, tmp_path):
@@ -28,6 +28,6 @@ def test_overlapping_flights_against_all_pairs(spark, sf, tmp_path):
         return near and a[0] != b[0] and a[1] <= b[2] and a[2] >= b[1]
 
     want = sorted((a[0], b[0]) for a in rows for b in rows if meet(a, b))
-    got = sorted(map(tuple, plans.QUERIES["j14_overlapping_flights_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, plans.QUERIES["j14_overlapping_flights"](spark, str(tmp_path)).collect()))
     assert got == want
     assert any(a % 4 for a, _ in want)
