@@ -1,17 +1,16 @@
 """Operator 5: line de-duplication by a segment-partition edit join (DataFrame functions only).
 
 Equal lines are merged first, so the join runs over distinct lines. Two distinct lines link when their edit distance is at
-most ``EDITS`` and at most one for every ``CHARS_PER_EDIT`` code points of the shorter line; so lines of fewer than
-``CHARS_PER_EDIT`` match only when equal. A line of length l is split into EDITS + 1 even segments; a partner must contain
+most ``edits`` and at most one for every ``chars_per_edit`` code points of the shorter line; so lines of fewer than that
+match only when equal. With ``chars_per_edit`` 0 the threshold is the same for all lines. A line of length l is split into EDITS + 1 even segments; a partner must contain
 one of them unchanged, near its place. The index holds (l, segment number, segment) of every line; every line probes the lengths n - EDITS .. n
 with the substrings that the length difference and the segment number still allow.
 
 Lines move as numbers: a 64-bit id and a second key of 64 bits (lines that share the first are told apart by the second), lengths, segment hashes, and
 a 56-bit signature of the words, which rules out most pairs without ever ruling out a link. A bitmap of the segment hashes, of fixed size, is
 sent to all machines, so that only probes that may meet another line are shuffled. Texts are read again for the lines that
-are left in pairs; with segments that more than ``LARGE_BUCKET`` lines have they travel with the keys, and the pairs are tested inside
-the join, which puts out links only. The test is the built-in distance with a threshold; the distance of every link is
-verified by a banded bit-parallel computation.
+are left in pairs; with segments that more than ``LARGE_BUCKET`` lines have they travel with the keys, in parts of some ``PART`` lines, and the pairs are tested inside
+the join, which puts out links only. The test is a banded bit-parallel computation of the distance, between the common beginning and end of both lines.
 
 Lines are split at ``\\n``; a line without a word (white space ``\\x20\\x09-\\x0D`` only) is not a line here. Null and empty
 texts have none; an empty table gives no rows. Rows with the same id are told apart by ``row``. A class is a group of lines connected by equality
@@ -30,14 +29,17 @@ EDITS = 2
 CHARS_PER_EDIT = 10
 #: Texts travel with the keys of segments that more lines have, so that the join puts out links only.
 LARGE_BUCKET = 16
+#: Lines of a crowded segment that one part of its join holds.
+PART = 512
 #: Bits of a bitmap of hashes, as a power of two (16 MB), and 64-bit words in one row of it.
 INDEX_BITS = 27
 CHUNK_WORDS = 1 << 11
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def allowed(shorter: Column, edits: int = EDITS) -> Column:
-    return F.least(F.lit(edits), F.floor(shorter / CHARS_PER_EDIT))
+def allowed(shorter: Column, edits: int, chars_per_edit: int) -> Column:
+    """Edits between lines of which the shorter has so many code points; without ``chars_per_edit`` the plain threshold."""
+    return F.least(F.lit(edits), F.floor(shorter / chars_per_edit)) if chars_per_edit else F.lit(edits)
 
 
 def segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
@@ -72,18 +74,21 @@ def with_probes(lines: DataFrame, edits: int) -> DataFrame:
     base, plain = F.expr(f"CAST(m DIV {edits + 1} AS INT)"), (edits + 1) - F.col("m") % (edits + 1)
     placed = asked.select("id", "line", "n", "m", "k", "own", (F.col("k") * base + F.greatest(F.lit(0), F.col("k") - plain) + 1 + F.col("shift")).alias("at"), (base + (F.col("k") >= plain).cast("int")).alias("size"))
     seg = F.xxhash64(F.col("m"), F.col("k"), F.substring(F.col("line"), F.col("at"), F.col("size")))
-    return placed.filter("at >= 1").select("id", "line", "n", "own", seg.alias("seg"))
+    return placed.filter("m >= 1 AND at >= 1").select("id", "line", "n", "own", seg.alias("seg"))
 
 
 def banded_distance(a: Column, b: Column, most: int) -> Column:
     """Edit distance by Hyyro's banded bit-parallel recurrence on 2 * most + 1 diagonals; above most: more than most.
 
-    a and b are arrays of characters whose sizes differ by at most ``most`` and are at least that long.
+    a and b are arrays of characters, not empty, whose sizes differ by at most ``most``. Once the value on the lowest diagonal is above 3 * most, every
+    other in the band is above most and stays there, so the rest of b is passed over.
     """
     top = 2 * most
     mask = (1 << (top + 1)) - 1
     long = lambda x: F.lit(x).cast("long")
     bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  evaluates x once
+    bit = lambda v, k: F.call_function("shiftright", v, k).bitwiseAND(long(1))
+    last = F.size(a) - most
 
     def matches(at: Column, i: Column) -> Column:
         """Bit r: whether a[i + r - most] is this character of b."""
@@ -93,30 +98,57 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
             out = out.bitwiseOR(F.when((k >= 0) & (F.get(a, F.greatest(k, F.lit(0))) == at), long(1 << r)).otherwise(long(0)))
         return out
 
-    masks = F.transform(b, lambda at, i: F.struct(i.alias("i"), matches(at, i).alias("m"), (F.size(a) - most).alias("last")))
+    def step(s: Column, at: Column) -> Column:
+        work = bound(matches(at, s["i"]), lambda match: diagonal(s, match))
+        return F.when(s["dist"] > 3 * most, s).otherwise(work)
 
-    def step(s: Column, x: Column) -> Column:
-        match, vp, vn = x["m"], s["vp"], s["vn"]
+    def diagonal(s: Column, match: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
         d0 = ((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(long(mask))
-        return bound(d0, lambda d0: moved(s, x, d0))
+        return bound(d0, lambda d0: moved(s, d0))
 
-    def moved(s: Column, x: Column, d0: Column) -> Column:
-        vp, vn = s["vp"], s["vn"]
+    def moved(s: Column, d0: Column) -> Column:
+        vp, vn, i = s["vp"], s["vn"], s["i"]
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(long(mask))
         hn = d0.bitwiseAND(vp)
         # beyond the last full diagonal the distance moves along the last row
-        row = F.greatest(F.lit(0), top - 1 - (x["i"] - x["last"])).cast("int")
-        bit = lambda v, k: F.call_function("shiftright", v, k).bitwiseAND(long(1))
-        dist = s["dist"] + F.when(x["i"] < x["last"], 1 - bit(d0, F.lit(top))).otherwise(bit(hp, row) - bit(hn, row))
+        row = F.greatest(F.lit(0), top - 1 - (i - last)).cast("int")
+        dist = s["dist"] + F.when(i < last, 1 - bit(d0, F.lit(top))).otherwise(bit(hp, row) - bit(hn, row))
         right = F.shiftright(d0, 1)
         return F.struct(
+            (i + 1).alias("i"),
             hn.bitwiseOR(F.bitwise_not(right.bitwiseOR(hp))).bitwiseAND(long(mask)).alias("vp"),
             right.bitwiseAND(hp).alias("vn"),
             dist.alias("dist"),
         )
 
-    start = F.struct(long(mask >> most << most).alias("vp"), long(0).alias("vn"), long(most).alias("dist"))
-    return F.aggregate(masks, start, step, lambda s: s["dist"])
+    start = F.struct(F.lit(0).alias("i"), long(mask >> most << most).alias("vp"), long(0).alias("vn"), F.least(F.lit(most), F.size(a)).cast("long").alias("dist"))
+    return F.aggregate(b, start, step, lambda s: s["dist"])
+
+
+def _common(x: Column, y: Column, n: Column, first: bool) -> Column:
+    """How many of the first (last) n code points of x and y are equal: halving steps of a native comparison."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    part = lambda s, at, size: F.substring(s, at + 1, size) if first else F.substring(s, F.char_length(s) - at - size + 1, size)
+    return F.aggregate(steps, F.lit(0), lambda at, size: F.when((at + size <= n) & (part(x, at, size) == part(y, at, size)), at + size).otherwise(at))
+
+
+def within(x: Column, y: Column, edits: int, chars_per_edit: int) -> Column:
+    """Whether two lines, whose lengths differ by at most ``edits``, link. The banded computation runs between their common beginning and their common end."""
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    shorter = F.least(F.char_length(x), F.char_length(y))
+
+    def ends(at: Column) -> Column:
+        rest = lambda s: F.substring(s, at["head"] + 1, F.char_length(s) - at["head"] - at["tail"])
+        return bound(F.struct(rest(x).alias("x"), rest(y).alias("y")), lambda r: distance(r["x"], r["y"]))
+
+    def distance(a: Column, b: Column) -> Column:
+        longer = F.greatest(F.char_length(a), F.char_length(b)).cast("long")
+        inner = banded_distance(F.split(a, ""), F.split(b, ""), edits) if edits else longer
+        return F.when((F.char_length(a) == 0) | (F.char_length(b) == 0), longer).otherwise(inner)
+
+    head = bound(_common(x, y, shorter, True), lambda h: F.struct(h.alias("head"), _common(x, y, shorter - h, False).alias("tail")))
+    return bound(head, ends) <= allowed(shorter, edits, chars_per_edit)
 
 
 def bitmap(keys: DataFrame, **flags: Column) -> DataFrame:
@@ -184,54 +216,51 @@ def signature(line: Column) -> Column:
     return parity
 
 
-def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b, distance) with a < b of the linked rows of distinct (id, n, sig, i0, i1, ...).
+def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(a, b) with a < b of the linked rows of distinct (id, n, sig, i0, i1, ...).
 
     ``lines`` (id, line, n) has the text of each id, at least once.
     """
-    long_enough = F.col("n") >= CHARS_PER_EDIT
+    long_enough = F.col("n") >= chars_per_edit
     line = F.col("line")
     index = distinct.filter(long_enough).select("id", "n", "sig", F.explode(F.array(*(f"i{k}" for k in range(edits + 1)))).alias("seg"))
     segs = stored(index.groupBy("seg").agg(F.count("*").alias("size")), "segs")
     bits = bitmap(segs.withColumnRenamed("seg", "key"), some=F.lit(True), several=F.col("size") > 1)
     met = marked(with_probes(lines.filter(long_enough), edits), "seg", bits, F.when(F.col("own"), F.col("several")).otherwise(F.col("some")))
     probe = stored(met.select("id", "seg", "n", signature(line).alias("sig")).dropDuplicates(["id", "seg"]), "probes")
-    large = stored(segs.filter(F.col("size") > LARGE_BUCKET).select("seg"), "large")
+    large = stored(segs.filter(F.col("size") > LARGE_BUCKET).select("seg", F.ceil(F.col("size") / PART).alias("parts")), "large")
     apart = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
     longer = F.col("x.n") - F.col("y.n")
     once = (longer > 0) | (F.col("x.id") > F.col("y.id"))
-    meet = (F.col("x.seg") == F.col("y.seg")) & (longer >= 0) & (longer <= edits) & once & (apart <= 3 * edits)
+    near = (longer >= 0) & (longer <= edits) & once & (apart <= 3 * edits)
+    meet = (F.col("x.seg") == F.col("y.seg")) & near
     ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     pairs = stored(probe.alias("x").join(index.join(large, "seg", "left_anti").alias("y"), meet).select(*ends).distinct(), "pairs")
-    crowded, seekers = (stored(side.join(large, "seg", "left_semi"), "crowded") for side in (index, probe))
+    # the lines of a crowded segment lie in parts; whoever looks for partners in it goes to all of them
+    crowded = stored(index.join(large, "seg").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts"), "crowded")
+    seekers = stored(probe.join(large, "seg"), "seekers")
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded.select("id")).union(seekers.select("id")).distinct(), "needed")
     wanted = marked(lines.select("id", "line"), "id", bitmap(needed.select(F.col("id").alias("key")), some=F.lit(True)), F.col("some"))
     # an inner join: a semi join would be pushed below the bitmap, and shuffle all lines
     text = stored(wanted.join(needed, "id").dropDuplicates(["id"]), "texts")
     la, lb = (text.select(F.col("id").alias(side), F.col("line").alias(f"l{side}")) for side in "ab")
-    within = lambda x, y: F.levenshtein(x, y, edits).between(0, allowed(F.least(F.char_length(x), F.char_length(y)), edits))
-    small = pairs.join(la, "a").join(lb, "b").filter(within("la", "lb"))
-    crowded, seekers = (side.join(text, "id") for side in (crowded, seekers))
-    first = F.col("x.id") < F.col("y.id")
-    big = seekers.alias("x").join(crowded.alias("y"), meet & within(F.col("x.line"), F.col("y.line"))).select(
-        *ends,
-        F.when(first, F.col("x.line")).otherwise(F.col("y.line")).alias("la"),
-        F.when(first, F.col("y.line")).otherwise(F.col("x.line")).alias("lb"),
-    )
-    found = stored(small.select("a", "b", "la", "lb").unionByName(big).dropDuplicates(["a", "b"]), "near")
-    # few bytes and much work each: as many tasks as the session has partitions, which a small table would not get by its size
-    spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    # written before they are filtered: a filter on them would be pushed below the exchange, into one task, and reckon all of them twice
-    measured = stored(spread.select("a", "b", banded_distance(F.split("la", ""), F.split("lb", ""), edits).alias("distance")), "measured")
-    return measured.filter(F.col("distance") <= edits)
-
-
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+    # few bytes and much work each: as many tasks as the session has partitions, which a small table would not get by its size; written before
+    # they are judged, for a filter would be pushed below the exchange
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = stored(pairs.join(la, "a").join(lb, "b").repartition(tasks, "a", "b"), "compared").filter(within(F.col("la"), F.col("lb"), edits, chars_per_edit))
+    asked = seekers.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    x, y = (side.join(text, "id").repartition(tasks, "seg", "part").alias(name) for side, name in ((asked, "x"), (crowded, "y")))
+    beside = meet & (F.col("x.part") == F.col("y.part"))
+    big = x.join(y, beside & within(F.col("x.line"), F.col("y.line"), edits, chars_per_edit)).select(*ends)
+    return small.select("a", "b").unionByName(big).distinct()
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """One row per line of df: row, doc_id, line_no, words, n_links (to other distinct lines), class_doc_id, class_line_no, first."""
     lines = lines_of(df, id_col, text_col)
     line, n = F.col("line"), F.col("n")
     first, second = line_keys(line)
-    long_enough = n >= CHARS_PER_EDIT
+    long_enough = n >= chars_per_edit
     keys = [f"i{k}" for k in range(edits + 1)]
     place = stored(
         lines.select(
@@ -251,7 +280,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     if clashes:
         place = place.withColumn("id", F.when(F.col("id").isin(clashes), F.col("key2")).otherwise(F.col("id")))
         distinct = merged()
-    found = stored(links(distinct, lines.select(line_id(clashes).alias("id"), "line", "n"), edits).select("a", "b"), "links")
+    found = stored(links(distinct, lines.select(line_id(clashes).alias("id"), "line", "n"), edits, chars_per_edit), "links")
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = stored(components(found).withColumnRenamed("node", "id").join(degree, "id").join(distinct.select("id", "f"), "id"), "linked")
     heads = linked.groupBy("comp").agg(F.min("f").alias("head"))

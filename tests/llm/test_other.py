@@ -36,7 +36,7 @@ def within(a, b, most):
     return most > 0 and any(within(x, y, most - 1) for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])))
 
 
-def expected_lines(rows):
+def expected_lines(rows, edits=2, chars_per_edit=10):
     """(row number, doc_id, text) -> rows (doc_id, line_no, n_links, class_doc_id, class_line_no)."""
     places = [(d, i, line, r) for r, d, t in rows if t for i, line in enumerate(t.split("\n")) if WORD.search(line)]
     every = sorted({p[2] for p in places})
@@ -50,7 +50,7 @@ def expected_lines(rows):
     degree = Counter()
     for i, a in enumerate(every):
         for b in every[i + 1 :]:
-            most = min(2, min(len(a), len(b)) // 10)
+            most = min(edits, min(len(a), len(b)) // chars_per_edit) if chars_per_edit else edits
             if most and abs(len(a) - len(b)) <= most and within(a, b, most):
                 degree.update((a, b))
                 root[find(a)] = find(b)
@@ -97,6 +97,23 @@ def test_line_dedup(spark, seed, small_bitmap):
     assert Counter(map(tuple, got)) == expected_lines([(k, d, t) for k, (d, t) in enumerate(rows)])
 
 
+@pytest.mark.parametrize(("edits", "chars_per_edit"), [(2, 0), (1, 0), (3, 7), (0, 0)])
+def test_line_dedup_thresholds(spark, edits, chars_per_edit, small_bitmap):
+    """The plain threshold links short lines too, those of one character among them."""
+    rows = [*edited_lines(5), (40, "a\nb\nab\nabc\nyes\nno\n\u00fc\n\U0001f600x"), (41, "\U0001f600\nabd\nx\nno"), (42, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.classes(df, edits=edits, chars_per_edit=chars_per_edit).select("doc_id", "line_no", "n_links", "class_doc_id", "class_line_no").collect()
+    assert Counter(map(tuple, got)) == expected_lines([(k, d, t) for k, (d, t) in enumerate(rows)], edits, chars_per_edit)
+
+
+def test_line_dedup_crowded_segments_in_parts(spark, monkeypatch, small_bitmap):
+    """All lines of a template share its segments, which lie in several parts."""
+    monkeypatch.setattr(line_dedup, "PART", 16)
+    rows = [(k, f"Posted on the forum by user {1000 + k * 7919 % 9000} at noon today") for k in range(150)]
+    got = line_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "line_no", "n_links", "class_doc_id", "class_line_no").collect()
+    assert Counter(map(tuple, got)) == expected_lines([(k, d, t) for k, (d, t) in enumerate(rows)])
+
+
 def test_line_dedup_over_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries()["op5_line_dedup"](spark, sf).select("doc_id", "line_no", "n_links", "class_doc_id", "class_line_no").collect()
@@ -129,11 +146,14 @@ def test_banded_distance(spark):
             b[at : at + int(rng.integers(0, 2))] = ["abcd"[int(rng.integers(0, 4))]] * int(rng.integers(0, 2))
         if abs(len(a) - len(b)) <= 2 and len(b) > 4:
             pairs.append((a, "".join(b)))
+    short = ["a", "b", "ab", "ba", "abc", "cab"]
+    pairs += [(a, b) for a in short for b in short if abs(len(a) - len(b)) <= 2]
     df = spark.createDataFrame(pairs, "a string, b string")
     got = df.select("a", "b", line_dedup.banded_distance(F.split("a", ""), F.split("b", ""), 2).alias("d")).collect()
     for r in got:
         want = edit_distance(r.a, r.b)
         assert r.d == want if want <= 2 else r.d > 2, r
+    assert sorted(r.d <= 2 for r in got) == sorted(r.d for r in df.select(line_dedup.within(F.col("a"), F.col("b"), 2, 0).alias("d")).collect())
 
 
 def test_line_dedup_odd_rows(spark, small_bitmap):
