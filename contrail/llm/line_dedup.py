@@ -30,7 +30,9 @@ CHARS_PER_EDIT = 10
 #: Texts travel with the keys of segments that more lines have, so that the join puts out links only.
 LARGE_BUCKET = 16
 #: Lines of a crowded segment that one part of its join holds.
-PART = 512
+PART = 64
+#: Characters over which the distance of two lines is reckoned before they are split whole.
+FIRST_COLUMNS = 32
 #: Bits of a bitmap of hashes, as a power of two (16 MB), and 64-bit words in one row of it.
 INDEX_BITS = 27
 CHUNK_WORDS = 1 << 11
@@ -144,8 +146,11 @@ def within(x: Column, y: Column, edits: int, chars_per_edit: int) -> Column:
 
     def distance(a: Column, b: Column) -> Column:
         longer = F.greatest(F.char_length(a), F.char_length(b)).cast("long")
-        inner = banded_distance(F.split(a, ""), F.split(b, ""), edits) if edits else longer
-        return F.when((F.char_length(a) == 0) | (F.char_length(b) == 0), longer).otherwise(inner)
+        reckoned = lambda a, b: banded_distance(F.split(a, ""), F.split(b, ""), edits) if edits else longer
+        # most pairs fall apart in the first columns: those need no more of a than the band reaches, and above 3 * edits the rest changes nothing
+        begun = F.when(F.char_length(b) > FIRST_COLUMNS + edits, reckoned(F.substring(a, 1, FIRST_COLUMNS + 2 * edits), F.substring(b, 1, FIRST_COLUMNS))).otherwise(F.lit(0).cast("long"))
+        whole = bound(begun, lambda d: F.when(d > 3 * edits, d).otherwise(reckoned(a, b)))
+        return F.when((F.char_length(a) == 0) | (F.char_length(b) == 0), longer).otherwise(whole)
 
     head = bound(_common(x, y, shorter, True), lambda h: F.struct(h.alias("head"), _common(x, y, shorter - h, False).alias("tail")))
     return bound(head, ends) <= allowed(shorter, edits, chars_per_edit)
