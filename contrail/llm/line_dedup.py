@@ -184,19 +184,23 @@ def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             F.col(id_col).alias("doc_id"),
             F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"),
         )
-        .filter(F.length(F.btrim("line", F.lit(SPACES))) > 0)
+        .filter(~F.substring("line", 1, 1).isin("", *SPACES) | (F.length(F.btrim("line", F.lit(SPACES))) > 0))
         .withColumn("n", F.char_length("line"))
     )
 
 
-def n_words(line: Column) -> Column:
-    """Words of a line that has one: by its single spaces, or by the pattern where white space is not that plain."""
-    tidy = F.btrim(line, F.lit(SPACES))
+def parts(line: Column) -> Column:
+    """What stands between the single spaces of a line: its words, and empty strings where there are more."""
+    return F.split(line, " ", -1)
+
+
+def n_words(line: Column, between: Column | None = None) -> Column:
+    """Words of a line, of which ``between`` may have the parts already: those, or by the pattern where there is other white space."""
+    between = parts(line) if between is None else between
     odd = F.lit(False)
-    for gap in ("  ", "\t", "\x0b", "\x0c", "\r"):
-        odd = odd | tidy.contains(gap)
-    by_pattern = F.size(F.split(tidy, "[\\x20\\x09-\\x0D]+"))
-    return F.when(odd, by_pattern).otherwise(F.char_length(tidy) - F.char_length(F.replace(tidy, F.lit(" "), F.lit(""))) + 1)
+    for gap in ("\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(gap)
+    return F.when(odd, F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))).otherwise(F.size(F.array_remove(between, "")))
 
 
 def line_keys(line: Column) -> tuple[Column, Column]:
@@ -209,7 +213,7 @@ def line_id(clashes: list[int]) -> Column:
     return F.when(first.isin(clashes), second).otherwise(first) if clashes else first
 
 
-def signature(line: Column) -> Column:
+def signature(between: Column) -> Column:
     """A long: 56 parity bits of the hashed words (parts between single spaces).
 
     One edit changes at most three words, added and removed, so lines within so many edits differ in at most three
@@ -217,7 +221,7 @@ def signature(line: Column) -> Column:
     """
     one = F.lit(1).cast("long")
     bit = lambda w: F.call_function("shiftleft", one, F.pmod(F.xxhash64(w), F.lit(56)).cast("int"))
-    parity = F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
+    parity = F.aggregate(between, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
     return parity
 
 
@@ -232,7 +236,7 @@ def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS, chars_per_e
     segs = stored(index.groupBy("seg").agg(F.count("*").alias("size")), "segs")
     bits = bitmap(segs.withColumnRenamed("seg", "key"), some=F.lit(True), several=F.col("size") > 1)
     met = marked(with_probes(lines.filter(long_enough), edits), "seg", bits, F.when(F.col("own"), F.col("several")).otherwise(F.col("some")))
-    probe = stored(met.select("id", "seg", "n", signature(line).alias("sig")).dropDuplicates(["id", "seg"]), "probes")
+    probe = stored(met.select("id", "seg", "n", signature(parts(line)).alias("sig")).dropDuplicates(["id", "seg"]), "probes")
     large = stored(segs.filter(F.col("size") > LARGE_BUCKET).select("seg", F.ceil(F.col("size") / PART).alias("parts")), "large")
     apart = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
     longer = F.col("x.n") - F.col("y.n")
@@ -268,10 +272,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     long_enough = n >= chars_per_edit
     keys = [f"i{k}" for k in range(edits + 1)]
     place = stored(
-        lines.select(
-            "row", "doc_id", "line_no", first.alias("id"), second.alias("key2"), n_words(line).alias("words"), "n",
+        lines.withColumn("between", parts(line)).select(
+            "row", "doc_id", "line_no", first.alias("id"), second.alias("key2"), n_words(line, F.col("between")).alias("words"), "n",
             *(F.when(long_enough, _key(n, k, line, *segment(n, k, edits))).alias(i) for k, i in enumerate(keys)),
-            F.when(long_enough, signature(line)).alias("sig"),
+            F.when(long_enough, signature(F.col("between"))).alias("sig"),
         ),
         "places",
     )
