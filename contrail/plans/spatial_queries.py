@@ -27,6 +27,19 @@ def _statuses(s, p):  # noqa: ANN001, ANN202
     return tracks.latest(f, "receiver_id", "received_at", "fix_id", "cpu_load", "cpu_temperature")
 
 
+NOW = "2024-01-30 00:00:00"
+
+
+def _subscriptions(s, p):  # noqa: ANN001, ANN202
+    a = F.col("aircraft_id")
+    now = F.lit(NOW).cast("timestamp")
+    return d.aircraft(s, p).select(
+        a.alias("alert_id"), (a % 23).alias("receiver_id"), (a % 5 != 0).alias("on_down"), (a % 3 != 0).alias("on_cpu"), (a % 4 != 0).alias("on_temperature"),
+        F.when(a % 2 == 0, 60).otherwise(10_000_000).alias("down_minutes"), F.lit(0.5).alias("most_cpu"), F.lit(45.0).alias("most_temperature"), (a % 40 + 5).alias("base_minutes"),
+        (a % 13).alias("consecutive"), F.when(a % 13 > 0, F.timestamp_micros(F.unix_micros(now) - a * 37 % 2000 * 60_000_000)).alias("last_alerted_at"), F.when(a % 13 > 0, "cpu").alias("last_condition"),
+    )
+
+
 def _boxed(s, p):  # noqa: ANN001, ANN202
     f = d.flights(s, p).filter("landing IS NOT NULL")
     lat, lon = F.col("flight_id") % 60, F.col("flight_id") * 7 % 170
@@ -87,6 +100,17 @@ QUERIES = {
             SELECT receiver_id, 'down' AS alert FROM l WHERE down UNION ALL SELECT receiver_id, 'cpu' FROM l WHERE NOT down AND fix_id % 100 / 100.0 > 0.5
             UNION ALL SELECT receiver_id, 'temperature' FROM l WHERE NOT down AND fix_id % 90 > 45"""),
     ),
+    "t18_alert_rounds": (
+        lambda s, p: receivers.checked(_subscriptions(s, p), _statuses(s, p), F.lit(NOW).cast("timestamp")).withColumn("last_alerted_at", F.unix_micros("last_alerted_at")).drop("on_down", "on_cpu", "on_temperature", "down_minutes", "most_cpu", "most_temperature"),
+        sql(f"""WITH l AS (SELECT DISTINCT ON (receiver_id) receiver_id, received_at, fix_id % 100 / 100.0 AS cpu, fix_id % 90 AS heat FROM fixes ORDER BY receiver_id, received_at DESC, fix_id DESC),
+              a AS (SELECT aircraft_id AS alert_id, aircraft_id % 23 AS receiver_id, aircraft_id % 40 + 5 AS base_minutes, aircraft_id % 13 AS n, aircraft_id * 37 % 2000 AS ago FROM aircraft),
+              c AS (SELECT a.*, l.receiver_id IS NULL AS absent, epoch_us(TIMESTAMP '{NOW}') - epoch_us(l.received_at) > CASE WHEN alert_id % 2 = 0 THEN 60 ELSE 10000000 END * 60000000::BIGINT AS down, cpu, heat FROM a LEFT JOIN l USING (receiver_id)),
+              w AS (SELECT *, CASE WHEN absent THEN NULL WHEN down THEN CASE WHEN alert_id % 5 <> 0 THEN 'down' END WHEN alert_id % 3 <> 0 AND cpu > 0.5 THEN 'cpu' WHEN alert_id % 4 <> 0 AND heat > 45 THEN 'temperature' END AS condition FROM c),
+              o AS (SELECT *, CASE WHEN absent THEN 'unknown' WHEN condition IS NULL THEN CASE WHEN n > 0 THEN 'clear' ELSE 'quiet' END WHEN n > 0 AND ago < least(base_minutes * 2 ** (n - 1), 1440) THEN 'wait' ELSE 'send' END AS outcome FROM w)
+            SELECT alert_id, receiver_id, base_minutes, CASE outcome WHEN 'send' THEN n + 1 WHEN 'clear' THEN 0 ELSE n END AS consecutive,
+              CASE WHEN outcome = 'send' THEN epoch_us(TIMESTAMP '{NOW}') WHEN n > 0 THEN epoch_us(TIMESTAMP '{NOW}') - ago * 60000000::BIGINT END AS last_alerted_at,
+              CASE WHEN outcome = 'send' THEN condition WHEN outcome <> 'clear' AND n > 0 THEN 'cpu' END AS last_condition, outcome, condition FROM o"""),
+    ),
     "t8_flights": (lambda s, p: sessions.sessionize(d.fixes(s, p)), None),
     # one group is one flight between gaps, not an aircraft's history
     "g4_path_figures": (lambda s, p: paths.path_figures(tracks.with_sessions(d.fixes(s, p)).withColumn("flight", F.concat_ws("-", "aircraft_id", "session")), "flight"), None),
