@@ -46,5 +46,15 @@ def page(df: DataFrame, order: list, size: int, number: int) -> DataFrame:
     return df.orderBy(*order).offset(size * (number - 1)).limit(size)
 
 
+def page_with_totals(df: DataFrame, order: list, size: int, number: int) -> DataFrame:
+    """L3: one page with the number of all rows (``total_rows``), of all pages, and its own number on each row; a page beyond the last has no rows.
+
+    The count is a subquery of one value: it needs no column of df and runs beside the page.
+    """
+    total = df.agg(F.count("*")).scalar()
+    counted = page(df, order, size, number).withColumn("total_rows", total)
+    return counted.withColumn("total_pages", F.ceil(F.col("total_rows") / size)).withColumn("page_number", F.lit(number))
+
+
 def pages(total: int, size: int) -> int:
     return -(-total // size)

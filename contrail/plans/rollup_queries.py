@@ -224,6 +224,11 @@ QUERIES = {
         sql("""SELECT l.aircraft_id, l.fix_id, r.alt_ft AS found FROM (SELECT * FROM fixes WHERE kind = 'purchase') l
             ASOF LEFT JOIN (SELECT DISTINCT ON (aircraft_id, received_at) * FROM fixes WHERE kind = 'view' ORDER BY aircraft_id, received_at, fix_id DESC) r ON l.aircraft_id = r.aircraft_id AND l.received_at >= r.received_at"""),
     ),
+    "l3_page_totals": (
+        lambda s, p: search.page_with_totals(d.flights(s, p).filter("distance_m > 100000").select("flight_id", "distance_m"), [F.desc("distance_m"), "flight_id"], 25, 2),
+        sql("""SELECT flight_id, distance_m, count(*) OVER () AS total_rows, (count(*) OVER () + 24) // 25 AS total_pages, 2 AS page_number
+            FROM flights WHERE distance_m > 100000 ORDER BY distance_m DESC, flight_id LIMIT 25 OFFSET 25"""),
+    ),
     "l3_page": (
         lambda s, p: search.page(d.flights(s, p).select("flight_id", "aircraft_id", "distance_m"), [F.desc("distance_m"), "flight_id"], 25, 3),
         sql("SELECT flight_id, aircraft_id, distance_m FROM flights ORDER BY distance_m DESC, flight_id LIMIT 25 OFFSET 50"),
