@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,26 +15,39 @@ ZONE_EDGES = [
 ]
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is reckoned once however often f names it: an expression named twice is reckoned twice, and inside a fold at every step."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def zones(lat: Column) -> Column:
     """Longitude zones at a latitude."""
-    a = F.abs(lat)
-    return F.aggregate(F.array(*map(F.lit, ZONE_EDGES)), F.lit(59), lambda s, e: s - F.when(a >= e, 1).otherwise(0))
+    return once(F.abs(lat), lambda a: F.aggregate(F.array(*map(F.lit, ZONE_EDGES)), F.lit(59), lambda s, e: s - F.when(a >= e, 1).otherwise(0)))
 
 
 def global_position(lat0: Column, lon0: Column, lat1: Column, lon1: Column, odd_is_newer: Column) -> Column:
     """Struct (lat, lon) of an even (0) and an odd (1) report, null where they lie in different zones."""
-    y0, x0, y1, x1 = (c / SCALE for c in (lat0, lon0, lat1, lon1))
-    j = F.floor(59 * y0 - 60 * y1 + 0.5)
-    wrapped = lambda d: F.when(d >= 270, d - 360).otherwise(d)
-    even, odd = wrapped((360.0 / 60) * (F.pmod(j, F.lit(60)) + y0)), wrapped((360.0 / 59) * (F.pmod(j, F.lit(59)) + y1))
-    n_even, n_odd = zones(even), zones(odd)
-    lat = F.when(odd_is_newer, odd).otherwise(even)
-    n = F.when(odd_is_newer, n_odd).otherwise(n_even)
-    m = F.floor(x0 * (n - 1) - x1 * n + 0.5)
-    count = F.greatest(n - F.when(odd_is_newer, 1).otherwise(0), F.lit(1))
-    lon = (F.lit(360.0) / count) * (F.pmod(m, count) + F.when(odd_is_newer, x1).otherwise(x0))
-    lon = F.when(lon >= 180, lon - 360).otherwise(lon)
-    return F.when((n_even == n_odd) & lat.between(-90, 90), F.struct(lat.alias("lat"), lon.alias("lon")))
+    wrapped = lambda d: once(d, lambda d: F.when(d >= 270, d - 360).otherwise(d))
+
+    def rows(c: Column) -> Column:
+        """With the latitudes of both."""
+        j = F.floor(59 * c["y0"] - 60 * c["y1"] + 0.5)
+        even, odd = wrapped((360.0 / 60) * (F.pmod(j, F.lit(60)) + c["y0"])), wrapped((360.0 / 59) * (F.pmod(j, F.lit(59)) + c["y1"]))
+        return F.struct(c["x0"].alias("x0"), c["x1"].alias("x1"), c["newer"].alias("newer"), even.alias("even"), odd.alias("odd"))
+
+    def counted(c: Column) -> Column:
+        """With the zones of both."""
+        return F.struct(c["x0"].alias("x0"), c["x1"].alias("x1"), c["newer"].alias("newer"), F.when(c["newer"], c["odd"]).otherwise(c["even"]).alias("lat"), zones(c["even"]).alias("n_even"), zones(c["odd"]).alias("n_odd"))
+
+    def place(c: Column) -> Column:
+        n = F.when(c["newer"], c["n_odd"]).otherwise(c["n_even"])
+        m = F.floor(c["x0"] * (n - 1) - c["x1"] * n + 0.5)
+        count = F.greatest(n - F.when(c["newer"], 1).otherwise(0), F.lit(1))
+        lon = once((F.lit(360.0) / count) * (F.pmod(m, count) + F.when(c["newer"], c["x1"]).otherwise(c["x0"])), lambda x: F.when(x >= 180, x - 360).otherwise(x))
+        return F.when((c["n_even"] == c["n_odd"]) & c["lat"].between(-90, 90), F.struct(c["lat"].alias("lat"), lon.alias("lon")))
+
+    numbers = F.struct((lat0 / SCALE).alias("y0"), (lon0 / SCALE).alias("x0"), (lat1 / SCALE).alias("y1"), (lon1 / SCALE).alias("x1"), odd_is_newer.alias("newer"))
+    return once(numbers, lambda c: once(rows(c), lambda r: once(counted(r), place)))
 
 
 def bits(frame_hex: Column, first: int, count: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .cpr import SCALE, bits, global_position, squitter, zones
+from .cpr import SCALE, bits, global_position, once, squitter, zones
 
 #: Fixed value: the generator of the 24-bit parity, without its highest bit.
 GENERATOR = 0xFFF409
@@ -39,6 +39,10 @@ def _parity_of(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), F.lit(0), step)
 
 
+def _padded(digits: Column) -> Column:
+    return F.concat(digits, F.lpad(F.hex(_parity_of(digits)), 6, "0"))
+
+
 def parity(frame_hex: Column) -> Column:
     """What is left of a frame after division: 0 for a sound squitter, the address for replies that hide it there; null for no frame."""
     size = F.length(frame_hex)
@@ -49,7 +53,7 @@ def parity(frame_hex: Column) -> Column:
 
 def with_parity(digits: Column) -> Column:
     """A sound squitter from its digits without parity."""
-    return F.concat(digits, F.lpad(F.hex(_parity_of(digits)), 6, "0"))
+    return once(digits, _padded)
 
 
 def downlink_format(frame_hex: Column) -> Column:
@@ -59,13 +63,13 @@ def downlink_format(frame_hex: Column) -> Column:
 
 def address(frame_hex: Column) -> Column:
     """The sender: spelled out in formats 11, 17 and 18 if their parity is sound (format 11 may carry the number of a ground station below 128), hidden in the parity of the replies."""
-    kind, rest = downlink_format(frame_hex), parity(frame_hex)
-    spelled = bits(frame_hex, 9, 24).cast("int")
-    return (
-        F.when(kind.isin(17, 18) & (rest == 0), spelled)
-        .when((kind == 11) & (rest < 128), spelled)
-        .when(kind.isin(0, 4, 5, 16, 20, 21), rest)
+    parts = F.struct(downlink_format(frame_hex).alias("kind"), parity(frame_hex).alias("rest"), bits(frame_hex, 9, 24).cast("int").alias("spelled"))
+    sender = lambda p: (
+        F.when(p["kind"].isin(17, 18) & (p["rest"] == 0), p["spelled"])
+        .when((p["kind"] == 11) & (p["rest"] < 128), p["spelled"])
+        .when(p["kind"].isin(0, 4, 5, 16, 20, 21), p["rest"])
     )
+    return once(parts, sender)
 
 
 def unframed(raw: Column) -> Column:
