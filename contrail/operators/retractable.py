@@ -20,8 +20,13 @@ from .rollups import cross_country, duration
 
 
 def pending(feed: DataFrame, applied: DataFrame) -> DataFrame:
-    """Changes of batches that are not applied yet, each once however often the feed was delivered. applied: batch_id."""
-    return feed.join(applied.select("batch_id").distinct(), "batch_id", "left_anti").dropDuplicates(["batch_id", "seq"])
+    """Changes of batches that are not applied yet, each once however often the feed was delivered. applied: batch_id, a number for each batch.
+
+    Few batches hold all changes, so these are dealt by their own keys before they are sorted, and the numbers of batches go to every task.
+    """
+    done = F.broadcast(applied.select("batch_id").distinct())
+    waiting = feed.join(done, "batch_id", "left_anti").repartition("batch_id", "seq")
+    return waiting.dropDuplicates(["batch_id", "seq"])
 
 
 def signed(changes: DataFrame) -> DataFrame:
