@@ -75,7 +75,8 @@ def inside(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     side = _side(F.col("level"))
     placed = points.filter("abs(lat) <= 90 AND abs(lon) <= 180").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     placed = placed.withColumn("row", F.floor(F.col("lat") / side)).withColumn("column", F.floor(F.col("lon") / side))
-    met = placed.join(cells, ["level", "row", "column"])
+    # the planner takes the cells for as small as the areas and would send them through the driver
+    met = placed.join(cells.hint("merge"), ["level", "row", "column"])
     held = F.col("found").isNull() | (_crossings(F.col("found"), F.col("lon"), F.col("lat")) % 2 == 1)
     return met.filter(held).select(*points.columns, key)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import airspaces, search
 from . import domain as d
@@ -22,10 +23,15 @@ def _areas(s, p):  # noqa: ANN001, ANN202
 
 
 def _in_airspaces(s, p):  # noqa: ANN001, ANN202
-    areas = _areas(s, p)
-    met = airspaces.inside(d.fixes(s, p).select("fix_id", "lat", "lon", "alt_ft"), areas, "area_id").join(areas.drop("rings"), "area_id")
+    """Fixes at one place and height are met once, with their number and sum; so are areas of one shape and one range of heights."""
+    heights = ["floor_ft", "ceiling_ft"]
+    areas = _areas(s, p).withColumn("like", F.min("area_id").over(W.partitionBy("rings", *heights)))
+    alike = areas.filter("area_id = like").select("like", "rings", *heights)
+    spots = d.fixes(s, p).groupBy("lat", "lon", "alt_ft").agg(F.count("*").alias("n"), F.sum("fix_id").alias("sum_id"))
+    met = airspaces.inside(spots, alike, "like").join(alike.drop("rings"), "like")
     high = (F.col("alt_ft") >= F.col("floor_ft")) & F.coalesce(F.col("alt_ft") <= F.col("ceiling_ft"), F.lit(True))
-    return met.filter(high).groupBy("area_id").agg(F.count("*").alias("n_fixes"), F.sum("fix_id").alias("sum_fix_id"))
+    found = met.filter(high).groupBy("like").agg(F.sum("n").alias("n_fixes"), F.sum("sum_id").alias("sum_fix_id"))
+    return areas.select("area_id", "like").join(found, "like").drop("like")
 
 
 def _sides() -> str:

@@ -5,11 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from contrail import plans
-from contrail.operators import spatial
+from contrail.functions import cpr, modes
+from contrail.operators import airspaces, retractable, spatial
+from contrail.plans import change_queries
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -88,3 +92,32 @@ def test_nearest_among_many_places(spark, met):
     got = {r.fix_id: r.airport_id for r in spatial.nearest(left, right, "fix_id", "airport_id", 50_000.0).collect()}
     assert got == {i: min((distance(x, y), j) for j, *y in airports)[1] for i, *x in fixes}
     assert sum(m.count() for m in met) < 10_000
+
+
+def test_repeated_expressions_are_bound(spark):
+    lat0, rest = F.col("first_lat"), [F.col(c) for c in ("b", "c", "d", "odd")]
+    named = lambda c, name: c._jc.toString().count(name)
+    assert named(cpr.global_position(lat0, *rest), "first_lat") == 1
+    assert named(cpr.zones(F.col("first_lat")), "first_lat") == 1
+    assert named(modes.with_parity(F.col("whole_frame")), "whole_frame") == 1
+
+
+def test_changes_are_not_dealt_by_batches(spark, sf):
+    none = spark.createDataFrame([], "batch_id long")
+    found = retractable.pending(change_queries.feed(spark, sf), none)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(batch_id#\d+L?, seq#", plan)
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
+def test_fixes_and_areas_that_are_alike_meet_once(spark, sf, tmp_path, monkeypatch):
+    """Copies of fixes change the numbers, not the work."""
+    events = spark.read.parquet(f"{sf}/events.parquet").filter("event_id % 20 = 0")
+    copies = events.withColumn("event_id", F.expr("explode(transform(sequence(0, 4), i -> event_id + i * 12000))"))
+    copies.write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{sf}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    asked, real = [], airspaces.inside
+    monkeypatch.setattr(airspaces, "inside", lambda *a: asked.append(a[0]) or real(*a))
+    got = {r.area_id: r.n_fixes for r in plans.QUERIES["p10_in_airspaces"](spark, str(tmp_path)).collect()}
+    assert got and all(n % 5 == 0 for n in got.values())
+    assert asked[0].count() <= events.count()
