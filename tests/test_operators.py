@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,62 @@ def test_path_figures(spark):
     assert got[2].displacement_m == pytest.approx(straight / 2, rel=2e-2)
 
 
+def spline_by_hand(places):
+    """Length and displacement of the path through (lat, lon, alt_m), the pyramid of Barry and Goldman in decimal numbers, each sample for itself."""
+    wide = lambda x: np.array([np.longdouble(str(c)) for c in x])
+    Decimal = decimal.Decimal  # noqa: N806
+
+    def metres(a, b):
+        p, q = np.radians(a), np.radians(b)
+        h = np.sin((q[0] - p[0]) / 2) ** 2 + np.cos(p[0]) * np.cos(q[0]) * np.sin((q[1] - p[1]) / 2) ** 2
+        return 2 * R * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+    rise = lambda a, b: np.hypot(metres(a, b), b[2] - a[2])
+    path = places = [np.array([Decimal(c) for c in x]) for x in places]
+    if len(places) > 2:
+        path = []
+        for p in zip(places[:1] + places, places, places[1:], places[2:] + places[-1:], strict=False):
+            n = max(2, math.ceil(rise(wide(p[1]), wide(p[2])) / 100))
+            t = [Decimal(0)]
+            for a, b in zip(p, p[1:], strict=False):
+                t.append(t[-1] + max(((b - a) ** 2).sum().sqrt().sqrt(), Decimal("1e-9")))
+            for k in range(n):
+                x = t[1] + (t[2] - t[1]) * k / n
+                mix = lambda i, j, a, b, x=x, t=t: ((t[j] - x) * a + (x - t[i]) * b) / (t[j] - t[i])
+                a1, a2, a3 = (mix(i, i + 1, p[i], p[i + 1]) for i in range(3))
+                path.append(mix(1, 2, mix(0, 2, a1, a2), mix(1, 3, a2, a3)))
+        path.append(places[-1])
+    path = [wide(x) for x in path]
+    return float(sum(rise(a, b) for a, b in zip(path, path[1:], strict=False))), float(max(metres(path[0], x) for x in path))
+
+
+def test_path_figures_of_many_flights(spark, monkeypatch):
+    """Flights of one to nine fixes, some of them repeated, cut by batches and by runs of samples; a flight may lack its key."""
+    monkeypatch.setattr(paths, "SAMPLES", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rng = random.Random(3)
+        rows = [(flight or None, 60 * k, 47.0 + rng.choice([0, 0.001, 0.02, rng.random() / 20]), rng.choice([1000, rng.randrange(3000), None]), 0, 60.0, 0, None) for flight in range(40) for k in range(1 + flight % 9)]
+        got = {r.aircraft_id: r for r in paths.path_figures(fixes(spark, rows).repartition(3), "aircraft_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40
+    for flight, r in got.items():
+        with decimal.localcontext(prec=50):
+            length, away = spline_by_hand([(lat, 8.0, (alt or 0) * 0.3048) for a, _, lat, alt, *_ in rows if a == flight])
+        assert r.n_points == 1 + (flight or 0) % 9
+        assert (r.spline_m is None) == (r.n_points == 1)
+        assert (r.spline_m or 0) == pytest.approx(length, rel=1e-8, abs=1e-6)
+        assert r.displacement_m == pytest.approx(away, rel=1e-8, abs=1e-6)
+
+
+def test_path_figures_read_flights_together(spark):
+    """No call for each flight."""
+    plan = paths.path_figures(fixes(spark, [(1, 0, 47.0, 0, 0, 60.0, 0, None)]), "aircraft_id")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan
+    assert "FlatMapGroups" not in plan
+
+
 def streamed(spark, tmp_path, job, batches, schema, **options):
     """The rows that a job puts out for these batches, one after the other."""
     source = tmp_path / "in"
