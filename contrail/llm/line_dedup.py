@@ -65,18 +65,21 @@ def index_keys(line: Column, n: Column, edits: int) -> Column:
 
 
 def with_probes(lines: DataFrame, edits: int) -> DataFrame:
-    """Rows (id, line, n) with ``seg``: the line's own segments (``own``), and of all lengths n - edits .. n the other substrings that
-    can be a partner's segment, counted from both ends. One small expression for a row of each kind of probe."""
+    """Rows (id, line, n) with ``seg``: of all lengths n - edits .. n the substrings that can be a partner's segment, counted from both ends,
+    without the line's own segments. One small expression for a row of each kind of probe."""
     kinds = []
     for less in range(edits + 1):
         for k in range(edits + 1):
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                kinds.append(F.struct(F.lit(less).alias("less"), F.lit(k).alias("k"), F.lit(shift).alias("shift"), F.lit(not less and not shift).alias("own")))
-    asked = lines.withColumn("c", F.explode(F.array(*kinds))).select("id", "line", "n", (F.col("n") - F.col("c.less")).alias("m"), "c.k", "c.shift", "c.own")
+                if less or shift:
+                    kinds.append(F.struct(F.lit(less).alias("less"), F.lit(k).alias("k"), F.lit(shift).alias("shift")))
+    if not kinds:
+        return lines.select("id", "line", "n", F.lit(0).cast("long").alias("seg")).limit(0)
+    asked = lines.withColumn("c", F.explode(F.array(*kinds))).select("id", "line", "n", (F.col("n") - F.col("c.less")).alias("m"), "c.k", "c.shift")
     base, plain = F.expr(f"CAST(m DIV {edits + 1} AS INT)"), (edits + 1) - F.col("m") % (edits + 1)
-    placed = asked.select("id", "line", "n", "m", "k", "own", (F.col("k") * base + F.greatest(F.lit(0), F.col("k") - plain) + 1 + F.col("shift")).alias("at"), (base + (F.col("k") >= plain).cast("int")).alias("size"))
+    placed = asked.select("id", "line", "n", "m", "k", (F.col("k") * base + F.greatest(F.lit(0), F.col("k") - plain) + 1 + F.col("shift")).alias("at"), (base + (F.col("k") >= plain).cast("int")).alias("size"))
     seg = F.xxhash64(F.col("m"), F.col("k"), F.substring(F.col("line"), F.col("at"), F.col("size")))
-    return placed.filter("m >= 1 AND at >= 1").select("id", "line", "n", "own", seg.alias("seg"))
+    return placed.filter("m >= 1 AND at >= 1").select("id", "line", "n", seg.alias("seg"))
 
 
 def banded_distance(a: Column, b: Column, most: int) -> Column:
@@ -136,7 +139,7 @@ def _common(x: Column, y: Column, n: Column, first: bool) -> Column:
 
 
 def within(x: Column, y: Column, edits: int, chars_per_edit: int) -> Column:
-    """Whether two lines, whose lengths differ by at most ``edits``, link. The banded computation runs between their common beginning and their common end."""
+    """Whether two lines, whose lengths differ by at most ``edits``, link. What lies between their common beginning and their common end decides."""
     bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
     shorter = F.least(F.char_length(x), F.char_length(y))
 
@@ -152,16 +155,43 @@ def within(x: Column, y: Column, edits: int, chars_per_edit: int) -> Column:
         whole = bound(begun, lambda d: F.when(d > 3 * edits, d).otherwise(reckoned(a, b)))
         return F.when((F.char_length(a) == 0) | (F.char_length(b) == 0), longer).otherwise(whole)
 
+    def distance_of_ends(a: Column, b: Column) -> Column:
+        """For up to two edits. First and last characters differ, so an edit stands at either end, and what lies between must be equal."""
+        na, nb = F.char_length(a), F.char_length(b)
+        cut = lambda s, n, first, last: F.substring(s, first + 1, n - first - last)
+        equal = lambda first, last: cut(a, na, first[0], last[0]) == cut(b, nb, first[1], last[1])
+        both, of_a, of_b = (1, 1), (1, 0), (0, 1)  # characters that an edit takes from a and b
+        ends = (
+            F.when(na - nb == 0, equal(both, both) | equal(of_a, of_b) | equal(of_b, of_a))
+            .when(na - nb == 1, equal(both, of_a) | equal(of_a, both))
+            .when(na - nb == -1, equal(both, of_b) | equal(of_b, both))
+            .when(na - nb == 2, equal(of_a, of_a))
+            .otherwise(equal(of_b, of_b))
+        )
+        longer = F.greatest(na, nb)
+        return F.when((na == 0) | (nb == 0) | (longer <= 1), longer).when(ends, 2).otherwise(3)
+
+    if edits <= 2:
+        distance = distance_of_ends
     head = bound(_common(x, y, shorter, True), lambda h: F.struct(h.alias("head"), _common(x, y, shorter - h, False).alias("tail")))
     return bound(head, ends) <= allowed(shorter, edits, chars_per_edit)
 
 
+def _place(key: Column) -> tuple[Column, Column]:
+    """Word of a bitmap, and the three bits in it, that stand for a hash; they come from different bits of the hash."""
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.shiftright(key, by).bitwiseAND(63).cast("int")) for by in (40, 46, 52)]
+    return F.pmod(key, F.lit(1 << (INDEX_BITS - 6))), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
 def bitmap(keys: DataFrame, **flags: Column) -> DataFrame:
-    """(chunk, a bit array for each flag) of the hashes ``key``: 2 ** INDEX_BITS bits each, in rows of CHUNK_WORDS longs."""
-    at = F.pmod("key", F.lit(1 << INDEX_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    """(chunk, a bit array for each flag) of the hashes ``key``: 2 ** INDEX_BITS bits each, in rows of CHUNK_WORDS longs.
+
+    Three bits of one word stand for a hash, so that others pass with the third power of what is set, not in proportion to it.
+    """
+    at, bit = _place(F.col("key"))
     none = F.lit(0).cast("long")
-    words = keys.select(F.shiftright(at, 6).alias("w"), *(F.when(c, bit).otherwise(none).alias(f) for f, c in flags.items()))
+    words = keys.select(at.alias("w"), *(F.when(c, bit).otherwise(none).alias(f) for f, c in flags.items()))
     zero = keys.sparkSession.range(1 << (INDEX_BITS - 6)).select(F.col("id").alias("w"), *(none.alias(f) for f in flags))
     full = words.unionByName(zero).groupBy("w").agg(*(F.bit_or(f).alias(f) for f in flags))
     chunks = full.groupBy(F.floor(F.col("w") / CHUNK_WORDS).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("w", *flags))).alias("words"))
@@ -170,10 +200,10 @@ def bitmap(keys: DataFrame, **flags: Column) -> DataFrame:
 
 def marked(df: DataFrame, key: str, bits: DataFrame, flag: Column) -> DataFrame:
     """The rows of df whose key is marked; ``flag`` is a bit array of bits."""
-    at = F.pmod(key, F.lit(1 << INDEX_BITS))
-    met = df.withColumn("chunk", F.floor(F.shiftright(at, 6) / CHUNK_WORDS)).join(F.broadcast(bits), "chunk")
-    word = F.get(flag, F.pmod(F.shiftright(at, 6), F.lit(CHUNK_WORDS)).cast("int"))
-    return met.filter(F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).drop("chunk", *(c for c in bits.columns if c != "chunk"))
+    at, bit = _place(F.col(key))
+    met = df.withColumn("chunk", F.floor(at / CHUNK_WORDS)).join(F.broadcast(bits), "chunk")
+    word = F.get(flag, F.pmod(at, F.lit(CHUNK_WORDS)).cast("int"))
+    return met.filter(F.bitwise_not(word).bitwiseAND(bit) == 0).drop("chunk", *(c for c in bits.columns if c != "chunk"))
 
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,11 +262,14 @@ def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS, chars_per_e
     """
     long_enough = F.col("n") >= chars_per_edit
     line = F.col("line")
-    index = distinct.filter(long_enough).select("id", "n", "sig", F.explode(F.array(*(f"i{k}" for k in range(edits + 1)))).alias("seg"))
+    own_segs = F.array(*(f"i{k}" for k in range(edits + 1)))
+    index = distinct.filter(long_enough).select("id", "n", "sig", F.explode(own_segs).alias("seg"))
     segs = stored(index.groupBy("seg").agg(F.count("*").alias("size")), "segs")
     bits = bitmap(segs.withColumnRenamed("seg", "key"), some=F.lit(True), several=F.col("size") > 1)
-    met = marked(with_probes(lines.filter(long_enough), edits), "seg", bits, F.when(F.col("own"), F.col("several")).otherwise(F.col("some")))
-    probe = stored(met.select("id", "seg", "n", signature(parts(line)).alias("sig")).dropDuplicates(["id", "seg"]), "probes")
+    met = marked(with_probes(lines.filter(long_enough), edits), "seg", bits, F.col("some")).select("id", "seg", "n", signature(parts(line)).alias("sig"))
+    # a line's own segments are in the index already; those that no other line has meet nothing
+    own = marked(index.select("id", "seg", "n", "sig"), "seg", bits, F.col("several"))
+    probe = stored(met.unionByName(own).dropDuplicates(["id", "seg"]), "probes")
     large = stored(segs.filter(F.col("size") > LARGE_BUCKET).select("seg", F.ceil(F.col("size") / PART).alias("parts")), "large")
     apart = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
     longer = F.col("x.n") - F.col("y.n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -156,6 +157,26 @@ def test_banded_distance(spark):
     assert sorted(r.d <= 2 for r in got) == sorted(r.d for r in df.select(line_dedup.within(F.col("a"), F.col("b"), 2, 0).alias("d")).collect())
 
 
+def test_line_dedup_within_two_edits(spark):
+    """All pairs of short words, which reach every way in which two edits can stand at both ends, also behind and before a common part."""
+    short = ["".join(x) for n in range(1, 5) for x in itertools.product("ab\u00fc" if n < 4 else "ab", repeat=n)]
+    pairs = [(x + a + y, x + b + y) for x, y in (("", ""), ("ba", "\U0001f600a")) for a in short for b in short if abs(len(a) - len(b)) <= 2]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for edits in (1, 2):
+        near = df.filter(F.abs(F.char_length("a") - F.char_length("b")) <= edits)
+        got = {(r.a, r.b): r.d for r in near.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), edits, 0).alias("d")).collect()}
+        assert got == {(a, b): within(a, b, edits) for a, b in pairs if abs(len(a) - len(b)) <= edits}
+
+
+def test_line_dedup_bitmap_holds_back_strangers(spark, small_bitmap):
+    """With 30,000 hashes in a million bits, of others less than one in a hundred passes, and none of the hashes is held back."""
+    own = spark.range(30_000).select(F.xxhash64("id").alias("key"))
+    bits = line_dedup.bitmap(own, some=F.lit(True))
+    assert line_dedup.marked(own, "key", bits, F.col("some")).count() == 30_000
+    others = spark.range(1_000_000, 1_100_000).select(F.xxhash64("id").alias("key"))
+    assert line_dedup.marked(others, "key", bits, F.col("some")).count() < 1_000
+
+
 def test_line_dedup_odd_rows(spark, small_bitmap):
     df = odd_rows(spark)
     assert line_dedup.classes(df).count() == sum(1 for r in df.collect() for x in (r.text or "").split("\n") if WORD.search(x))
