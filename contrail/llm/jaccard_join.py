@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .components import components
 from .shared import discard, in_arrow, stored
@@ -383,8 +384,18 @@ def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, clashes: li
     return out
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same classes as links (spoke, hub): each spoke keeps its smallest hub, to which its other hubs are linked.
+
+    Near copies meet in many regions and have a hub in each of them; the hubs are few, and so are the links between them that differ.
+    """
+    least = F.min("hub").over(W.partitionBy("spoke"))
+    kept = links.select("spoke", "hub", least.alias("b")).select(F.when(F.col("hub") == F.col("b"), F.col("spoke")).otherwise(F.col("hub")).alias("a"), "b")
+    return kept.distinct()
+
+
 def _groups(done: DataFrame) -> DataFrame:
-    return components(done.filter("linked").select(F.col("spoke").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "cls")
+    return components(_thinned(done.filter("linked"))).withColumnRenamed("node", "cls")
 
 
 def _open(member: DataFrame, groups: DataFrame) -> DataFrame:
@@ -431,7 +442,7 @@ def group_links(docs: DataFrame, classes: DataFrame, common: np.ndarray, clashes
     main = size.groupBy("pivot").agg(F.max(F.struct("size", "comp")).alias("m")).select("pivot", F.col("m.comp").alias("main"))
     left = stored(left.join(classes.select("cls", *SIGNATURE), "cls").join(main, "pivot"), "left")
     pairs = _unmeasured(_region_pairs(left.filter("comp != main"), left, F.col("x.comp") != F.col("y.comp")), done)
-    return done.unionByName(_measured(pairs, docs, classes, clashes)).filter("linked").select(F.col("spoke").alias("a"), F.col("hub").alias("b"))
+    return _thinned(done.unionByName(_measured(pairs, docs, classes, clashes)).filter("linked"))
 
 
 def _region_pairs(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:

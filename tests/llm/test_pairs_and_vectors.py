@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -11,7 +12,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from contrail.llm import alignment, simhash, whitening
+from contrail.llm import alignment, jaccard_join, simhash, whitening
+from contrail.llm.components import components
 from contrail.llm.queries import queries
 
 from .test_contracts import WORD, odd_rows, texts
@@ -321,3 +323,51 @@ def test_simhash_links_reach_all(spark, most):
     want = plain_components(values)
     parts = lambda f: {frozenset(v for v in values if f(v) == c) for c in {f(v) for v in values}}
     assert parts(find) == parts(want.__getitem__)
+
+
+def test_jaccard_links_are_thinned(spark):
+    """Spokes with many hubs each: about as many links as classes are left, and they connect the same classes."""
+    rng = random.Random(5)
+    links = [(1000 * part + 100 + k, 1000 * part + rng.randrange(30)) for part in range(3) for k in range(100) for _ in range(20)]
+    links += [(4000, 5000), (5000, 4000), (6000, 6001), (6001, 6002)]
+    df = spark.createDataFrame(sorted(set(links)), "spoke long, hub long")
+    thin = jaccard_join._thinned(df)
+    assert thin.count() <= 3 * (100 + 30 * 29 // 2) + 4 < len(set(links))
+    named = lambda x: {(r.node, r.comp) for r in components(x).collect()}
+    assert named(thin) == named(df.toDF("a", "b"))
+
+
+def test_jaccard_near_copies_reach_components_thinned(spark, monkeypatch):
+    """Near copies that differ in up to three words each link with most others; components sees few of these links."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    seen = []
+    plain = jaccard_join.components
+
+    def counted(links):
+        seen.append(links.count())
+        return plain(links)
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(300):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {k: find(k) for k in range(300)}
+    assert max(seen) < 3 * 300
