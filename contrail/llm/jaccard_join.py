@@ -13,10 +13,12 @@ further. Every linked pair meets in the region of its first common shingle. The
 fixed-size bitmap of counted hash buckets says which; it only affects the order, never the result), so a passage
 that thousands of documents repeat does not bring them together.
 
-*Inside a region* the smallest member is the pivot; the others are compared with it. Members within
+*Inside a region* the member with the fewest shingles before the region's is the pivot, which of near copies is one of the least
+edited; the others are compared with it. Members within
 0.2 are linked and need no comparison among themselves, since only the group matters. In regions that stay large, members left outside
 take another pivot, with a triangle-inequality window around the distances to the one before, and so on; when few stay apart they are compared
-with all others of the region. Nothing is capped: rounds only decide in which order distances are measured.
+with all others of the region, each with its nearest by the signatures first, until nothing more joins. Nothing is capped: rounds only decide in
+which order distances are measured, and pairs of one group need none.
 
 *Distances* are measured on whole sets, and those are made from texts again: for each pair the text of one class travels to
 the other class, which is sent once (a class with very many partners once for every ``SPOKES`` of them). Before that, 512 parity bits of each set
@@ -59,6 +61,8 @@ PIVOT_ROUNDS = 6
 REMEMBERED = 200_000
 #: Shingles whose buckets a task holds before it counts them.
 HELD = 400_000
+#: Partners of a class that are measured before the others are looked at again.
+NEAREST = 2
 #: Partners of a class that one group compares with it.
 SPOKES = 500
 SIGNATURE = [f"s{k}" for k in range(8)]
@@ -250,8 +254,9 @@ def _reach(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
 
 
 def _meetings(regions: DataFrame) -> DataFrame:
-    """Rows of regions with at least two classes, each with its region's pivot document ``lead`` (its first row in key order).
+    """Rows of regions with at least two classes, each with its region's pivot document ``lead``: the one with the fewest shingles before the region's.
 
+    Rare shingles come first, so of near copies that is one of the least edited, which most others link with.
     Streams over sorted rows; a region is never held.
     """
 
@@ -299,7 +304,7 @@ def _meetings(regions: DataFrame) -> DataFrame:
                 )
 
     return in_arrow(
-        regions.repartition("pivot").sortWithinPartitions("pivot", "cls"),
+        regions.repartition("pivot").sortWithinPartitions("pivot", "pos", "cls"),
         run,
         "pivot long, cls long, n int, pos int, lead long, lead_n int, lead_pos int",
     )
@@ -335,10 +340,14 @@ def _texts(docs: DataFrame, classes: DataFrame, needed: DataFrame, clashes: list
     return stored(made.join(first, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"]).select("cls", "text"), "texts")
 
 
+def _apart(x: str, y: str) -> Column:
+    """Bits in which the signatures of two sets differ."""
+    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGNATURE), F.lit(0))
+
+
 def _plausible(x: str, y: str) -> Column:
     """Whether the signatures of two sets leave room for a link: n1 + n2 >= 9 times the shingles that only one of them has."""
-    apart = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGNATURE), F.lit(0))
-    return (DEN + NUM) * apart <= (DEN - NUM) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    return (DEN + NUM) * _apart(x, y) <= (DEN - NUM) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def _signed_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -442,14 +451,39 @@ def group_links(docs: DataFrame, classes: DataFrame, common: np.ndarray, clashes
     main = size.groupBy("pivot").agg(F.max(F.struct("size", "comp")).alias("m")).select("pivot", F.col("m.comp").alias("main"))
     left = stored(left.join(classes.select("cls", *SIGNATURE), "cls").join(main, "pivot"), "left")
     pairs = _unmeasured(_region_pairs(left.filter("comp != main"), left, F.col("x.comp") != F.col("y.comp")), done)
-    return _thinned(done.unionByName(_measured(pairs, docs, classes, clashes)).filter("linked"))
+    return _thinned(_nearest_first(pairs, done, docs, classes, clashes).filter("linked"))
+
+
+def _nearest_first(pairs: DataFrame, done: DataFrame, docs: DataFrame, classes: DataFrame, clashes: list[int]) -> DataFrame:
+    """``done`` with the distances of ``pairs`` (spoke, hub, apart), but for pairs that others have brought into one group by then.
+
+    Each class meets its nearest by the signatures first. As soon as that leaves more than half of the pairs, all of them are measured.
+    """
+    by = {side: F.row_number().over(W.partitionBy(side).orderBy("apart", "spoke", "hub")) for side in ("spoke", "hub")}
+    before = 0
+    while True:
+        ranked = stored(pairs.select("spoke", "hub", "apart", F.least(*by.values()).alias("rank")), "ranked")
+        every, some = (int(x or 0) for x in ranked.agg(F.count("*"), F.count_if(F.col("rank") <= NEAREST)).first())
+        last = 2 * some > every or 0 < before < 2 * every
+        if every:
+            done = done.unionByName(_measured(ranked if last else ranked.filter(F.col("rank") <= NEAREST), docs, classes, clashes))
+        if last or not every:
+            discard(ranked)
+            return done
+        before = every
+        groups = _groups(done)
+        spoke, hub = (groups.select(F.col("cls").alias(side), F.col("comp").alias(f"{side}_comp")) for side in ("spoke", "hub"))
+        named = ranked.filter(F.col("rank") > NEAREST).join(spoke, "spoke", "left").join(hub, "hub", "left")
+        pairs = named.filter(F.coalesce("spoke_comp", "spoke") != F.coalesce("hub_comp", "hub"))
 
 
 def _region_pairs(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
+    """Pairs (spoke, hub) that meet in a region, and how far their signatures are apart as a share of both sizes."""
     x, y = left.alias("x"), right.alias("y")
     near = _window(F.col("x.d"), F.col("y.d")) & _reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & extra & near & _plausible("x", "y"))
-    return met.select(F.greatest("x.cls", "y.cls").alias("spoke"), F.least("x.cls", "y.cls").alias("hub")).distinct()
+    apart = _apart("x", "y") / (F.col("x.n") + F.col("y.n"))
+    return met.select(F.greatest("x.cls", "y.cls").alias("spoke"), F.least("x.cls", "y.cls").alias("hub"), apart.alias("apart")).distinct()
 
 
 def _unmeasured(pairs: DataFrame, done: DataFrame) -> DataFrame:
@@ -458,14 +492,9 @@ def _unmeasured(pairs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _next_pivots(crowded: DataFrame) -> DataFrame:
-    """For each region a member of its smallest group, as lead_comp, lead, lead_n, lead_pos and lead_d."""
-    groups = crowded.groupBy("pivot", "comp").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n", "pos", "d")).alias("m"))
-    p = groups.groupBy("pivot").agg(F.min(F.struct("size", "comp", "m")).alias("p"))
-    return p.select(
-        "pivot",
-        F.col("p.comp").alias("lead_comp"),
-        *(F.col(f"p.m.{a}").alias(b) for a, b in (("cls", "lead"), ("n", "lead_n"), ("pos", "lead_pos"), ("d", "lead_d"))),
-    )
+    """For each region the member with the fewest shingles before the region's, as lead_comp, lead, lead_n, lead_pos and lead_d."""
+    p = crowded.groupBy("pivot").agg(F.min(F.struct("pos", "cls", "n", "d", "comp")).alias("p"))
+    return p.select("pivot", *(F.col(f"p.{a}").alias(b) for a, b in (("comp", "lead_comp"), ("cls", "lead"), ("n", "lead_n"), ("pos", "lead_pos"), ("d", "lead_d"))))
 
 
 def _window(d1: Column, d2: Column) -> Column:

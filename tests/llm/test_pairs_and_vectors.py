@@ -371,3 +371,41 @@ def test_jaccard_near_copies_reach_components_thinned(spark, monkeypatch):
                 root[b] = a
     assert got == {k: find(k) for k in range(300)}
     assert max(seen) < 3 * 300
+
+
+def test_jaccard_near_copies_are_measured_few_times(spark, monkeypatch):
+    """Near copies with one to fifteen words changed, without their base: some distances a class are measured, not a share of all pairs."""
+    n, rng = 600, random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(min(15, 1 + int(rng.expovariate(1 / 3.5)))):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    seen = []
+    plain = jaccard_join._measured
+
+    def counted(pairs, *rest):
+        out = plain(pairs, *rest)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_measured", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in rows]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {k: find(k) for k in range(n)}
+    assert n < sum(seen) < 8 * n, seen
