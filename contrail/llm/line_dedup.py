@@ -33,7 +33,7 @@ LARGE_BUCKET = 16
 PART = 64
 #: Characters over which the distance of two lines is reckoned before they are split whole.
 FIRST_COLUMNS = 32
-#: Bits of a bitmap of hashes, as a power of two (16 MB), and 64-bit words in one row of it.
+#: Bits of a bitmap of hashes, as a power of two (16 MB, of which index_words() takes nearly all), and 64-bit words in one row of it.
 INDEX_BITS = 27
 CHUNK_WORDS = 1 << 11
 SPACES = " \t\n\x0b\x0c\r"
@@ -177,22 +177,29 @@ def within(x: Column, y: Column, edits: int, chars_per_edit: int) -> Column:
     return bound(head, ends) <= allowed(shorter, edits, chars_per_edit)
 
 
+def index_words() -> int:
+    """64-bit words of a bitmap: 31 / 32 of the power of two. With what its rows need besides it then stays below that power; a broadcast
+    table of rows grows by doubling, so a few bytes more would take twice the memory of the driver and of each executor.
+    """
+    return max(1, (1 << (INDEX_BITS - 6)) // CHUNK_WORDS * 31 // 32) * CHUNK_WORDS
+
+
 def _place(key: Column) -> tuple[Column, Column]:
     """Word of a bitmap, and the three bits in it, that stand for a hash; they come from different bits of the hash."""
     one = F.lit(1).cast("long")
     bits = [F.call_function("shiftleft", one, F.shiftright(key, by).bitwiseAND(63).cast("int")) for by in (40, 46, 52)]
-    return F.pmod(key, F.lit(1 << (INDEX_BITS - 6))), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+    return F.pmod(key, F.lit(index_words())), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
 def bitmap(keys: DataFrame, **flags: Column) -> DataFrame:
-    """(chunk, a bit array for each flag) of the hashes ``key``: 2 ** INDEX_BITS bits each, in rows of CHUNK_WORDS longs.
+    """(chunk, a bit array for each flag) of the hashes ``key``: nearly 2 ** INDEX_BITS bits each, in rows of CHUNK_WORDS longs.
 
     Three bits of one word stand for a hash, so that others pass with the third power of what is set, not in proportion to it.
     """
     at, bit = _place(F.col("key"))
     none = F.lit(0).cast("long")
     words = keys.select(at.alias("w"), *(F.when(c, bit).otherwise(none).alias(f) for f, c in flags.items()))
-    zero = keys.sparkSession.range(1 << (INDEX_BITS - 6)).select(F.col("id").alias("w"), *(none.alias(f) for f in flags))
+    zero = keys.sparkSession.range(index_words()).select(F.col("id").alias("w"), *(none.alias(f) for f in flags))
     full = words.unionByName(zero).groupBy("w").agg(*(F.bit_or(f).alias(f) for f in flags))
     chunks = full.groupBy(F.floor(F.col("w") / CHUNK_WORDS).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("w", *flags))).alias("words"))
     return chunks.select("chunk", *(F.col(f"words.{f}").alias(f) for f in flags))

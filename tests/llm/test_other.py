@@ -177,6 +177,25 @@ def test_line_dedup_bitmap_holds_back_strangers(spark, small_bitmap):
     assert line_dedup.marked(others, "key", bits, F.col("some")).count() < 1_000
 
 
+def test_line_dedup_bitmap_is_broadcast_in_its_own_size(spark, monkeypatch):
+    """The table of rows that Spark makes of it grows by doubling and must not be doubled for a few bytes."""
+    monkeypatch.setattr(line_dedup, "INDEX_BITS", 24)
+    own = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    met = line_dedup.marked(own, "key", line_dedup.bitmap(own, some=F.lit(True)), F.col("some"))
+    assert len(met.collect()) == 1000
+    sizes, plans = [], [met._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "BroadcastExchange":
+            sizes.append(plan.metrics().apply("dataSize").value())
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif "QueryStage" in plan.nodeName():
+            plans.append(plan.plan())
+        plans += [plan.children().apply(k) for k in range(plan.children().size())]
+    assert len(sizes) == 1 and 1.8e6 < sizes[0] < 1.1 * (1 << 21)
+
+
 def test_line_dedup_odd_rows(spark, small_bitmap):
     df = odd_rows(spark)
     assert line_dedup.classes(df).count() == sum(1 for r in df.collect() for x in (r.text or "").split("\n") if WORD.search(x))

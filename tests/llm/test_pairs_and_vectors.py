@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -337,6 +338,27 @@ def test_jaccard_links_are_thinned(spark):
     assert named(thin) == named(df.toDF("a", "b"))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_end_with_stars(spark, monkeypatch, seed):
+    """Each round leaves fewer crossed nodes; no round is made to see that stars are left, and none for links that are stars at once."""
+    rng = random.Random(seed)
+    tables = []
+    module = importlib.import_module("contrail.llm.components")
+    monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: tables.append(name) or f(df, name))
+    stars = [(1000 * k + j, 1000 * k) for k in range(5) for j in range(1, 9)]
+    crossed = [(k, k + 1) for k in range(20_000, 20_040)] + [(30_000 + rng.randrange(40), 30_000 + rng.randrange(40)) for _ in range(30)]
+    for links, least, most in (([], 1, 1), ([(7, 7)], 1, 1), (stars, 1, 1), ([(1, 2), (3, 2)], 2, 2), (stars + crossed, 2, 9)):
+        tables.clear()
+        of = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+        for _ in of:
+            for a, b in links:
+                if a != b:
+                    of[a] = of[b] = min(of[a], of[b])
+        rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(rows) == len(of) and {r.node: r.comp for r in rows} == of
+        assert least <= len(tables) <= most
+
+
 def test_jaccard_near_copies_reach_components_thinned(spark, monkeypatch):
     """Near copies that differ in up to three words each link with most others; components sees few of these links."""
     rng = random.Random(1)
